@@ -1,0 +1,35 @@
+"""Connected components of an edge table, by alternating large and small stars.
+
+A large star connects every larger neighbour of a node with the least of node and neighbours; a small star does so
+for the smaller ones. Neither gathers a node's neighbours: the least is a combined aggregate, joined back. Rounds
+end when the edges stay the same; each is written to shared storage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from permlab.llm.common import staged
+
+
+def _star(pairs: DataFrame, least: DataFrame, keep) -> DataFrame:
+    """pairs: u, v. Connects every v that is kept with the least of u."""
+    return pairs.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).where(keep).select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges: a, b (long, not null). Returns node, root for every node that has an edge to another; root is the least reachable."""
+    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    state = None
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _star(both, both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), F.col("v") > F.col("u"))
+        large = staged(large.where("u <> v").distinct(), "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = _star(large, least, F.lit(True)).unionByName(least.select("u", F.col("m").alias("v")))
+        now = staged(small.where("u <> v").distinct(), "small")
+        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        if seen == state:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        state = seen
