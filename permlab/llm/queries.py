@@ -51,12 +51,12 @@ plan AS (SELECT f.source, f.source_size, f.tilt, least(f.cap::DOUBLE, l.rest * f
 queue AS (
   SELECT doc_id, size, source_size, target, tilt,
          (coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY (('0x' || key[1:8])::BIGINT % greatest(1, least(65536, (SELECT count(*) FROM docs) // 2000))), key, doc_id, text_key, size
-                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT + size / 2.0::DOUBLE AS at
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT + size / 2.0::DOUBLE AS mid
   FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
-chosen AS (SELECT *, (at < target)::INT + (at + source_size < target)::INT + (at + source_size * 2 < target)::INT AS copies FROM queue)
+chosen AS (SELECT *, (mid < target)::INT + (mid + source_size < target)::INT + (mid + source_size * 2 < target)::INT AS copies FROM queue)
 SELECT doc_id, size, source_size, target, size * copies AS taken,
-       CASE WHEN copies > 0 THEN floor(1e9 * CASE WHEN tilt = 0 THEN at / target
-            ELSE 2 * (at / target) / (1 + tilt + sqrt((1 + tilt) * (1 + tilt) - 4 * tilt * (at / target))) END)::BIGINT END AS position_e9
+       CASE WHEN copies > 0 THEN floor(1e9 * CASE WHEN tilt = 0 THEN mid / target
+            ELSE 2 * (mid / target) / (1 + tilt + sqrt((1 + tilt) * (1 + tilt) - 4 * tilt * (mid / target))) END)::BIGINT END AS position_e9
 FROM chosen
 """
 
