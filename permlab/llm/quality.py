@@ -88,7 +88,7 @@ def _passages(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         out[:, k] = np.bincount(of, same, n) / per  # a word again
         key = (of.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24))
         distinct = np.unique(key)
-        out[:, k + 1] = 1 - np.bincount((distinct >> np.uint64(40)).astype(np.int64), minlength=n) / per  # words that came before
+        out[:, k + 1] = (many - np.bincount((distinct >> np.uint64(40)).astype(np.int64), minlength=n)) / per  # words that came before
         out[:, k + 2] = np.bincount(of, np.minimum(size, 40), n) / per / 10
         out[:, k + 3] = np.bincount(of, size > 20, n) / per
         out[:, k + 4] = np.bincount(of, size <= 2, n) / per
