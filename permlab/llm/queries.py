@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permlab.llm import decontaminate, mixing, quality, simhash, tokens, topk, toxicity
+from permlab.llm import decontaminate, mixing, quality, simhash, tokens, topk, toxicity, warc
 from permlab.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.audit_of_damage(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,7 +58,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (pipeline, op1_mixing, op2_simhash, op3_quality, op5_decontamination, op7_tokens, op8_topk, op10_toxicity)}
+    return {f.__name__: f for f in (pipeline, op1_mixing, op2_simhash, op3_quality, op5_decontamination, op7_tokens, op8_topk, op9_warc, op10_toxicity)}
 
 
 MIXING_SQL = r"""
@@ -93,5 +97,24 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+WARC_SQL = r"""
+WITH sides AS (
+  SELECT page_id, url, html, 1 AS side FROM pages
+  UNION ALL
+  SELECT page_id, url, CASE WHEN page_id % 1000 = 7 THEN '#' || substr(html, 2) ELSE html END, 2 FROM pages WHERE coalesce(page_id % 1000, 0) <> 11),
+texts AS (
+  SELECT page_id, side, 'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || nl || 'WARC-Date: 2024-01-01T00:00:00Z' || nl
+         || coalesce('WARC-Target-URI: ' || regexp_replace(url, '[
+]', '', 'g') || nl, '') || 'Content-Type: text/html' || nl || 'Content-Length: ' || strlen(coalesce(html, '')) || nl || nl || coalesce(html, '') AS record
+  FROM sides, (SELECT chr(13) || chr(10) AS nl)),
+recs AS (SELECT page_id, side, sha256(record) AS digest, (strlen(record) + 4)::BIGINT AS length FROM texts),
+placed AS (SELECT *, (coalesce(sum(length) OVER (PARTITION BY side ORDER BY page_id NULLS FIRST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS place FROM recs)
+SELECT coalesce(a.page_id, b.page_id) AS page_id, CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' ELSE 'changed' END AS problem,
+       a.place AS offset_a, a.length AS length_a, a.digest AS digest_a, b.place AS offset_b, b.length AS length_b, b.digest AS digest_b
+FROM (SELECT * FROM placed WHERE side = 1) a FULL JOIN (SELECT * FROM placed WHERE side = 2) b ON a.page_id = b.page_id
+WHERE a.digest IS DISTINCT FROM b.digest
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIXING_SQL, "op8_topk": TOPK_SQL}
+    return {"op9_warc": WARC_SQL, "op1_mixing": MIXING_SQL, "op8_topk": TOPK_SQL}
