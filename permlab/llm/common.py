@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,3 +82,11 @@ def spans_of(sizes: np.ndarray, most: int):
         b = max(a + 1, int(np.searchsorted(ends, before + most, "right")))
         yield a, b
         a = b
+
+
+def pieces(batches, most: int = 1 << 22, column: str = "text"):
+    """The record batches in slices of at most so many bytes of text, or one row: what is made of a slice stays small."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for a, b in spans_of(sizes + 64, most):
+            yield batch.slice(a, b - a)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permlab.llm import decontaminate, mixing, quality, simhash, tokens, topk, toxicity, warc
+from permlab.llm import decontaminate, mixing, passages, quality, simhash, tokens, topk, toxicity, warc
 from permlab.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_duplicate_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,7 +62,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (pipeline, op1_mixing, op2_simhash, op3_quality, op5_decontamination, op7_tokens, op8_topk, op9_warc, op10_toxicity)}
+    return {f.__name__: f for f in (pipeline, op1_mixing, op2_simhash, op3_quality, op4_passages, op5_decontamination, op7_tokens, op8_topk, op9_warc, op10_toxicity)}
 
 
 MIXING_SQL = r"""
@@ -104,7 +108,7 @@ WITH sides AS (
   SELECT page_id, url, CASE WHEN page_id % 1000 = 7 THEN '#' || substr(html, 2) ELSE html END, 2 FROM pages WHERE coalesce(page_id % 1000, 0) <> 11),
 texts AS (
   SELECT page_id, side, 'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || nl || 'WARC-Date: 2024-01-01T00:00:00Z' || nl
-         || coalesce('WARC-Target-URI: ' || regexp_replace(url, '[
+         || coalesce('WARC-Target-URI: ' || regexp_replace(url, '[
 ]', '', 'g') || nl, '') || 'Content-Type: text/html' || nl || 'Content-Length: ' || strlen(coalesce(html, '')) || nl || nl || coalesce(html, '') AS record
   FROM sides, (SELECT chr(13) || chr(10) AS nl)),
 recs AS (SELECT page_id, side, sha256(record) AS digest, (strlen(record) + 4)::BIGINT AS length FROM texts),
