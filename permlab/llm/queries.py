@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permlab.llm import decontaminate, mixing, passages, quality, simhash, tokens, topk, toxicity, warc
+from permlab.llm import decontaminate, mixing, passages, pii, quality, simhash, tokens, topk, toxicity, warc
 from permlab.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -62,7 +66,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (pipeline, op1_mixing, op2_simhash, op3_quality, op4_passages, op5_decontamination, op7_tokens, op8_topk, op9_warc, op10_toxicity)}
+    return {f.__name__: f for f in (pipeline, op1_mixing, op2_simhash, op3_quality, op4_passages, op5_decontamination, op6_pii, op7_tokens, op8_topk, op9_warc, op10_toxicity)}
 
 
 MIXING_SQL = r"""
