@@ -142,10 +142,21 @@ def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
 
 
 _NAMES = (
-    "bias", "one token", "two tokens", "3-4 tokens", "5+ tokens", "no digit", "1-3 digits", "4-7 digits", "8-11 digits", "12-15 digits", "16-19 digits", "20+ digits", "luhn of 16-19", "starts +", "starts 00", "starts (",
+    "bias", "one token", "two tokens", "3-4 tokens", "5+ tokens", "no digit", "1-3 digits", "4-6 digits", "7-11 digits", "12-15 digits", "16-19 digits", "20+ digits", "luhn of 16-19", "starts +", "starts 00", "starts (",
     "has @", "ends in host", "one @ and host", "at word", "dot word", "dots 1-2", "dots 3", "dots 4+", "four parts to 255", "four parts bare", "dashes", "blanks", "slashes or colons", "brackets", "no letter", "letters only", "letters and digits",
     "hex token", "mostly digits", "groups of 4", "short", "medium", "long", "quoted", "equals before", "first token plain", "last token plain", "local at host", "phone groups", "equal sizes",
 )
+#: What a segment must have one of to be of a kind at all.
+_NEEDS = {"email": ("has @", "at word"), "ip": ("four parts to 255",), "card": ("12-15 digits", "16-19 digits"), "phone": ("7-11 digits", "12-15 digits")}
+_NEVER = -1e6
+_MASKS = [[_NAMES.index(n) for n in _NEEDS[k]] for k in KINDS]
+
+
+def _admits(x: np.ndarray, kind: int) -> np.ndarray:
+    """Whether segments with these features may be of the kind; all but emails are without letters."""
+    return x[:, _MASKS[kind]].any(1) & ((kind == 0) | (x[:, _NAMES.index("no letter")] > 0))
+
+
 _AT, _DOT = re.compile(r"[\[({<]?\bat\b[\])}>]?", re.I), re.compile(r"[\[({<]?\bdot\b[\])}>]?", re.I)
 _SPELLED = re.compile(r"[\w.%+-]+\s*(@|[\[({<]\s*at\s*[\])}>]|\sat\s)\s*[\w-]+(\s*(\.|[\[({<]\s*dot\s*[\])}>]|\sdot\s)\s*[A-Za-z0-9-]+)+", re.I)
 
@@ -164,7 +175,7 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> np.nda
     plain = lambda w: w.isalpha() and w.lower() not in ("at", "dot")
     dots = s.count(".")
     known = (
-        True, n == 1, n == 2, 3 <= n <= 4, n >= 5, d == 0, 1 <= d <= 3, 4 <= d <= 7, 8 <= d <= 11, 12 <= d <= 15, 16 <= d <= 19, d >= 20, 16 <= d <= 19 and luhn(digits), s.startswith("+"), s.startswith("00"), s.startswith("("),
+        True, n == 1, n == 2, 3 <= n <= 4, n >= 5, d == 0, 1 <= d <= 3, 4 <= d <= 6, 7 <= d <= 11, 12 <= d <= 15, 16 <= d <= 19, d >= 20, 16 <= d <= 19 and luhn(digits), s.startswith("+"), s.startswith("00"), s.startswith("("),
         "@" in s, bool(re.search(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$", s)), s.count("@") == 1 and "." in s.rpartition("@")[2], bool(_AT.search(s)), bool(_DOT.search(s)), 1 <= dots <= 2, dots == 3, dots > 3, four and letters == 0, four and letters == 0 and n == 1,
         "-" in s, " " in s, "/" in s or ":" in s, any(c in s for c in "()[]{}"), letters == 0 and bool(s), letters > 0 and d == 0, letters > 0 and d > 0,
         n == 1 and len(s) >= 12 and letters > 0 and d > 0 and "@" not in s and s.isalnum(), d * 2 > len(s), len(groups) >= 3 and all(len(x) == 4 for x in groups), len(s) < 7, 7 <= len(s) < 20, len(s) >= 20,
@@ -188,7 +199,9 @@ class Field:
 
     def scores(self, where: np.ndarray, x: np.ndarray) -> np.ndarray:
         s = x @ self.w
-        s[where[:, 1] - where[:, 0] > 1, 0] = -np.inf
+        s[where[:, 1] - where[:, 0] > 1, 0] = _NEVER
+        for k in range(len(KINDS)):
+            s[~_admits(x, k), k + 1] = _NEVER
         return s
 
     def decode(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
@@ -270,30 +283,32 @@ def examples(texts: list[str], most: int = FIT_ISLANDS) -> list[tuple[np.ndarray
             for x in inside:
                 if all(x[2] <= y[1] or y[2] <= x[1] for y in taken):
                     taken.append(x)
-            data.append(_example(text, tokens, taken))
+            _add(data, text, tokens, taken)
             for kind, a, b in taken[:2]:
                 k += 1
                 for other in variants(kind, text[a:b], k):
                     line = text[lo:a] + other + text[b:hi]
                     span = (kind, a - lo, a - lo + len(other))
-                    data.append(_example(line, [m.span() for m in _TOKEN.finditer(line)], [span]))
+                    _add(data, line, [m.span() for m in _TOKEN.finditer(line)], [span])
     return data
 
 
-def _example(text: str, tokens: list[tuple[int, int]], spans: list[tuple[str, int, int]]):
+def _add(data: list, text: str, tokens: list[tuple[int, int]], spans: list[tuple[str, int, int]]) -> None:
     where, x = Field.segments(text, tokens)
     truth = np.full(len(where), -1)
     row = {(i, j): k for k, (i, j) in enumerate(where.tolist())}
     inside = set()
     for kind, a, b in spans:
         held = [t for t, (p, q) in enumerate(tokens) if p < b and a < q]
-        if held and (held[0], held[-1] + 1) in row and not inside & set(held):
-            truth[row[held[0], held[-1] + 1]] = KINDS.index(kind) + 1
-            inside.update(held)
+        k = row.get((held[0], held[-1] + 1)) if held else None
+        if k is None or inside & set(held) or not _admits(x[k : k + 1], KINDS.index(kind))[0]:
+            return  # no segmentation has this span
+        truth[k] = KINDS.index(kind) + 1
+        inside.update(held)
     for t in range(len(tokens)):
         if t not in inside:
             truth[row[t, t + 1]] = 0
-    return where, x, truth
+    data.append((where, x, truth))
 
 
 def find(text: str, field: Field | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
