@@ -359,8 +359,9 @@ def digest(found: DataFrame) -> DataFrame:
     rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
     text = lambda c: F.array_join(F.transform(F.array_sort(F.transform(c, lambda s: F.struct(rank(s).alias("r"), s["start"].alias("a"), s["end"].alias("b"), s["kind"].alias("k")))), lambda s: F.concat_ws(":", s["k"], s["a"], s["b"])), ",")
     base = F.filter("spans", lambda s: s["base"])
+    count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
     return found.select(
-        "doc_id", *[F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS],
         F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"),
     )
 
