@@ -17,7 +17,7 @@ _INTS = "array<int>"
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line, value: every line with its number in its file. Array files are small; a file is one row until it is exploded."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
 
 
@@ -86,7 +86,7 @@ def load_bits(spark: SparkSession, path: str) -> DataFrame:
 
 def load_state(spark: SparkSession, path: str) -> DataFrame:
     """a, b: adjacency lists of a JSON array of arrays."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.posexplode(F.from_json("value", "array<array<long>>")).alias("a", "near")).select(F.col("a").cast("long").alias("a"), F.explode("near").alias("b"))
 
 

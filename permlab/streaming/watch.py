@@ -22,7 +22,7 @@ def best(found: DataFrame) -> DataFrame:
 
 def watch(spark: SparkSession, folder: str, kept: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Keeps best() of all files so far as versions of a table below `kept`; current() reads the newest."""
-    files = spark.readStream.option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("file"), "value")
+    files = spark.readStream.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
 
     def adopt(batch: DataFrame, number: int) -> None:
         new = scored(batch)
