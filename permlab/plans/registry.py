@@ -18,6 +18,8 @@ from permlab.operators import graph, search
 from permlab.operators import relations as R
 from permlab.plans.fixtures import RANK_SQL, rank_array
 from permlab.sources import text
+from permlab.sources.storage import shared_dir
+from permlab.streaming import watch
 
 N, D = 8, 3
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -705,3 +707,212 @@ def e2_e4_e7_frontier(spark, sf_dir):
         rows = G.infills(spark, t, 2).select(F.lit(k).alias("slot"), "u")
         slots = rows if slots is None else slots.unionByName(rows)
     return search.frontier(slots, 2).select(F.array_join(F.transform("rows", C.text), "|").alias("rows"))
+
+
+# -- more searches
+
+
+def _table(spark, make, schema: str):
+    """What one seeded search returns, made in a task."""
+
+    def run(frames):
+        import pandas as pd
+
+        for _ in frames:
+            yield pd.DataFrame(make(), columns=[c.split()[0] for c in schema.split(", ")])
+
+    return spark.range(1).mapInPandas(run, schema)
+
+
+def _start(spark):
+    return G.weave_high(G.ascending_array(spark, 3, 3), 6, 3)
+
+
+def _chain_query(name: str, **options):
+    @query(name=name)
+    def run(spark, sf_dir):
+        return search.chains(_start(spark), 3, [1, 2], steps=200, **options).select("seed", "score", "row_id", C.text("u").alias("u"))
+
+
+_chain_query("h2_basic_chains", pick="uniform", stale=100)
+_chain_query("h6_coverage_chains", objective="coverage", pick="degree")
+_chain_query("h9_steepest_chains", candidates=8)
+_chain_query("h10_symmetric_chains", image="bump_half")
+_chain_query("h11_masked_chains", masked=True, move="subset")
+
+
+@query()
+def h5_increment(spark, sf_dir):
+    rows = [list(r["u"]) for r in G.ascending_array(spark, 6, 3).collect()]  # twenty rows
+
+    def make():
+        import numpy as np
+
+        found = search.increment(np.array(rows[:12]), 3, rows[12:15], 1, steps=100)
+        return [(k, ",".join(map(str, u))) for k, u in enumerate(found.tolist())]
+
+    return _table(spark, make, "row_id long, u string")
+
+
+@query()
+def h7_tournament(spark, sf_dir):
+    rows = [list(r["u"]) for r in G.random_array(spark, 6, 15, 3).orderBy("row_id").collect()]
+
+    def make():
+        import numpy as np
+
+        return [(k, ",".join(map(str, u))) for k, u in enumerate(search.tournament(np.array(rows), 3, 1, rounds=10).tolist())]
+
+    return _table(spark, make, "row_id long, u string")
+
+
+@query()
+def e1_largest_ulam_array(spark, sf_dir):
+    """A largest set of permutations of four symbols at Ulam distance two or more."""
+
+    def make():
+        from itertools import combinations, permutations
+
+        def far(u, v):  # no common subsequence of three
+            return not any([x for x in v if x in s] == list(s) for s in combinations(u, 3))
+
+        found = search.largest([list(u) for u in permutations(range(4))], far, budget=20_000)
+        return [(k, ",".join(map(str, u))) for k, u in enumerate(found)]
+
+    return _table(spark, make, "row_id long, u string")
+
+
+def _fillings():
+    """Slots: three position sets of the high symbols, each with all orders of them; lows ascend."""
+    from itertools import permutations
+
+    out = []
+    for ps in ((0, 1), (1, 3), (2, 3)):
+        options = []
+        for highs in permutations((2, 3)):
+            lows, at = iter((0, 1)), dict(zip(ps, highs, strict=True))
+            options.append([at[k] if k in at else next(lows) for k in range(4)])
+        out.append(options)
+    return out
+
+
+@query()
+def e3_fill_highs(spark, sf_dir):
+    return _table(spark, lambda: [(k, ",".join(map(str, _fillings()[k][j]))) for k, j in search.choose(_fillings(), 2) or []], "slot long, u string")
+
+
+@query()
+def e10_best_filling(spark, sf_dir):
+    value = lambda rows: -sum(abs(u[0] - v[0]) for u in rows for v in rows)
+    return _table(spark, lambda: [(k, ",".join(map(str, _fillings()[k][j]))) for k, j in search.choose(_fillings(), 1, value=value) or []], "slot long, u string")
+
+
+@query()
+def e11_fullest_filling(spark, sf_dir):
+    return _table(spark, lambda: [(k, ",".join(map(str, _fillings()[k][j]))) for k, j in search.choose(_fillings(), 3, skip=True) or []], "slot long, u string")
+
+
+@query()
+def f29_coverage_score(spark, sf_dir):
+    """Sum of degrees less two to the number of rows without conflict, as digits."""
+    deg = R.degrees(_few(spark, sf_dir), D).agg(F.collect_list("degree").alias("degrees"))  # 120 rows
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            yield pd.DataFrame({"score": [str(numbers.coverage_score([int(x) for x in xs])) for xs in frame["degrees"]]})
+
+    return deg.mapInPandas(run, "score string")
+
+
+# -- files: written to shared storage and read back
+
+
+def _file(spark, rows, label="files"):
+    """A text file of lines (id, value) in order."""
+    path = shared_dir(spark, label)
+    rows.coalesce(1).sortWithinPartitions("id").select("value").write.text(path)
+    return path
+
+
+_LOADED = f"WITH {rank(6)} SELECT row_id, {txt('u')} AS u FROM pa WHERE row_id < 100"
+
+
+def _hundred(spark, sf_dir):
+    return rank_array(spark, sf_dir, 6).where("row_id < 100")
+
+
+@query(_LOADED)
+def s1_k1_strict_file(spark, sf_dir):
+    path = shared_dir(spark, "array")
+    text.dump(_hundred(spark, sf_dir), path)
+    return text.load(spark, path).select("row_id", C.text("u").alias("u"))
+
+
+@query(_LOADED)
+def s2_lenient_file(spark, sf_dir):
+    rows = _hundred(spark, sf_dir).select(F.col("row_id").alias("id"), F.concat(F.lit("["), F.array_join(F.col("u").cast("array<string>"), ", "), F.lit("] # row")).alias("value"))
+    end = spark.createDataFrame([(1000, "% the end"), (1001, "1 2 3")], "id long, value string")
+    return text.load(spark, _file(spark, rows.unionByName(end)), "lenient").select("row_id", C.text("u").alias("u"))
+
+
+@query(_LOADED)
+def s3_s4_digits_file(spark, sf_dir):
+    rows = _hundred(spark, sf_dir).select((F.col("row_id") * 2).alias("id"), F.concat(F.lit("["), F.array_join(F.col("u").cast("array<string>"), ", "), F.lit("]")).alias("value"))
+    marks = rows.select((F.col("id") + 1).alias("id"), F.lit("---").alias("value"))
+    return text.load(spark, _file(spark, rows.unionByName(marks)), "nonempty").select("row_id", C.text("u").alias("u"))
+
+
+@query(f"WITH {rank(6)} SELECT row_id // 10 AS block_id, row_id % 10 AS row_id, {txt('u')} AS u FROM pa WHERE row_id < 100")
+def s5_block_file(spark, sf_dir):
+    rows = _hundred(spark, sf_dir).select((F.col("row_id") * 2).alias("id"), F.array_join(F.col("u").cast("array<string>"), ", ").alias("value"))
+    marks = rows.where("id % 20 = 18").select((F.col("id") + 1).alias("id"), F.lit("^ 0 ^").alias("value"))
+    found = text.load_blocks(spark, _file(spark, rows.unionByName(marks)))
+    return found.select(F.col("block_id").cast("long").alias("block_id"), "row_id", C.text("u").alias("u"))
+
+
+@query("SELECT 12::BIGINT AS score")
+def s6_k2_scored_file(spark, sf_dir):
+    path = shared_dir(spark, "scored")
+    text.dump_scored(_hundred(spark, sf_dir), path, 12)
+    return text.headers(spark, path).select("score")
+
+
+@query(f"WITH {rank()}, {pairs(2)} SELECT a, b FROM pairs")
+def s9_k6_state_file(spark, sf_dir):
+    path = shared_dir(spark, "state")
+    edges = R.conflicts(rank_array(spark, sf_dir), 2).select("a", "b")
+    text.dump_state(edges, path)
+    return spark.read.schema("a long, near array<long>").json(path).select("a", F.explode("near").alias("b"))
+
+
+@query(f"WITH {rank()}, {_SMALL} SELECT a.row_id AS a, b.row_id AS b FROM few a JOIN few b ON a.row_id <> b.row_id WHERE {cheb('a.u', 'b.u')} < 3")
+def s10_k5_bit_file(spark, sf_dir):
+    few = _few(spark, sf_dir)
+    edges = R.both_ways(R.conflicts(few, D).select("a", "b"))
+    rows = few.join(edges.groupBy("a").agg(F.collect_set("b").alias("near")), F.col("row_id") == F.col("a"), "left")
+    bits = rows.select(F.col("row_id").alias("id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(119)), lambda k: F.coalesce(F.array_contains("near", k.cast("long")), F.lit(False)).cast("int").cast("string")), "").alias("value"))
+    return text.load_bits(spark, _file(spark, bits))
+
+
+@query("SELECT (x % 7)::INT AS k, x::INT AS n, (x - 2 * (x % 7) + 1)::INT AS d, x / 4.0::DOUBLE AS bound FROM range(20, 60) t(x)")
+def k10_m17_bound_file(spark, sf_dir):
+    path = shared_dir(spark, "bounds")
+    x = F.col("id").cast("int")
+    text.dump_bounds(spark.range(20, 60).select((x % 7).alias("k"), x.alias("n"), (x - 2 * (x % 7) + 1).alias("d"), (x / 4).alias("bound")), path)
+    return text.load_bounds(spark, path)
+
+
+@query("SELECT row_id::BIGINT AS row_id, u FROM (VALUES (0, 'L,6,H'), (1, '7,L,H')) t(row_id, u)")
+def s11_literals(spark, sf_dir):
+    return text.literals(spark, [["L", 6, "H"], [7, "L", "H"]]).select("row_id", C.text("u").alias("u"))
+
+
+@query("SELECT (vec_id % 5 + 4)::INT AS n, (vec_id % 3 + 1)::INT AS d, min(vec_id * 7 % 101)::BIGINT AS score FROM embeddings GROUP BY 1, 2")
+def t1_best_of_files(spark, sf_dir):
+    """What the watcher keeps, over a table of files."""
+    ids = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id")
+    n, d = F.col("vec_id") % 5 + 4, F.col("vec_id") % 3 + 1
+    files = ids.select(F.concat_ws("_", F.lit("x/pa"), n, F.lit("choose"), d, F.lit("v.txt")).alias("file"), F.concat(F.lit("# score: "), (F.col("vec_id") * 7 % 101).cast("string"), F.lit("\n0 1 2\n")).alias("value"))
+    return watch.best(watch.scored(files)).select("n", "d", "score")
