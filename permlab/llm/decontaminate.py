@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permlab.llm.common import pick, spans_of, text_bytes
+from permlab.llm.common import pick, pieces, spans_of, text_bytes
 
 #: Marked positions over a span of 12 words. Any one replaced word, and most pairs, leave a mask whole.
 MASKS = ("111111110000", "000011111111", "110110110110", "101101101101")
@@ -206,7 +206,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, matc
         bench = docs.sparkSession.sparkContext.broadcast(Benchmark(items))
 
         def rows(batches, bench=bench):
-            for batch in batches:
+            for batch in pieces(batches):
                 names, texts = batch.column("doc_id"), batch.column("text")
                 got = overlaps(texts, bench.value, least, match)
                 columns = [[names[t].as_py() for t, *_ in got], *([r[k] for r in got] for k in range(1, 7))]
@@ -223,7 +223,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, match:
         bench = docs.sparkSession.sparkContext.broadcast(Benchmark(items))
 
         def rows(batches, bench=bench):
-            for batch in batches:
+            for batch in pieces(batches):
                 kept = np.ones(batch.num_rows, bool)
                 kept[[t for t, *_ in overlaps(batch.column("text").cast(pa.string()), bench.value, least, match)]] = False
                 yield batch.filter(pa.array(kept))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permlab.llm.common import pick, spans_of, text_bytes
+from permlab.llm.common import pick, pieces, spans_of, text_bytes
 from permlab.llm.labelled import held_out, sample
 
 #: Labelled documents of each label that the model is fitted on, at most.
@@ -187,11 +187,10 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **options))  # a few thousand numbers
 
     def rows(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             score = np.full(batch.num_rows, 0.5)
             if model.value is not None:
-                for a in range(0, batch.num_rows, 512):
-                    score[a : a + 512] = model.value(*passages(batch.column("text")[a : a + 512]))
+                score = model.value(*passages(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
 
     found = pick(docs, doc_id="long", text="string").mapInArrow(rows, "doc_id long, score double")

@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from permlab.llm.common import fresh, pick, spans_of, staged, text_bytes, with_fields
-from permlab.llm.components import components
+from permlab.operators.graph import components
 
 BLOCKS = 4
-CELL = 1024
+CELL = 512
 #: Bytes of text and shingles taken at a time.
 STEP, SHINGLES = 1 << 21, 1 << 15
 

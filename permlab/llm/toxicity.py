@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from permlab.llm.common import fresh, pick, spans_of, with_fields
+from permlab.llm.common import fresh, pick, pieces, spans_of, with_fields
 from permlab.llm.labelled import held_out, sample
 
 #: Labelled documents of each label that the classifier is fitted on, at most.
@@ -307,7 +307,7 @@ def letter_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def count(batches):
         tables = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             count_letters(lowered(batch.column("text").to_pylist()), *tables)
         for k, t in enumerate(tables):
             some = np.flatnonzero(t)
@@ -332,7 +332,7 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **options))
 
     def rows(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.value(batch.column("text").to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     found = pick(docs, doc_id="long", text="string").mapInArrow(rows, "doc_id long, score double")
@@ -345,7 +345,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **opt
     column = fresh(docs, "toxicity")
 
     def rows(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             score = np.array(model.value(batch.column("text").cast(pa.string()).to_pylist()), float)
             kept = pa.array(score < threshold)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, column]).filter(kept)
