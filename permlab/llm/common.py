@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from permlab.sources.storage import shared_dir, staged
+
+__all__ = ["WORD", "fresh", "pick", "pieces", "shared_dir", "spans_of", "staged", "table", "text_bytes", "with_fields"]
+
 #: The words of a text in every contract here: runs of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -36,24 +35,6 @@ def fresh(df: DataFrame, base: str) -> str:
     return base
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests), below a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(shared_dir, "local", None)
-        if base is None:
-            base = shared_dir.local = tempfile.mkdtemp(prefix="permlab-")
-            atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet to shared storage and read again: lineage ends there, and a lost executor costs nothing."""
-    path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def with_fields(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, t, True) for n, t in fields)])
 
