@@ -213,10 +213,10 @@ def p_pair_functions(spark, sf_dir):
  places AS (SELECT row_id, list_transform(v, lambda y: list_position(u, y)) AS p FROM duo),
  subs(row_id, p, i, last, n) AS (SELECT row_id, p, 0, 0, 0 FROM places
   UNION SELECT row_id, p, j::INT, p[j]::INT, n + 1 FROM subs, (SELECT unnest(range(1, 9)) AS j) WHERE j > i AND p[j] > last)
- SELECT row_id, (8 - max(n))::INT AS ulam FROM subs WHERE row_id < 60 GROUP BY row_id""")
+ SELECT row_id, (8 - max(n))::INT AS ulam FROM subs GROUP BY row_id""")
 def f17_ulam(spark, sf_dir):
-    """Distances of the first sixty rows: the SQL lists all increasing subsequences."""
-    return _duo(spark, sf_dir).where("row_id < 60").select("row_id", C.ulam("u", "v").alias("ulam"))
+    """The SQL lists all increasing subsequences."""
+    return _duo(spark, sf_dir).select("row_id", C.ulam("u", "v").alias("ulam"))
 
 
 @query("SELECT n::INT AS n, d::INT AS d, ((n + d - 1) // d)::INT AS up FROM range(1, 40) a(n), range(1, 12) b(d)")
@@ -269,11 +269,11 @@ def g3_g21_product(spark, sf_dir):
     return G.product(spark, [[1, 2], [7], [2, 3, "L"]]).select(F.array_join("u", ",").alias("u"))
 
 
-_LITTLE = "little AS (SELECT row_id, u FROM pa WHERE row_id < 20)"
+_LITTLE = "little AS (SELECT row_id, u FROM pa)"
 
 
 def _little(spark, sf_dir, n=4):
-    return rank_array(spark, sf_dir, n).where("row_id < 20")
+    return rank_array(spark, sf_dir, n)
 
 
 def _woven(n, d, highs, raised):
@@ -363,7 +363,7 @@ def g23_assemble(spark, sf_dir):
     return G.assemble(_little(spark, sf_dir), [0, 7], [1, 6], 2).select("row_id", C.text("u").alias("u"))
 
 
-@query(f"WITH RECURSIVE {rank(4)}, blocks AS (SELECT row_id // 5 AS block_id, u FROM pa WHERE row_id < 20), {perms(4)} SELECT block_id::BIGINT AS block_id, {txt('p.u')} AS ps FROM blocks b, full_perms p WHERE list_transform(p.u, lambda i: b.u[i + 1]) IN ([0, 1, 2, 3], [3, 2, 1, 0]) GROUP BY block_id, p.u HAVING count(DISTINCT list_transform(p.u, lambda i: b.u[i + 1])) = 2")
+@query(f"WITH RECURSIVE {rank(4)}, blocks AS (SELECT row_id // 5 AS block_id, u FROM pa), {perms(4)} SELECT block_id::BIGINT AS block_id, {txt('p.u')} AS ps FROM blocks b, full_perms p WHERE list_transform(p.u, lambda i: b.u[i + 1]) IN ([0, 1, 2, 3], [3, 2, 1, 0]) GROUP BY block_id, p.u HAVING count(DISTINCT list_transform(p.u, lambda i: b.u[i + 1])) = 2")
 def g24_g25_block_arrangements(spark, sf_dir):
     blocks = _little(spark, sf_dir).select(F.floor(F.col("row_id") / 5).alias("block_id"), "row_id", "u")
     return G.block_arrangements(blocks, text.literals(spark, [[0, 1, 2, 3], [3, 2, 1, 0]]), 4).select("block_id", C.text("ps").alias("ps"))
@@ -424,11 +424,11 @@ def j4_conflicts_both_ways(spark, sf_dir):
     return R.both_ways(R.conflicts(rank_array(spark, sf_dir), D).select("a", "b"))
 
 
-_SMALL = "few AS (SELECT * FROM pa WHERE row_id < 120)"
+_SMALL = "few AS (SELECT * FROM pa)"
 
 
 def _few(spark, sf_dir):
-    return rank_array(spark, sf_dir).where("row_id < 120")
+    return rank_array(spark, sf_dir)
 
 
 def _few_sql(select: str, where: str) -> str:
@@ -545,9 +545,9 @@ def a15_running_best(spark, sf_dir):
     return R.running_best(log)
 
 
-@query(f"WITH {rank()}, c AS (SELECT unnest(range(0, 8))::INT AS col) SELECT col, {txt('list_sort(list_distinct(list(pa.u[col + 1])))')} AS symbols FROM pa, c WHERE row_id < 6 GROUP BY col")
+@query(f"WITH {rank()}, c AS (SELECT unnest(range(0, 8))::INT AS col) SELECT col, {txt('list_sort(list_distinct(list(pa.u[col + 1])))')} AS symbols FROM pa, c GROUP BY col")
 def a16_column_symbols(spark, sf_dir):
-    return R.column_symbols(rank_array(spark, sf_dir).where("row_id < 6"))
+    return R.column_symbols(rank_array(spark, sf_dir))
 
 
 @query(f"WITH {rank()}, {degree_sql(D)} SELECT row_id, degree, row_number() OVER (ORDER BY degree DESC, row_id)::INT AS rank FROM deg")
@@ -586,10 +586,11 @@ def x1_with_images(spark, sf_dir):
     return R.with_images(rank_array(spark, sf_dir), lambda u: C.complement(u, N)).select("row_id", C.text("u").alias("u"))
 
 
-@query(f"WITH {rank()} SELECT row_id, {txt('u')} AS u FROM pa WHERE row_id % 3 <> 0")
+@query(f"WITH {rank()}, {pairs(2)} SELECT row_id, {txt('u')} AS u FROM pa WHERE row_id NOT IN (SELECT b FROM pairs)")
 def x2_without(spark, sf_dir):
+    """Rows but for the later one of each conflict."""
     array = rank_array(spark, sf_dir)
-    return R.without(array, array.where("row_id % 3 = 0")).select("row_id", C.text("u").alias("u"))
+    return R.without(array, R.conflicts(array, 2).select(F.col("b").alias("row_id"))).select("row_id", C.text("u").alias("u"))
 
 
 @query(f"WITH {rank()} SELECT row_id, {txt('list_sort(list_intersect(u[1:4], u[3:6]))')} AS both, {txt('list_sort(list_filter(u[1:6], lambda x: NOT (list_contains(u[1:4], x) AND list_contains(u[3:6], x))))')} AS one FROM pa")
@@ -815,7 +816,7 @@ def e11_fullest_filling(spark, sf_dir):
 @query()
 def f29_coverage_score(spark, sf_dir):
     """Sum of degrees less two to the number of rows without conflict, as digits."""
-    deg = R.degrees(_few(spark, sf_dir), D).agg(F.collect_list("degree").alias("degrees"))  # 120 rows
+    deg = R.degrees(_few(spark, sf_dir), D).agg(F.collect_list("degree").alias("degrees"))  # a number for each row of one array
 
     def run(frames):
         import pandas as pd
@@ -836,37 +837,37 @@ def _file(spark, rows, label="files"):
     return path
 
 
-_LOADED = f"WITH {rank(6)} SELECT row_id, {txt('u')} AS u FROM pa WHERE row_id < 100"
+_LOADED = f"WITH {rank(6)} SELECT row_id, {txt('u')} AS u FROM pa"
 
 
-def _hundred(spark, sf_dir):
-    return rank_array(spark, sf_dir, 6).where("row_id < 100")
+def _six(spark, sf_dir):
+    return rank_array(spark, sf_dir, 6)
 
 
 @query(_LOADED)
 def s1_k1_strict_file(spark, sf_dir):
     path = shared_dir(spark, "array")
-    text.dump(_hundred(spark, sf_dir), path)
+    text.dump(_six(spark, sf_dir), path)
     return text.load(spark, path).select("row_id", C.text("u").alias("u"))
 
 
 @query(_LOADED)
 def s2_lenient_file(spark, sf_dir):
-    rows = _hundred(spark, sf_dir).select(F.col("row_id").alias("id"), F.concat(F.lit("["), F.array_join(F.col("u").cast("array<string>"), ", "), F.lit("] # row")).alias("value"))
-    end = spark.createDataFrame([(1000, "% the end"), (1001, "1 2 3")], "id long, value string")
+    rows = _six(spark, sf_dir).select(F.col("row_id").alias("id"), F.concat(F.lit("["), F.array_join(F.col("u").cast("array<string>"), ", "), F.lit("] # row")).alias("value"))
+    end = spark.createDataFrame([(1 << 40, "% the end"), ((1 << 40) + 1, "1 2 3")], "id long, value string")
     return text.load(spark, _file(spark, rows.unionByName(end)), "lenient").select("row_id", C.text("u").alias("u"))
 
 
 @query(_LOADED)
 def s3_s4_digits_file(spark, sf_dir):
-    rows = _hundred(spark, sf_dir).select((F.col("row_id") * 2).alias("id"), F.concat(F.lit("["), F.array_join(F.col("u").cast("array<string>"), ", "), F.lit("]")).alias("value"))
+    rows = _six(spark, sf_dir).select((F.col("row_id") * 2).alias("id"), F.concat(F.lit("["), F.array_join(F.col("u").cast("array<string>"), ", "), F.lit("]")).alias("value"))
     marks = rows.select((F.col("id") + 1).alias("id"), F.lit("---").alias("value"))
     return text.load(spark, _file(spark, rows.unionByName(marks)), "nonempty").select("row_id", C.text("u").alias("u"))
 
 
-@query(f"WITH {rank(6)} SELECT row_id // 10 AS block_id, row_id % 10 AS row_id, {txt('u')} AS u FROM pa WHERE row_id < 100")
+@query(f"WITH {rank(6)} SELECT row_id // 10 AS block_id, row_id % 10 AS row_id, {txt('u')} AS u FROM pa")
 def s5_block_file(spark, sf_dir):
-    rows = _hundred(spark, sf_dir).select((F.col("row_id") * 2).alias("id"), F.array_join(F.col("u").cast("array<string>"), ", ").alias("value"))
+    rows = _six(spark, sf_dir).select((F.col("row_id") * 2).alias("id"), F.array_join(F.col("u").cast("array<string>"), ", ").alias("value"))
     marks = rows.where("id % 20 = 18").select((F.col("id") + 1).alias("id"), F.lit("^ 0 ^").alias("value"))
     found = text.load_blocks(spark, _file(spark, rows.unionByName(marks)))
     return found.select(F.col("block_id").cast("long").alias("block_id"), "row_id", C.text("u").alias("u"))
@@ -875,7 +876,7 @@ def s5_block_file(spark, sf_dir):
 @query("SELECT 12::BIGINT AS score")
 def s6_k2_scored_file(spark, sf_dir):
     path = shared_dir(spark, "scored")
-    text.dump_scored(_hundred(spark, sf_dir), path, 12)
+    text.dump_scored(_six(spark, sf_dir), path, 12)
     return text.headers(spark, path).select("score")
 
 
@@ -892,7 +893,8 @@ def s10_k5_bit_file(spark, sf_dir):
     few = _few(spark, sf_dir)
     edges = R.both_ways(R.conflicts(few, D).select("a", "b"))
     rows = few.join(edges.groupBy("a").agg(F.collect_set("b").alias("near")), F.col("row_id") == F.col("a"), "left")
-    bits = rows.select(F.col("row_id").alias("id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(119)), lambda k: F.coalesce(F.array_contains("near", k.cast("long")), F.lit(False)).cast("int").cast("string")), "").alias("value"))
+    rows = rows.crossJoin(F.broadcast(few.agg(F.max("row_id").alias("last"))))  # one number
+    bits = rows.select(F.col("row_id").alias("id"), F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), "last"), lambda k: F.coalesce(F.array_contains("near", k.cast("long")), F.lit(False)).cast("int").cast("string")), "").alias("value"))
     return text.load_bits(spark, _file(spark, bits))
 
 
