@@ -173,6 +173,33 @@ def lexicode(n: int, m: int, d: int, ident: list[int] | None = None, probes: int
     return kept
 
 
+def greedy_keep(rows, d: int, image: str | None = None, orders=None) -> list[list[int]]:
+    """Rows in order, each kept if it is d from all kept ones; with an image, from their images too. orders(row): what to offer for a row, the first that fits is kept."""
+    kept = np.zeros((0, len(rows[0]) if len(rows) else 0), np.int64)
+    for row in rows:
+        for u in orders(row) if orders else (row,):
+            u = np.array(u, np.int64)
+            if not len(kept) or not _against(kept, u, d, IMAGES[image]).any():
+                kept = np.vstack([kept, u])
+                break
+    return kept.tolist()
+
+
+def high_orders(n: int, d: int):
+    """For a row, the row with its d highest symbols in every order at their positions."""
+    from itertools import permutations
+
+    def orders(row):
+        where = [k for k, x in enumerate(row) if x >= n - d]
+        for highs in permutations(range(n - d, n)):
+            u = list(row)
+            for k, x in zip(where, highs, strict=True):
+                u[k] = x
+            yield u
+
+    return orders
+
+
 def lexicodes(spark: SparkSession, n: int, m: int, d: int, seeds: list[int], probes: int = 0) -> DataFrame:
     """seed, row_id, u: an array for every seed."""
 

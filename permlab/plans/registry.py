@@ -767,6 +767,20 @@ def h7_tournament(spark, sf_dir):
     return _table(spark, make, "row_id long, u string")
 
 
+@query()
+def g10_greedy_weave(spark, sf_dir):
+    """Rows of a weave that are apart from all kept before them."""
+    rows = [list(r["u"]) for r in G.weave_high(G.lexicographic_array(spark, 4), 6, 2).orderBy("row_id").collect()]  # ninety rows
+    return _table(spark, lambda: [(k, ",".join(map(str, u))) for k, u in enumerate(search.greedy_keep(rows, 3))], "row_id long, u string")
+
+
+@query()
+def g11_hybrid_weave(spark, sf_dir):
+    """As g10, with every order of the high symbols tried for a row."""
+    rows = [list(r["u"]) for r in G.weave_high(G.lexicographic_array(spark, 4), 6, 2).orderBy("row_id").collect()]
+    return _table(spark, lambda: [(k, ",".join(map(str, u))) for k, u in enumerate(search.greedy_keep(rows, 3, orders=search.high_orders(6, 2)))], "row_id long, u string")
+
+
 @query()
 def e1_largest_ulam_array(spark, sf_dir):
     """A largest set of permutations of four symbols at Ulam distance two or more."""

@@ -157,3 +157,12 @@ def test_searches(spark):
     assert search.conflict_matrix(search.tournament(mess, 3, 2), 3).sum() <= search.conflict_matrix(mess, 3).sum()
     assert R.score(search.construct(spark, 6, 3), 3).first().n_rows == 20
     assert len(search.largest([list(u) for u in permutations(range(3))], lambda u, v: cheb(u, v) >= 2)) >= 2
+
+
+def test_greedy_weaves(spark):
+    rows = rows_of(G.weave_high(G.lexicographic_array(spark, 4), 6, 2))
+    kept = search.greedy_keep(rows, 3)
+    more = search.greedy_keep(rows, 3, orders=search.high_orders(6, 2))
+    for found in (kept, more):
+        assert all(cheb(u, v) >= 3 for u, v in combinations(found, 2))
+    assert all(any(cheb(u, v) < 3 for v in kept) for u in rows if list(u) not in kept) and len(more) >= len(kept)
