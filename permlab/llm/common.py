@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from permlab.sources.storage import shared_dir, staged
 
-__all__ = ["WORD", "fresh", "pick", "pieces", "shared_dir", "spans_of", "staged", "table", "text_bytes", "with_fields"]
+__all__ = ["WORD", "fresh", "modest_batches", "pick", "pieces", "shared_dir", "spans_of", "staged", "table", "text_bytes", "with_fields"]
 
 #: The words of a text in every contract here: runs of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,8 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Batches of 1000 rows for Python workers where the session has Spark's default of 10000: rows here are whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def pick(df: DataFrame, **types: str) -> DataFrame:
     """Only the named columns, cast to the given types; a column that is absent is null."""
+    modest_batches(df.sparkSession)
     have = set(df.columns)
     return df.select(*[(df[c] if c in have else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
 

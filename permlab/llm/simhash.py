@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from permlab.llm.common import fresh, pick, spans_of, staged, text_bytes, with_fields
+from permlab.llm.common import fresh, modest_batches, pick, spans_of, staged, text_bytes, with_fields
 from permlab.operators.graph import components
 
 BLOCKS = 4
@@ -229,6 +229,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """One document of each component, that with the smallest doc_id, with all columns of docs."""
+    modest_batches(docs.sparkSession)
     column = fresh(docs, "simhash_fp")
     schema = with_fields(docs, (column, T.LongType()))
 

@@ -27,7 +27,7 @@ from permlab.llm.common import fresh, pick, pieces, spans_of, with_fields
 from permlab.llm.labelled import held_out, sample
 
 #: Labelled documents of each label that the classifier is fitted on, at most.
-FIT_ROWS = 4000
+FIT_ROWS = 2500
 #: Bins of each count table of the character model.
 BINS = 1 << 18
 #: Characters taken at a time.
