@@ -3,8 +3,8 @@
 A seed is a fixed mask over SPAN consecutive words; the hash of a window under it takes the marked words only, so a
 replaced word at a free position doesn't matter. Windows of the benchmark are hashed under every mask. Every window of
 every document is hashed likewise and joined with them: a bitmap of the hashes passes the few that can match, a
-search in the sorted hashes finds the items and offsets. A hit fixes how the item lies along the document; along that
-diagonal the longest stretch of the item that agrees in at least MATCH of its words, and has at least
+search in the sorted hashes finds the items and offsets. A hit fixes how the item lies along the document. Diagonals with
+too few agreeing words in all for any overlap are dropped at once; along the others the longest stretch of the item that agrees in at least MATCH of its words, and has at least
 `least` words or all of the item's, is verified word by word (by 64-bit hashes of the words). Deleted or added words
 split an overlap in two diagonals, each verified by itself.
 
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from permlab.llm.common import pick, pieces, spans_of, text_bytes
 
-#: Marked positions over a span of 12 words. Any one replaced word, and most pairs, leave a mask whole.
-MASKS = ("111111110000", "000011111111", "110110110110", "101101101101")
+#: Marked positions over a span of 12 words. Every overlap of SPAN words or more that agrees in 0.8 of them, wherever the others lie,
+#: has a window that one of these masks lets through (tests/llm/test_decontaminate.py goes through all).
+MASKS = ("110101000011", "001000101111", "110011010001", "101100110001", "100111001100", "110100011100")
 SPAN = 12
 #: Share of words that agree in a verified overlap, and its least words.
 MATCH, LEAST = 0.8, 13
@@ -36,6 +37,8 @@ MATCH, LEAST = 0.8, 13
 BLOCK_WORDS = 1 << 20
 #: Bytes of text taken at a time; longest word that is hashed apart (longer ones by their first and last bytes and length).
 STEP, LONGEST = 1 << 20, 64
+#: Words of diagonals that are compared at a time.
+COMPARED = 1 << 20
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -106,6 +109,8 @@ class Benchmark:
         ids = [i for i, _ in items]
         words, at, *_ = word_hashes(pa.array([x for _, x in items], pa.string()))
         self.items = [(i, words[a:b]) for i, a, b in zip(ids, at[:-1], at[1:], strict=True) if b > a]
+        sizes = np.array([len(w) for _, w in self.items], np.int64)
+        self.flat, self.sizes, self.begin = words, sizes, np.cumsum(sizes) - sizes
         keys, where = [], []
         self.short = {}
         for k, (_, w) in enumerate(self.items):
@@ -123,17 +128,18 @@ class Benchmark:
         self.map = np.zeros(1 << self.bits, bool)
         self.map[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
-    def hits(self, words: np.ndarray) -> np.ndarray:
-        """Distinct (item, word of the texts at which the item's word 0 lies)."""
+    def hits(self, words: np.ndarray, least: int = LEAST, match: float = MATCH) -> np.ndarray:
+        """Distinct (item, word of the texts at which the item's word 0 lies) with words enough that agree."""
         found = [np.zeros((0, 2), np.int64)]
         for m in range(len(MASKS)):
             h = seed_hashes(words, m)
             at = np.flatnonzero(self.map[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
             h = h[at]
             lo, hi = np.searchsorted(self.keys, h, "left"), np.searchsorted(self.keys, h, "right")
-            n = hi - lo
-            row = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.stack([self.where[row, 0], np.repeat(at, n) - self.where[row, 1]], 1))
+            for a, b in spans_of(hi - lo, COMPARED):
+                n = hi[a:b] - lo[a:b]
+                row = np.repeat(lo[a:b], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                found.append(self.likely(words, self.where[row, 0], np.repeat(at[a:b], n) - self.where[row, 1], least, match))
         for size, ks in self.short.items():
             first = {}
             for k in ks:
@@ -142,6 +148,22 @@ class Benchmark:
             found += [np.array([[k, p]]) for p in at.tolist() for k in first[int(words[p])] if np.array_equal(words[p : p + size], self.items[k][1])]
         return np.unique(np.concatenate(found), axis=0)
 
+    def likely(self, words: np.ndarray, item: np.ndarray, p: np.ndarray, least: int, match: float) -> np.ndarray:
+        """The distinct diagonals with as many agreeing words as the shortest overlap has."""
+        item, p = np.divmod(np.unique((item << 40) + (p + (1 << 39))), 1 << 40)
+        p -= 1 << 39
+        lo, hi = np.maximum(p, 0), np.minimum(p + self.sizes[item], len(words))
+        need = np.ceil(match * np.minimum(least, self.sizes[item]) - 1e-9)
+        good = np.zeros(len(item), bool)
+        for a, b in spans_of(hi - lo, COMPARED):
+            n = hi[a:b] - lo[a:b]
+            place = np.repeat(lo[a:b], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            agree = words[place] == self.flat[place + np.repeat(self.begin[item[a:b]] - p[a:b], n)]
+            total = np.concatenate([[0], np.cumsum(agree)])
+            ends = np.cumsum(n)
+            good[a:b] = total[ends] - total[ends - n] >= need[a:b]
+        return np.stack([item[good], p[good]], 1)
+
 
 def stretch(agree: np.ndarray, least: int, match: float) -> tuple[int, int] | None:
     """The longest run [a, b) whose ends agree and that agrees in at least `match` of its words, if it has `least` words; the first of several."""
@@ -160,7 +182,7 @@ def overlaps(texts: pa.Array, bench: Benchmark, least: int = LEAST, match: float
     """(text, item_id, first word, words, agreeing words, first byte, end byte) of all verified overlaps."""
     words, at, starts, ends = word_hashes(texts)
     out = []
-    found = bench.hits(words)
+    found = bench.hits(words, least, match)
     if not len(found):
         return out
     for k, p in found.tolist():

@@ -71,3 +71,45 @@ def test_tables(spark):
         kept = d.keep_clean(docs, bench, block_words=block)
         assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 8]
     assert d.contaminated(docs.limit(0), bench).collect() == [] == d.contaminated(docs, bench.limit(0)).collect()
+
+
+def test_masks_let_every_overlap_through():
+    """The best share of a run that no mask lets through, over all runs of each length, by its last SPAN - 1 words: 1 for a word that agrees, -4 for another."""
+    n, never = 1 << (d.SPAN - 1), -(10**9)
+    state, window = np.arange(n), np.arange(2 * n)
+    hit = np.any([window & m == m for m in (sum(1 << k for k, c in enumerate(x) if c == "1") for x in d.MASKS)], axis=0)
+    ones = sum(state >> k & 1 for k in range(d.SPAN - 1))
+    best = np.where(state & 1, 5 * ones - 4 * (d.SPAN - 1), never)
+    for length in range(d.SPAN, 300):
+        new = np.full(n, never)
+        for bit in (0, 1):
+            to = state | bit << (d.SPAN - 1)
+            np.maximum.at(new, to >> 1, np.where(hit[to], never, best + (1 if bit else -4)))
+        best = new
+        assert best[n >> 1 :].max() < 0, length
+
+
+def test_all_diagonals_without_masks():
+    rng = np.random.default_rng(8)
+    items, rows = [], []
+    for k in range(300):
+        v = [f"i{k}w{j}" for j in range(int(rng.integers(12, 61)))]
+        items.append((k, " ".join(v)))
+        w = list(v)
+        if k % 3:
+            gone = 1 + rng.permutation(len(v) - 2)[: (len(v) - int(np.ceil(0.8 * len(v) - 1e-9)))]
+        else:
+            gone = np.arange(k // 3 % 5, len(v), 5)
+        for j in gone:
+            w[j] = "other"
+        rows.append("before it " + " ".join(w) + " after it")
+    got = {r[:5] for r in d.overlaps(pa.array(rows), d.Benchmark(items))}
+    want = set()
+    for t, row in enumerate(rows):
+        w, v = words(row), words(items[t][1])
+        for p in range(1 - len(v), len(w)):
+            lo, hi = max(0, p), min(len(w), p + len(v))
+            run = d.stretch(np.array([float(w[x] == v[x - p]) for x in range(lo, hi)]), min(d.LEAST, len(v)), d.MATCH)
+            if run:
+                want.add((t, t, lo + run[0], run[1] - run[0], sum(w[x] == v[x - p] for x in range(lo + run[0], lo + run[1]))))
+    assert got == want and len(want) > 280
