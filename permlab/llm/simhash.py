@@ -212,12 +212,12 @@ def fingerprint_rows(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def classes(rows: DataFrame, radius: int = 2) -> DataFrame:
-    """rows: doc_id, fp. Returns fp, component_id for every distinct fingerprint."""
+    """rows: doc_id, fp. Returns fp, root (the component's least fingerprint, or its own), component_id for every distinct fingerprint."""
     groups = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-groups")
     found = components(links(groups.select("fp"), radius))
     member = groups.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    return staged(member.join(ids, "root").select("fp", "component_id"), "simhash-classes")
+    return staged(member.join(ids, "root").select("fp", "root", "component_id"), "simhash-classes")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
@@ -241,9 +241,9 @@ def keep_one(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     marked = docs.mapInArrow(rows, schema)
     small = staged(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("fp")), "simhash")
     found = classes(small, radius)
-    # a representative per component: its smallest doc_id and, of copies of that row, the first
+    # a representative per component: its smallest doc_id, of several texts with that id the least fingerprint and, of copies of that row, the first
     chosen = small.join(found.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = chosen.groupBy("component_id").agg(F.min("fp").alias("keep_fp"))
+    chosen = chosen.groupBy("root").agg(F.min("fp").alias("keep_fp"), F.first("component_id").alias("component_id"))
     mine = marked[column]
     kept = marked.join(chosen, (mine == F.col("keep_fp")) & marked["doc_id"].cast("long").eqNullSafe(F.col("component_id")), "left_semi")
     nth = fresh(docs, "simhash_nth")

@@ -85,3 +85,10 @@ def test_documents(spark):
     want = {c for *_, c in plain_components(ROWS)}
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(want, key=repr)
     assert simhash.near_duplicates(df.limit(0)).collect() == [] and simhash.keep_one(df.limit(0)).collect() == []
+
+
+def test_unlinked_texts_without_an_id_or_with_the_same(spark):
+    unlike = [" ".join(f"{name}{i}" for i in range(60)) for name in "abcde"]
+    rows = [(None, unlike[0]), (None, unlike[1]), (5, unlike[2]), (5, unlike[3]), (8, unlike[3]), (9, unlike[2]), (None, unlike[4]), (5, unlike[2])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(None, unlike[0]), (None, unlike[1]), (None, unlike[4]), (5, unlike[2]), (5, unlike[3])], key=repr)
