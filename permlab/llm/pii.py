@@ -1,6 +1,6 @@
 """Personal data in texts: fixed patterns, and a semi-Markov conditional random field that adds what they miss.
 
-Base spans are those of the four patterns. Around digits and at signs a text is cut into islands of tokens. The field
+Base spans are those of the four patterns. Around digits, at signs and spelled ones (bracketed, or bare before a host) a text is cut into islands of tokens. The field
 scores whole candidate segments of an island, up to LONGEST tokens, by features of the span as a unit (its digits,
 separators, checksum, shape, the word before); dynamic programming over segment ends chooses boundaries and kinds
 jointly. It is trained by maximum likelihood, forward and backward over all segmentations, on the islands of a bounded
@@ -8,7 +8,7 @@ sample (FIT_DOCS documents): base spans are the truth, and copies of them in oth
 it forms that the patterns don't take (user (at) host dot org, numbers without +, with other separators). Spans of the field
 that don't touch a base span are added.
 
-Cases: a null text is empty; texts without digits and at signs have no spans and aren't scored; repeated rows get equal
+Cases: a null text is empty; texts without digits and at signs, spelled or not, have no spans and aren't scored; repeated rows get equal
 results; without base spans to learn from only the patterns are used; an empty table gives no rows; other columns are ignored.
 """
 
@@ -81,6 +81,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 _TRIGGER = re.compile("[0-9@]")
 _TOKEN = re.compile(r"\S+")
+#: A bracketed at or dot, or a bare at before a host, in letters of any case; for Python's re and for Arrow, without what only one of them knows.
+_BLANKS = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_WORDS = _BLANKS.replace("[", "[^.\\[({<", 1)
+SPOKEN = rf"(?i)[\[({{<]{_BLANKS}*(?:at|dot){_BLANKS}*[\])}}>]|(?:^|{_BLANKS})at{_BLANKS}+{_WORDS}+(?:{_BLANKS}*(?:\.|[\[({{<]{_BLANKS}*dot{_BLANKS}*[\])}}>]){_BLANKS}*|{_BLANKS}+dot{_BLANKS}+){_WORDS}"
+_SPOKEN = re.compile(SPOKEN)
+#: "at a dot", all bare, is of a sentence.
+_ARTICLE = re.compile(r"\s?at\s+(a|an|the)\s+dot\s", re.I)
 _LINK = frozenset(("at", "dot", "(at)", "(dot)", "[at]", "[dot]", "<at>", "<dot>", "{at}", "{dot}", ".", "-", "/", ":"))
 _OPEN, _CLOSE = "\"'<[{“«", "\"'>]},;:!?.“”»"
 
@@ -88,7 +95,7 @@ _OPEN, _CLOSE = "\"'<[{“«", "\"'>]},;:!?.“”»"
 def islands(text: str) -> list[list[tuple[int, int]]]:
     """Runs of tokens (start, end) with a digit, an at sign or a linking word, each with a neighbour on both sides."""
     hot = [m.start() for m in _TRIGGER.finditer(text)]
-    hot += [m.start() for m in re.finditer(r"(?<!\S)[\[({<]at[\])}>](?!\S)", text)]
+    hot += [m.start() + m.group()[0].isspace() for m in _SPOKEN.finditer(text) if not _ARTICLE.match(m.group())]
     out: list[list[tuple[int, int]]] = []
     done = -1
     for p in sorted(hot):
@@ -275,9 +282,9 @@ def examples(texts: list[str], most: int = FIT_ISLANDS) -> list[tuple[np.ndarray
         for tokens in islands(text):
             if len(data) >= most:
                 return data
-            if len(tokens) > 40:
-                continue  # to learn from; decode() takes islands of any length
             lo, hi = tokens[0][0], tokens[-1][1]
+            if len(tokens) > 40 or not _TRIGGER.search(text, lo, hi):
+                continue  # to learn from; decode() takes islands of any length, and those that the base can't judge
             inside = [(kind, a, b) for kind, a, b in spans if lo <= a and b <= hi]
             taken: list[tuple[str, int, int]] = []
             for x in inside:
@@ -344,7 +351,7 @@ def personal_data(docs: DataFrame, **options) -> DataFrame:
     def rows(batches):
         for batch in pieces(batches):
             text = batch.column("text")
-            hot = pa.compute.fill_null(pa.compute.match_substring_regex(text, r"[0-9@]|[\[({<]at[\])}>]"), False).to_pylist()
+            hot = pa.compute.fill_null(pa.compute.match_substring_regex(text, f"[0-9@]|{SPOKEN}"), False).to_pylist()
             out = [[]] * batch.num_rows
             for k in np.flatnonzero(hot).tolist():
                 base, more = find(text[k].as_py(), field.value)

@@ -103,3 +103,15 @@ def test_tables(spark):
         spans = [(x.split(":")[0], int(x.split(":")[1])) for x in r.spans.split(",") if x]
         assert spans == sorted(spans, key=lambda x: (pii.KINDS.index(x[0]), x[1]))
     assert pii.digest(pii.personal_data(df.limit(0))).collect() == []
+
+
+def test_every_notation_of_an_email_without_digits(spark, field, monkeypatch):
+    said = [pii.variants("email", "jane.roe@example.org", k)[0] for k in range(4)]
+    said += ["jane(at)example.org", "jane (AT) example (DOT) org", "jane AT example DOT org", "jane[AT]example[DOT]org", "jane at example.org"]
+    for x in said:
+        text = f"ersta nolis {x} resti nolit"
+        assert pii.find(text, field) == ([], [("email", 12, 12 + len(x))]), x
+    rows = [(k, f"ersta nolis {x} resti nolit") for k, x in enumerate(said)] + [(99, "lone words at a place, dot")]
+    monkeypatch.setattr(pii, "train", lambda docs: field)
+    got = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in got} == {k: [("email", 12, 12 + len(x))] for k, x in enumerate(said)} | {99: []}
