@@ -5,13 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from permlab.sources.storage import shared_dir, staged
 
-__all__ = ["WORD", "fresh", "modest_batches", "pick", "pieces", "shared_dir", "spans_of", "staged", "table", "text_bytes", "with_fields"]
+__all__ = ["WORD", "estimated_bytes", "fresh", "modest_batches", "pick", "pieces", "row_key", "rows_of", "shared_dir", "spans_of", "staged", "table", "text_bytes", "with_fields"]
 
 #: The words of a text in every contract here: runs of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +28,12 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "1000")
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's estimate of a table's size, exact for files; 0 where it has none."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
+
+
 def pick(df: DataFrame, **types: str) -> DataFrame:
     """Only the named columns, cast to the given types; a column that is absent is null."""
     modest_batches(df.sparkSession)
@@ -43,6 +49,20 @@ def fresh(df: DataFrame, base: str) -> str:
     return base
 
 
+def row_key(df: DataFrame) -> Column:
+    """A digest of doc_id and text, nulls apart from all values: rows with the same key are copies of one document."""
+    return F.md5(F.concat_ws(":", F.coalesce(df["doc_id"].cast("string"), F.lit("")), F.coalesce(F.md5(df["text"].cast("string")), F.lit(""))))
+
+
+def rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row of docs for each row_key of chosen (row_key, again: whether docs has several such rows), with its own columns only."""
+    key = fresh(docs, "row_key")
+    own = docs.withColumn(key, row_key(docs))
+    single = own.join(chosen.where("NOT again").select(F.col("row_key").alias("chosen_key")), F.col(key) == F.col("chosen_key"), "left_semi")
+    several = own.join(chosen.where("again").select(F.col("row_key").alias("chosen_key")), F.col(key) == F.col("chosen_key"), "left_semi")
+    return single.unionByName(several.dropDuplicates([key])).select(*docs.columns)
+
+
 def with_fields(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, t, True) for n, t in fields)])
 

@@ -6,24 +6,29 @@ is the tokens the curriculum has demanded of it by t. Documents of a source queu
 order; a copy whose middle token is number x in that queue is read when the demand reaches x, that is at the
 inverse of the demand in x. Sorting all copies by that position gives the training order.
 
-Scale: the queue's prefix sums are taken in two levels, per (source, bucket of the order key) and per source over
-its bucket sums, so that a source with a third of all rows is dealt over all its buckets. Bucket numbers follow the
-number of rows. Only per-source totals, a row for each source, are ever brought together.
+Scale: the queue's prefix sums are taken in two levels, per (source, bucket) and per source over its bucket sums, so that a
+source with a third of all rows is dealt over all its buckets. Buckets are ranges of the order key, a digest of doc_id and text,
+about as many as the root of the number of rows: both levels stay short, and the order of a queue depends on its
+documents alone, not on the number of buckets. Only per-source totals, a row for each source, are ever brought together.
 
 Cases: a null or empty text has size 0 and takes 0 words; a null source is a source of its own, last in order;
-repeated rows are separate documents; an empty table gives an empty result; other columns are kept or ignored.
+a null doc_id has the place of its text; repeated rows are separate documents, one after another; an empty table gives an empty result; other columns are kept or ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from permlab.llm.common import WORD, fresh, pick, staged
 
-#: Rows in a bucket of a source's queue, on average.
-BUCKET_ROWS = 2000
+
+def order_key(df: DataFrame, seed: int) -> Column:
+    """The place of a document in its source's queue: a digest of the seed, doc_id and text."""
+    return F.md5(F.concat_ws(":", F.lit(seed).cast("string"), df["doc_id"].cast("long").cast("string"), F.md5(F.coalesce(df["text"].cast("string"), F.lit("")))))
 
 
 def word_count(text: Column) -> Column:
@@ -74,17 +79,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), tilts: tuple[floa
     with both taken from the tuples, repeating. A copy is taken if its middle token is within the target.
     """
     own = pick(docs, doc_id="long", text="string", source="string")
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
-    rows = staged(own.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("key"), F.md5(F.coalesce("text", F.lit(""))).alias("text_key")), "mix")
-    buckets = max(1, min(1 << 16, rows.count() // BUCKET_ROWS))
-    rows = rows.withColumn("bucket", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % buckets).cast("int"))
+    rows = staged(own.select("doc_id", "source", word_count(F.col("text")).alias("size"), order_key(own, seed).alias("key")), "mix")
+    buckets = max(1, math.isqrt(rows.count()))
+    rows = rows.withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets, 32).cast("int"))
     sums = staged(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-sums")
     plan = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, most)
     plan = plan.withColumn("tilt", F.element_at(F.array(*map(F.lit, tilts)), (F.col("rank") % len(tilts) + 1).cast("int")))
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "bucket_size")
     starts = starts.withColumnsRenamed({"source": "s", "bucket": "b"})
-    inner = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "text_key", "size").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("source", "bucket").orderBy("key").rowsBetween(W.unboundedPreceding, -1)
     queue = rows.withColumn("queued", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     # the middle of copy e is at e * source_size + at; it is taken while below the target
     queue = queue.withColumn("at", F.col("start") + F.col("queued") + F.col("size") / 2)
@@ -92,30 +96,33 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), tilts: tuple[floa
     queue = queue.withColumn("copies", copies)
     return queue.select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"),
-        F.when(F.col("copies") > 0, position(F.col("at"), F.col("target"), F.col("tilt"))).alias("position"), "at", "tilt", "key", "text_key",
+        F.when(F.col("copies") > 0, position(F.col("at"), F.col("target"), F.col("tilt"))).alias("position"), "at", "tilt", "key",
     )
 
 
 def sorted_mix(docs: DataFrame, **options) -> DataFrame:
     """mix() in the order of first positions, documents that aren't taken last, by a range sort."""
-    return mix(docs, **options).orderBy(F.col("position").asc_nulls_last(), "key", "doc_id")
+    return mix(docs, **options).orderBy(F.col("position").asc_nulls_last(), "key")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = 42, **options) -> DataFrame:
     """The documents themselves, with all their columns, each as often as the mix takes it, in training order.
 
-    A document's choice is joined back by doc_id and a digest of its text; identical rows are numbered on both sides.
+    A document's choice is joined back by its source and order key; identical rows are numbered on both sides.
     """
-    options = {"most": 3} | options
-    chosen = mix(docs, **options)
-    nth, digest, number = (fresh(docs, x) for x in ("mix_nth", "mix_digest", "mix_source"))
-    same = W.partitionBy("doc_id", "source", "text_key").orderBy("at")
-    chosen = chosen.withColumn("nth", F.row_number().over(same)).where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    chosen = chosen.select(
-        F.col("doc_id").alias("m_doc"), F.col("source").alias("m_source"), F.col("text_key").alias("m_text"), F.col("nth").alias("m_nth"),
-        position(F.col("at") + F.col("epoch") * F.col("source_size"), F.col("target"), F.col("tilt")).alias("m_position"), F.col("key").alias("m_key"),
-    )
-    own = docs.withColumn(digest, F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")))).withColumn(number, docs["source"].cast("string"))
-    own = own.withColumn(nth, F.row_number().over(W.partitionBy("doc_id", number, digest).orderBy(F.lit(0))))
-    joined = own.join(chosen, own["doc_id"].cast("long").eqNullSafe(F.col("m_doc")) & own[number].eqNullSafe(F.col("m_source")) & (own[digest] == F.col("m_text")) & (own[nth] == F.col("m_nth")))
-    return joined.orderBy("m_position", "m_key", "m_doc").select(*[own[c] for c in docs.columns])
+    name, key, nth = (fresh(docs, x) for x in ("mix_source", "mix_key", "mix_nth"))
+    tag = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    chosen = mix(docs, seed=seed, **options).select(tag(F.col("source")).alias("m_source"), F.col("key").alias("m_key"), "at", "copies", "source_size", "target", "tilt")
+    chosen = staged(chosen, "mix-chosen")
+    several = staged(chosen.groupBy("m_source", "m_key").count().where("count > 1").select(F.col("m_source").alias("s_source"), F.col("m_key").alias("s_key")), "mix-several")
+    same = (F.col("m_source") == F.col("s_source")) & (F.col("m_key") == F.col("s_key"))
+    taken = lambda rows: rows.where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("m_position", position(F.col("at") + F.col("epoch") * F.col("source_size"), F.col("target"), F.col("tilt")))
+    own = docs.withColumn(name, tag(docs["source"])).withColumn(key, order_key(docs, seed))
+    mine = (F.col(name) == F.col("m_source")) & (F.col(key) == F.col("m_key"))
+    kept = [*docs.columns, "m_position", "m_key"]
+    single = own.join(taken(chosen.join(several, same, "left_anti")).select("m_source", "m_key", "m_position"), mine).select(*kept)
+    # rows that occur more than once
+    numbered = chosen.join(several, same, "left_semi").withColumn("m_nth", F.row_number().over(W.partitionBy("m_source", "m_key").orderBy("at")))
+    again = own.join(several, (F.col(name) == F.col("s_source")) & (F.col(key) == F.col("s_key")), "left_semi").withColumn(nth, F.row_number().over(W.partitionBy(name, key).orderBy(F.lit(0))))
+    again = again.join(taken(numbered).select("m_source", "m_key", "m_nth", "m_position"), mine & (F.col(nth) == F.col("m_nth"))).select(*kept)
+    return single.unionByName(again).orderBy("m_position", "m_key").select(*docs.columns)

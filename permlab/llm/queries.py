@@ -7,15 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permlab.llm import decontaminate, mixing, passages, pii, quality, simhash, tokens, topk, toxicity, warc
+from permlab.llm import decontaminate, mixing, passages, pii, quality, simhash, stages, tokens, topk, toxicity, warc
 from permlab.llm.common import table
-
-
-def vocabulary() -> str:
-    """Where the public tokenizer's file is."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
+from permlab.llm.stages import vocabulary
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -72,7 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 MIXING_SQL = r"""
 WITH docs AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('42:' || doc_id::VARCHAR) AS key, md5(coalesce(text, '')) AS text_key FROM documents),
+         md5(concat_ws(':', '42', doc_id::VARCHAR, md5(coalesce(text, '')))) AS key FROM documents),
 sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM sums),
 weighed AS (SELECT *, rank % 3 + 1 AS weight, 3 * source_size AS cap,
@@ -84,8 +76,7 @@ level AS (SELECT rest, rest_weight FROM filled WHERE cap * rest_weight >= rest *
 plan AS (SELECT f.source, f.source_size, f.tilt, least(f.cap::DOUBLE, l.rest * f.weight / l.rest_weight) AS target FROM filled f, level l),
 queue AS (
   SELECT doc_id, size, source_size, target, tilt,
-         (coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY (('0x' || key[1:8])::BIGINT % greatest(1, least(65536, (SELECT count(*) FROM docs) // 2000))), key, doc_id, text_key, size
-                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT + size / 2.0::DOUBLE AS mid
+         (coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT + size / 2.0::DOUBLE AS mid
   FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
 chosen AS (SELECT *, (mid < target)::INT + (mid + source_size < target)::INT + (mid + source_size * 2 < target)::INT AS copies FROM queue)
 SELECT doc_id, size, source_size, target, size * copies AS taken,

@@ -7,6 +7,9 @@ meets. Within a cell distances are counted bit-sliced: bit planes hold 64 finger
 add one plane at a time for all of them, and a word is abandoned when its 64 distances all exceed the radius.
 A cell gives the edges of a spanning forest, not its pairs. Components are found over these edges.
 
+keep_one() also finds near copies whose fingerprints are farther apart: texts are cut into sections where the hash of a shingle says so,
+and texts with equal fingerprints of a section are compared by their shingles.
+
 Cases: a null or empty text has no words and fingerprint zero, linked like any other; fewer words than a shingle are
 one shingle; a component's id is its smallest doc_id that isn't null; repeated rows are separate documents
 of one component; an empty table gives an empty result; other columns are ignored or kept by keep_one().
@@ -20,11 +23,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from permlab.llm.common import fresh, modest_batches, pick, spans_of, staged, text_bytes, with_fields
+from permlab.llm.common import modest_batches, pick, pieces, row_key, rows_of, spans_of, staged, text_bytes
+from permlab.llm.shingling import BLANK, LOWER, shingles
 from permlab.operators.graph import components
 
 BLOCKS = 4
@@ -32,31 +34,38 @@ CELL = 512
 #: Bytes of text and shingles taken at a time.
 STEP, SHINGLES = 1 << 21, 1 << 15
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_LOWER[_BLANK] = 32
+#: A section of a text ends before a shingle whose hash is 0 modulo so much; sections of fewer shingles than LEAST aren't looked up.
+SECTION, LEAST = 16, 6
+#: Share of shingles that near copies have in common, and bits in which their fingerprints may differ before the shingles are compared:
+#: at that share a bit differs with probability 0.15, more than 22 of 64 with less than 0.0001.
+SIMILARITY, FAR = 0.8, 22
 
 
 def fingerprints(texts: pa.Array, width: int = 3) -> np.ndarray:
     """Unsigned fingerprints of all texts."""
+    return signatures(texts, width)[0]
+
+
+def signatures(texts: pa.Array, width: int, section: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints of all texts; fingerprints of all sections that are looked up, and their number in each text."""
     data, offsets = text_bytes(texts)
-    return np.concatenate([np.zeros(0, np.uint64), *(_fingerprints(data, offsets[a : b + 1], width) for a, b in spans_of(np.diff(offsets), STEP))])
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    parts = [none, *(_signatures(data, offsets[a : b + 1], width, section) for a, b in spans_of(np.diff(offsets), STEP))]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
 
 
-def _fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+def _signatures(data: np.ndarray, offsets: np.ndarray, width: int, section: int):
     body, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
     n = len(offsets) - 1
-    if not len(body):
-        return np.zeros(n, np.uint64)
-    solid = ~_BLANK[body]
+    solid = ~BLANK[body]
+    if not solid.any():
+        return np.zeros(n, np.uint64), np.zeros(0, np.uint64), np.zeros(n, np.int64)
     edge = np.zeros(len(body), bool)  # where a text starts
     edge[offsets[:-1][offsets[:-1] < len(body)]] = True
     after = np.append(False, solid[:-1]) & ~edge  # the byte before is of a word of this text
     # a word and one blank after it are kept, so words stand one space apart; a word that ends its text has none
     kept = solid | after
-    line = _LOWER[body[kept]]
+    line = LOWER[body[kept]]
     at = np.cumsum(kept) - 1
     starts = at[solid & ~after]
     last = solid & ~np.append(solid[1:] & ~edge[1:], False)
@@ -71,17 +80,31 @@ def _fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarr
     first = first + np.arange(len(first)) - np.repeat(shift, many)
     final = np.minimum(first + width, np.repeat(begin + words, many)) - 1
     lo, hi = starts[first], ends[final]
-    ones = np.zeros((n, 64), np.int64)
-    of = np.repeat(np.arange(n), many)
     view, digest = memoryview(line.tobytes()), xxhash.xxh64_intdigest
-    for a in range(0, len(lo), SHINGLES):
-        b = min(a + SHINGLES, len(lo))
-        h = np.fromiter((digest(view[i:j], 42) for i, j in zip(lo[a:b].tolist(), hi[a:b].tolist(), strict=True)), "<u8", b - a)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        cut = np.flatnonzero(np.append(True, of[a + 1 : b] != of[a : b - 1]))
-        ones[of[a:b][cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int64)
-    over = (2 * ones > many[:, None]).astype(np.uint8)
-    return np.packbits(over, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
+    h = np.fromiter((digest(view[i:j], 42) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)), "<u8", len(lo))
+    # parts: texts, or sections of them
+    of = np.repeat(np.arange(n), many)
+    new = np.append(True, of[1:] != of[:-1])
+    if section:
+        new |= h % np.uint64(section) == 0
+    cut = np.flatnonzero(new)
+    part, size = np.cumsum(new) - 1, np.diff(np.append(cut, len(h)))
+    ones = np.zeros((len(cut), 64), np.int64)
+    for a in range(0, len(h), SHINGLES):
+        bits = np.unpackbits(h[a : a + SHINGLES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        own = part[a : a + SHINGLES]
+        edges = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        ones[own[edges]] += np.add.reduceat(bits, edges, axis=0, dtype=np.int64)
+    first = np.flatnonzero(np.append(True, of[cut][1:] != of[cut][:-1]))
+    fps = np.zeros(n, np.uint64)
+    fps[of[cut[first]]] = _signs(np.add.reduceat(ones, first, axis=0), many[of[cut[first]]])
+    looked = size >= LEAST if section else np.zeros(len(cut), bool)
+    return fps, _signs(ones[looked], size[looked]), np.bincount(of[cut[looked]], minlength=n)
+
+
+def _signs(ones: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """A bit is 1 if set in over half."""
+    return np.packbits((2 * ones > many[:, None]).astype(np.uint8), axis=1, bitorder="little").reshape(-1).view("<u8").astype(np.uint64)
 
 
 def close_pairs(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,25 +250,71 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     return rows.join(found, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """One document of each component, that with the smallest doc_id, with all columns of docs."""
-    modest_batches(docs.sparkSession)
-    column = fresh(docs, "simhash_fp")
-    schema = with_fields(docs, (column, T.LongType()))
-
-    def rows(batches):
+def _near_links(rows: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """rows: row_key, fp, sections. Edges a, b of fingerprints whose texts have that share of their shingles in common.
+
+    Texts with an equal section are compared with one of them, that which shares most sections with others: of an original and
+    its copies the original. Pairs whose fingerprints are more than FAR bits apart are left; the others are verified by their shingles.
+    """
+    texts = rows.groupBy("fp").agg(F.min(F.struct("row_key", "sections")).alias("r")).select("fp", "r.*")
+    parts = staged(texts.select("fp", F.explode(F.array_distinct("sections")).alias("key")), "simhash-sections")
+    shared = parts.groupBy("key").count().where("count > 1").select(F.col("key").alias("of_key"))
+    shared = staged(parts.join(shared, F.col("key") == F.col("of_key")).select("key", "fp"), "simhash-shared")
+    support = shared.groupBy("fp").agg(F.count("*").alias("support")).withColumnRenamed("fp", "of_fp")
+    ranked = shared.join(support, F.col("fp") == F.col("of_fp")).select("key", F.struct("support", "fp").alias("r"))
+    heads = ranked.groupBy("key").agg(F.max("r").alias("head")).select(F.col("key").alias("of_key"), F.col("head.fp").alias("b"))
+    found = shared.withColumnRenamed("fp", "a").join(heads, F.col("key") == F.col("of_key"))
+    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= FAR)
+    found = staged(found.where(near).select("a", "b").distinct(), "simhash-pairs")
+    # the shingles of one text for each fingerprint of a pair
+    need = found.select(F.col("a").alias("of_fp")).unionByName(found.select(F.col("b").alias("of_fp"))).distinct()
+    keys = texts.join(need, F.col("fp") == F.col("of_fp")).select("fp", F.col("row_key").alias("of_row"))
+
+    def sets(batches):
+        for batch in pieces(batches):
+            s, at = shingles(batch.column("text"), width)
+            own = [np.unique(s[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(own, pa.binary())], names=["fp", "own"])
+
+    own = docs.select(row_key(docs).alias("row_key"), docs["text"].cast("string").alias("text"))
+    own = staged(own.join(keys, F.col("row_key") == F.col("of_row")).select("fp", "text").mapInArrow(sets, "fp long, own binary"), "simhash-sets").dropDuplicates(["fp"])
+    both = found.join(own.select(F.col("fp").alias("fa"), F.col("own").alias("x")), F.col("a") == F.col("fa")).join(own.select(F.col("fp").alias("fb"), F.col("own").alias("y")), F.col("b") == F.col("fb"))
+
+    def verified(batches):
         for batch in batches:
-            fp = pa.array(fingerprints(batch.column("text").cast(pa.string()), width).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, fp], names=[*batch.schema.names, column])
-
-    marked = docs.mapInArrow(rows, schema)
-    small = staged(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("fp")), "simhash")
-    found = classes(small, radius)
-    # a representative per component: its smallest doc_id, of several texts with that id the least fingerprint and, of copies of that row, the first
-    chosen = small.join(found.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = chosen.groupBy("root").agg(F.min("fp").alias("keep_fp"), F.first("component_id").alias("component_id"))
-    mine = marked[column]
-    kept = marked.join(chosen, (mine == F.col("keep_fp")) & marked["doc_id"].cast("long").eqNullSafe(F.col("component_id")), "left_semi")
-    nth = fresh(docs, "simhash_nth")
-    again = W.partitionBy(column, "doc_id").orderBy("text")
-    return kept.withColumn(nth, F.row_number().over(again)).where(F.col(nth) == 1).select(*docs.columns)
+            good = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good[k] = common > 0 and common >= similarity * (len(x) + len(y) - common)
+            kept = batch.filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
+
+    return both.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+
+
+def keep_one(docs: DataFrame, width: int = 5, radius: int = 2, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group, that with the smallest doc_id, with all columns of docs.
+
+    Groups: texts whose fingerprints are within the radius, or that have a section with the same fingerprint and at least that
+    share of their shingles in common, and what is connected by these. Null doc_ids come after all others; of several
+    texts with the smallest doc_id the one with the least digest stays, of rows with equal doc_id and text one.
+    """
+
+    def signed(batches):
+        for batch in pieces(batches):
+            fp, keys, counts = signatures(batch.column("text"), width, SECTION)
+            ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            sections = pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(fp.view(np.int64)), sections], names=["doc_id", "row_key", "fp", "sections"])
+
+    modest_batches(docs.sparkSession)
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(docs).alias("row_key"), docs["text"].cast("string").alias("text"))
+    rows = staged(own.mapInArrow(signed, "doc_id long, row_key string, fp long, sections array<long>"), "simhash")
+    values = rows.select("fp").distinct()
+    found = components(links(values, radius).unionByName(_near_links(rows, docs, width, similarity)))
+    member = rows.select("doc_id", "row_key", "fp").join(found, F.col("fp") == F.col("node"), "left").select("doc_id", "row_key", F.coalesce("root", "fp").alias("root"))
+    # the smallest doc_id, nulls last, then the least digest; where more than one row has both, one of them
+    chosen = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("r")).select(F.col("r.row_key").alias("row_key"))
+    again = member.groupBy("row_key").count().where("count > 1").select("row_key")
+    return rows_of(docs, staged(chosen.join(again.withColumn("again", F.lit(True)), "row_key", "left").select("row_key", F.coalesce("again", F.lit(False)).alias("again")), "simhash-chosen"))

@@ -5,9 +5,10 @@ shard (shard, segment, first: ids of the shard before it, doc_ids, ends: ids up
 `codes` is a directly addressable code (DAC): every id is cut into chunks of `WIDTH` bits, least significant first.
 Level k holds chunk k of all ids that have one, a bitmap that tells which of these ids go on, and a rank directory
 with the number of set bits before every 512th. Id i is read from position i of level 0; while its bit is
-set, its position in the next level is the rank of that bit. No block is decoded for a single id.
+set, its position in the next level is the rank of that bit. No block is decoded for a single id: codes are written without
+compression, a segment in a page of its own, and tokens_at() reads single ids out of them in place.
 
-Texts are range-sorted by doc_id before they are encoded, so shards are in ascending order, and the ids before a
+Texts are range-sorted by doc_id (or another order, such as that of the files they come from) before they are encoded, so shards are in that order, and the ids before a
 shard follow from a row for each shard. A text is encoded through a table of its pieces: a piece starts at white
 space after a character that isn't, a place the tokenizer always cuts, so it encodes pieces alone as in the text.
 
@@ -23,11 +24,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from permlab.llm.common import pick, shared_dir, spans_of, text_bytes
+from permlab.llm.common import estimated_bytes, modest_batches, shared_dir, spans_of, text_bytes
 
 WIDTH = 8
 RANK_BITS = 512
@@ -240,14 +242,32 @@ def encoded(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 # -- files
 
 _SEGMENTS = "shard int, segment int, first long, doc_ids array<long>, ends array<long>, codes binary"
+#: Bytes of a table for each task that encodes it, by Spark's estimate of its size.
+TASK_BYTES = 1 << 26
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -> DataFrame:
-    """Encodes every text, appends end_id and writes the ids in ascending doc_id order to the folder path. Returns its segments."""
+def file_order(docs: DataFrame) -> list[Column] | None:
+    """The order in which the rows stand in the files that docs was read from, as Spark's writers number them; None if docs isn't just read."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() not in ("LogicalRelation", "DataSourceV2Relation"):
+        return None
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return None
+    name = F.col("_metadata.file_name")
+    return [F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long"), name, F.col("_metadata.row_index")]
+
+
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, order: list[Column] | None = None) -> DataFrame:
+    """Encodes every text, appends end_id and writes the ids to the folder path, by ascending doc_id or in another order. Returns its segments."""
     spark = docs.sparkSession
-    own = pick(docs, doc_id="long", text="string")
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    own = own.repartitionByRange(tasks, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    modest_batches(spark)
+    order = order or [F.col("doc_id").cast("long"), F.col("text").cast("string")]
+    names = [f"o{k}" for k in range(len(order))]
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *(c.alias(n) for c, n in zip(order, names, strict=True)))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, estimated_bytes(docs) // TASK_BYTES))
+    by = [F.col(n).asc_nulls_first() for n in names]
+    own = own.repartitionByRange(tasks, *by).sortWithinPartitions(*by).select("doc_id", "text")
 
     def segments(batches):
         from pyspark import TaskContext
@@ -279,7 +299,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -
         if held:
             yield flush()
 
-    own.mapInArrow(segments, _SEGMENTS).write.parquet(path)
+    # codes lie in the files as they are, one page for each segment
+    own.mapInArrow(segments, _SEGMENTS).write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(path)
     return read_segments(spark, path)
 
 
@@ -287,6 +308,38 @@ def read_segments(spark, path: str) -> DataFrame:
     return spark.read.schema(_SEGMENTS).parquet(path)
 
 
+def bases(segments: DataFrame) -> DataFrame:
+    """of, base: the number of ids before each shard."""
+    totals = segments.groupBy("shard").agg(F.max(F.col("first") + F.element_at("ends", -1)).alias("n"))
+    before = W.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    return totals.select(F.col("shard").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+
+
+def tokens_at(segments: DataFrame, positions: DataFrame) -> DataFrame:
+    """positions: position (long, counted over all shards). position, doc_id, token of those that exist: each is found in its segment's codes without decoding them."""
+
+    def picked(batches):
+        for batch in batches:
+            out = [[], [], []]
+            for row, codes in zip(batch.select(["doc_ids", "ends", "at", "start"]).to_pylist(), batch.column("codes"), strict=True):
+                code, ends = Dac(codes.as_buffer()), np.array(row["ends"], np.int64)
+                for at in row["at"]:
+                    out[0].append(row["start"] + at), out[1].append(row["doc_ids"][int(np.searchsorted(ends, at, "right"))]), out[2].append(code[at])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["position", "doc_id", "token"])
+
+    start = (F.col("base") + F.col("first")).alias("start")
+    held = segments.join(F.broadcast(bases(segments)), F.col("shard") == F.col("of"))  # a row for each shard
+    directory = held.select("shard", "segment", start, (F.col("base") + F.col("first") + F.element_at("ends", -1)).alias("end"))
+    # positions and segments meet by ranges of SEGMENT_IDS, of which a segment touches a few
+    directory = directory.withColumn("range", F.explode(F.sequence(F.floor(F.col("start") / SEGMENT_IDS), F.floor((F.col("end") - 1) / SEGMENT_IDS))))
+    wanted = positions.select(F.col("position").cast("long").alias("position")).distinct()
+    found = wanted.join(directory, (F.floor(F.col("position") / SEGMENT_IDS) == F.col("range")) & (F.col("position") >= F.col("start")) & (F.col("position") < F.col("end")))
+    found = found.groupBy("shard", "segment", "start").agg(F.collect_list(F.col("position") - F.col("start")).alias("at"))  # places of one segment
+    found = found.withColumnsRenamed({"shard": "s", "segment": "g"})
+    rows = segments.join(found, (F.col("shard") == F.col("s")) & (F.col("segment") == F.col("g"))).select("doc_ids", "ends", "at", "start", "codes")
+    return rows.mapInArrow(picked, "position long, doc_id long, token long")
+
+
 def read_tokens(segments: DataFrame, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids) of every document, decoded from the files."""
     fields = "shard int, doc_id long, begin long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
@@ -305,13 +358,11 @@ def read_tokens(segments: DataFrame, with_ids: bool = False) -> DataFrame:
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    totals = segments.groupBy("shard").agg(F.max(F.col("first") + F.element_at("ends", -1)).alias("n"))
-    before = W.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(F.col("shard").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    totals = bases(segments)
     out = segments.mapInArrow(documents, fields).join(F.broadcast(totals), F.col("shard") == F.col("of"))  # a row for each shard
     return out.select("doc_id", (F.col("base") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
-def token_table(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
+def token_table(docs: DataFrame, vocabulary: str, end_id: int = 2, order: list[Column] | None = None) -> DataFrame:
     """Writes the files into shared storage and reads every document back from them."""
-    return read_tokens(write_tokens(docs, shared_dir(docs.sparkSession, "tokens"), vocabulary, end_id))
+    return read_tokens(write_tokens(docs, shared_dir(docs.sparkSession, "tokens"), vocabulary, end_id, order))

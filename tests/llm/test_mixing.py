@@ -1,7 +1,6 @@
 import hashlib
 import re
 
-import pytest
 
 from permlab.llm import mixing
 
@@ -26,9 +25,7 @@ def rows():
     return [*out, (2000, None, "src1"), (2001, "", "src1"), (2002, "a\x0bb\x1cc", "Z"), (None, "x y", "src2"), (5, "same row", "src3"), (5, "same row", "src3"), (7, "tiny", "tiny")]
 
 
-@pytest.mark.parametrize("bucket_rows", [2000, 20])
-def test_mix(spark, monkeypatch, bucket_rows):
-    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket_rows)
+def test_mix(spark):
     df = spark.createDataFrame([(*r, 9) for r in rows()], "doc_id long, text string, source string, size int")
     got = mixing.mix(df).collect()
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
@@ -51,7 +48,7 @@ def test_queue_is_by_digest_and_positions_follow_the_schedule(spark):
     df = spark.createDataFrame([(k, "w w", "a" if k % 2 else "b") for k in range(40)], "doc_id long, text string, source string")
     got = {r.doc_id: r for r in mixing.mix(df).collect()}
     for s, tilt in (("a", 0.5), ("b", 0.0)):
-        mine = sorted((d for d, r in got.items() if r.source == s), key=lambda d: hashlib.md5(f"42:{d}".encode()).hexdigest())
+        mine = sorted((d for d, r in got.items() if r.source == s), key=lambda d: hashlib.md5(f"42:{d}:{hashlib.md5(b'w w').hexdigest()}".encode()).hexdigest())
         at = 1.0
         for d in mine:
             if got[d].copies:
@@ -74,3 +71,13 @@ def test_documents(spark):
         got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + 1
     assert got == {k: n for k, n in counts.items() if n}
     assert mixing.mix(df.limit(0)).collect() == [] == mixing.mixed_documents(df.limit(0)).collect()
+
+
+def test_the_order_of_a_queue_is_not_that_of_its_buckets(spark, monkeypatch):
+    df = spark.createDataFrame([(k, "w " * (k % 9 + 1), "abc"[k % 3]) for k in range(200)], "doc_id long, text string, source string")
+    see = lambda: sorted((r.doc_id, r.at) for r in mixing.mix(df).collect())
+    some = see()
+    monkeypatch.setattr(mixing.math, "isqrt", lambda n: 3 * n + 1)
+    assert see() == some
+    monkeypatch.setattr(mixing.math, "isqrt", lambda n: 1)
+    assert see() == some

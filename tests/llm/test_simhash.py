@@ -92,3 +92,40 @@ def test_unlinked_texts_without_an_id_or_with_the_same(spark):
     rows = [(None, unlike[0]), (None, unlike[1]), (5, unlike[2]), (5, unlike[3]), (8, unlike[3]), (9, unlike[2]), (None, unlike[4]), (5, unlike[2])]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(None, unlike[0]), (None, unlike[1]), (None, unlike[4]), (5, unlike[2]), (5, unlike[3])], key=repr)
+
+
+def test_sections_and_whole_texts_over_many_steps(monkeypatch):
+    texts = [" ".join(f"w{i * j % 101}" for i in range(n)) for j, n in enumerate((0, 3, 40, 900, 2000))] + [None, ""]
+    whole = simhash.signatures(pa.array(texts), 5, 16)
+    assert whole[0].tolist() == simhash.fingerprints(pa.array(texts), 5).tolist() and whole[2][3] > 20
+    alone = [simhash.signatures(pa.array([t], pa.string()), 5, 16) for t in texts]
+    assert whole[1].tolist() == [x for a in alone for x in a[1].tolist()] and whole[2].tolist() == [a[2][0] for a in alone]
+    monkeypatch.setattr(simhash, "SHINGLES", 7)
+    again = simhash.signatures(pa.array(texts), 5, 16)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, again, strict=True))
+
+
+def test_near_copies_stay_once(spark):
+    """Every kept text against every other by brute force: what is similar by 0.8 goes, what is like nothing stays."""
+    rng = np.random.default_rng(8)
+    say = lambda n: [f"w{w}" for w in rng.integers(0, 10**6, n)]
+    line = say(30)  # a line that all texts hold
+    rows, near, at = [], 0, 0
+    for k in range(60):
+        text = say(int(rng.integers(60, 300)))
+        at += 1
+        rows.append((1000 + k, text[:20] + line + text[20:]))
+        for _ in range(1 + 9 * (k == 0)):
+            copy = list(rows[-1 - 0][1]) if k else list(rows[0][1])
+            for i in rng.permutation(len(copy))[: int(rng.integers(1, max(2, len(copy) // 50)))]:
+                copy[i] = say(1)[0]
+            at += 1
+            rows.append((2000 + at, copy))
+    grams = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in rows}
+    alike = {(a, b) for a in grams for b in grams if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])}
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")).collect()}
+    gone = set(grams) - kept
+    near = {d for p in alike for d in p}
+    assert gone <= near and {d for d in grams if d < 2000} <= kept
+    wanted = {max(p) for p in alike}
+    assert len(wanted) > 50 and len(gone & wanted) >= 0.9 * len(wanted)

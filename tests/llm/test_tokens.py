@@ -55,3 +55,25 @@ def test_files_hold_all_documents_in_order(spark):
     assert sorted((x[1], x[2]) for x in got) == sorted((x[1], x[2]) for x in want)
     assert got == want
     assert tokens.token_table(df.limit(0), PATH).collect() == []
+
+
+def test_single_tokens_of_the_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokens, "SEGMENT_IDS", 40)
+    monkeypatch.setattr(tokens, "STEP", 64)
+    rows = [(i, " ".join(f"word{i * j}" for j in range(i % 13))) for i in range(60)] + [(None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    segments = tokens.write_tokens(df, f"{tmp_path}/tokens", PATH)
+    whole = [(r.start + k, r.doc_id, x) for r in tokens.read_tokens(segments, with_ids=True).collect() for k, x in enumerate(r.ids)]
+    assert segments.count() > 8 and segments.select("shard").distinct().count() > 1
+    got = tokens.tokens_at(segments, spark.range(-5, len(whole) + 9).withColumnRenamed("id", "position"))
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == sorted(whole, key=lambda r: r[0])
+    assert tokens.tokens_at(segments, spark.range(0).withColumnRenamed("id", "position")).collect() == []
+
+
+def test_files_in_the_order_of_the_files_they_come_from(spark, tmp_path):
+    rows = [(i * 7 % 50, f"text {i}") for i in range(50)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(3, "text").sortWithinPartitions("text").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    got = [r.doc_id for r in tokens.token_table(docs, PATH, order=tokens.file_order(docs)).orderBy("start").collect()]
+    assert got == [d for d, _ in sorted(rows, key=lambda r: r[1])]
+    assert tokens.file_order(docs.distinct()) is None
