@@ -1,50 +1,5 @@
-"""A corpus pipeline of five stages. Each reads what its predecessor kept and, but for the last, returns the columns of documents."""
+"""The corpus pipeline: STAGES, each reading what its predecessor kept, and run() over documents. See permlab/llm/stages.py."""
 
-from __future__ import annotations
+from permlab.llm.stages import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-
-from permlab.llm import decontaminate, mixing, simhash, tokens, toxicity
-from permlab.llm.common import staged, table
-from permlab.llm.queries import vocabulary
-
-
-def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
-
-
-def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
-
-
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(docs)
-
-
-def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return tokens.token_table(docs, vocabulary())
-
-
-STAGES = [
-    ("toxicity", reject_toxic),
-    ("simhash near-dedup", drop_near_duplicates),
-    ("benchmark decontamination", decontaminated),
-    ("mixing sources", mixed),
-    ("token ids", tokenized),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
-
-
-#: Classifiers, fingerprints and the tokenizer aren't in SQL; tests/llm compares run() with a plain version.
-ORACLE_SQL = None
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
