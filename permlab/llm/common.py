@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from permlab.sources.storage import shared_dir, staged
+from permlab.sources.storage import RAW, shared_dir, staged
 
-__all__ = ["WORD", "estimated_bytes", "fresh", "modest_batches", "pick", "pieces", "row_key", "rows_of", "shared_dir", "spans_of", "staged", "table", "text_bytes", "with_fields"]
+__all__ = ["RAW", "WORD", "estimated_bytes", "fresh", "modest_batches", "pick", "pieces", "row_key", "rows_of", "shared_dir", "spans_of", "staged", "table", "text_bytes", "with_fields"]
 
 #: The words of a text in every contract here: runs of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"

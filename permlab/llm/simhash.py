@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permlab.llm.common import modest_batches, pick, pieces, row_key, rows_of, spans_of, staged, text_bytes
+from permlab.llm.common import RAW, modest_batches, pick, pieces, row_key, rows_of, spans_of, staged, text_bytes
 from permlab.llm.shingling import BLANK, LOWER, shingles
 from permlab.operators.graph import components
 
@@ -277,7 +277,7 @@ def _near_links(rows: DataFrame, docs: DataFrame, width: int, similarity: float)
             yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(own, pa.binary())], names=["fp", "own"])
 
     own = docs.select(row_key(docs).alias("row_key"), docs["text"].cast("string").alias("text"))
-    own = staged(own.join(keys, F.col("row_key") == F.col("of_row")).select("fp", "text").mapInArrow(sets, "fp long, own binary"), "simhash-sets").dropDuplicates(["fp"])
+    own = staged(own.join(keys, F.col("row_key") == F.col("of_row")).select("fp", "text").mapInArrow(sets, "fp long, own binary"), "simhash-sets", RAW).dropDuplicates(["fp"])
     both = found.join(own.select(F.col("fp").alias("fa"), F.col("own").alias("x")), F.col("a") == F.col("fa")).join(own.select(F.col("fp").alias("fb"), F.col("own").alias("y")), F.col("b") == F.col("fb"))
 
     def verified(batches):

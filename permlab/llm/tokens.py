@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from permlab.llm.common import estimated_bytes, modest_batches, shared_dir, spans_of, text_bytes
+from permlab.llm.common import RAW, estimated_bytes, modest_batches, shared_dir, spans_of, text_bytes
 
 WIDTH = 8
 RANK_BITS = 512
@@ -300,7 +300,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, o
             yield flush()
 
     # codes lie in the files as they are, one page for each segment
-    own.mapInArrow(segments, _SEGMENTS).write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(path)
+    own.mapInArrow(segments, _SEGMENTS).write.options(**RAW).parquet(path)
     return read_segments(spark, path)
 
 
