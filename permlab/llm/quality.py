@@ -2,8 +2,8 @@
 
 A text is a bag of passages of PASSAGE words. Every passage is encoded by FEATURES figures of its characters and words,
 then by a layer of tanh units. Gated attention (a tanh branch times a sigmoid branch) weighs the passages of a
-bag, in a softmax; a logistic unit scores the weighted mean of the encodings, together with that of the plain mean.
-All weights are learned together, from labels of whole texts, on a bounded sample of labelled rows (FIT_ROWS of each label).
+bag, in a softmax; a logistic unit scores the weighted mean of the encodings and nothing else, so what a score sees of
+a text is what attention lets through. All weights are learned together, from labels of whole texts, on a bounded sample of labelled rows (FIT_ROWS of each label).
 
 Passages of whole texts are encoded, however many; a text's softmax is summed up over steps, so memory doesn't
 grow with its length beyond the text itself.
@@ -109,7 +109,7 @@ class Attention:
         self.mean, self.scale = np.zeros(inputs), np.ones(inputs)
         self.p = {
             "W": r.normal(0, inputs**-0.5, (inputs, units)), "b": np.zeros(units), "V": r.normal(0, units**-0.5, (units, units)), "U": r.normal(0, units**-0.5, (units, units)),
-            "a": r.normal(0, units**-0.5, units), "c": r.normal(0, units**-0.5, units), "m": r.normal(0, units**-0.5, units), "d": np.zeros(1),
+            "a": r.normal(0, 2 * units**-0.5, units), "c": r.normal(0, units**-0.5, units), "d": np.zeros(1),
         }
 
     def encode(self, x: np.ndarray):
@@ -123,28 +123,30 @@ class Attention:
         w = np.exp(e - np.repeat(np.maximum.reduceat(e, at[:-1]), n))
         w /= np.repeat(np.add.reduceat(w, at[:-1]), n)
         z = np.add.reduceat(h * w[:, None], at[:-1])
-        mean = np.add.reduceat(h, at[:-1]) / n[:, None]
-        score = 1 / (1 + np.exp(-np.clip(z @ self.p["c"] + mean @ self.p["m"] + self.p["d"], -30, 30)))
+        score = 1 / (1 + np.exp(-np.clip(z @ self.p["c"] + self.p["d"], -30, 30)))
         return score, (h, t, g, w, z, n)
 
+    def attention(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The weight of every passage in its text."""
+        return self.pool(x, at)[1][3]
+
     def __call__(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
         return self.pool(x, at)[0] if len(at) > 1 else np.zeros(0)
 
     def gradient(self, x: np.ndarray, at: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         score, (h, t, g, w, z, n) = self.pool(x, at)
         s = (score - y) / len(y)
-        long, p = np.repeat(s, n), self.p
-        dz = long[:, None] * p["c"]
+        p = self.p
+        dz = np.repeat(s, n)[:, None] * p["c"]
         de = w * ((h - np.repeat(z, n, axis=0)) * dz).sum(1)  # through the softmax
         dt, dg = de[:, None] * p["a"] * g * (1 - t * t), de[:, None] * p["a"] * t * g * (1 - g)
-        dh = w[:, None] * dz + (long / np.repeat(n, n))[:, None] * p["m"] + dt @ p["V"].T + dg @ p["U"].T
+        dh = w[:, None] * dz + dt @ p["V"].T + dg @ p["U"].T
         du = dh * (1 - h * h)
-        mean = np.add.reduceat(h, at[:-1]) / n[:, None]
-        return {"W": ((x - self.mean) / self.scale).T @ du, "b": du.sum(0), "V": h.T @ dt, "U": h.T @ dg, "a": (t * g).T @ de, "c": z.T @ s, "m": mean.T @ s, "d": np.array([s.sum()])}
+        return {"W": ((x - self.mean) / self.scale).T @ du, "b": du.sum(0), "V": h.T @ dt, "U": h.T @ dg, "a": (t * g).T @ de, "c": z.T @ s, "d": np.array([s.sum()])}
 
 
 def fit(texts: list[str], labels: list[int], epochs: int = 40, batch: int = 64, prior: float | None = None) -> Attention | None:
-    """Adam on the logistic loss, in an order fixed by a seed; None unless both labels are there."""
+    """Adam with decoupled decay on the logistic loss, in an order fixed by a seed; None unless both labels are there."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return None
@@ -165,10 +167,11 @@ def fit(texts: list[str], labels: list[int], epochs: int = 40, batch: int = 64,
             step += 1
             for name, g in model.gradient(x[rows], ends, y[some]).items():
                 m, v = moment[name]
-                g = g + 1e-4 * model.p[name]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 model.p[name] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+                if name in ("W", "c"):  # decay apart from the gradient's moments, and not of the attention
+                    model.p[name] *= 1 - 0.01 * rate
     if prior is not None:  # the sample has more of the rare label than the corpus
         here = y.mean()
         model.p["d"] += np.log(prior / (1 - prior)) - np.log(here / (1 - here))

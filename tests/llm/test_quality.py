@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -48,6 +49,54 @@ def test_gradient_against_differences():
             assert abs((up - down) / 2e-5 - g.reshape(-1)[k]) < 1e-6
 
 
+def plain(model, x):
+    """Score of one text, passage by passage."""
+    p, hs, es = model.p, [], []
+    for row in x:
+        h = [math.tanh(sum((row[i] - model.mean[i]) / model.scale[i] * p["W"][i][u] for i in range(len(row))) + p["b"][u]) for u in range(q.UNITS)]
+        gates = [math.tanh(sum(h[i] * p["V"][i][u] for i in range(q.UNITS))) / (1 + math.exp(-sum(h[i] * p["U"][i][u] for i in range(q.UNITS)))) for u in range(q.UNITS)]
+        hs.append(h)
+        es.append(math.exp(sum(g * a for g, a in zip(gates, p["a"]))))
+    z = [sum(e * h[u] for e, h in zip(es, hs)) / sum(es) for u in range(q.UNITS)]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(z, p["c"])) - p["d"][0]))
+
+
+def test_scores_against_a_plain_forward_pass():
+    model = q.fit([t for _, t, _ in ROWS[:120]], [y for *_, y in ROWS[:120]], epochs=4)
+    texts = [t for _, t, _ in ROWS[120:150]] + [None, "", "word " * 3000]
+    x, at = q.passages(pa.array(texts, pa.string()))
+    got = model(x, at)
+    assert np.allclose(got, [plain(model, x[a:b].astype(float)) for a, b in zip(at[:-1], at[1:])], atol=1e-9)
+
+
+def test_attention_finds_the_few_passages_that_decide():
+    """One passage in up to 60 is bad, or none; the others vary in the same figures, so that a plain mean hardly tells."""
+    r = np.random.default_rng(12)
+
+    def passage(bad):
+        many = 34 if bad else int(r.integers(0, 9))
+        return " ".join(f"w{w}!!" if k < many else f"w{w}" for k, w in enumerate(r.integers(0, 900, q.PASSAGE)))
+
+    def text(y):
+        n = int(r.integers(10, 60))
+        at = int(r.integers(n)) if not y else -1
+        return " ".join(passage(k == at) for k in range(n))
+
+    labels = [int(k % 2) for k in range(500)]
+    texts = [text(y) for y in labels]
+    model = q.fit(texts[:400], labels[:400])
+    x, at = q.passages(pa.array(texts[400:]))
+    y = np.array(labels[400:])
+    assert ((model(x, at) > 0.5) == y).mean() > 0.95
+    # where a bad passage is, it gets most of the weight
+    w = model.attention(x, at)
+    peak = [w[a:b].max() * (b - a) for (a, b), l in zip(zip(at[:-1], at[1:]), y) if not l]
+    assert np.median(peak) > 5
+    # the same model with equal weights fails
+    model.p["a"] = np.zeros(q.UNITS)
+    assert ((model(x, at) > 0.5) == y).mean() < 0.8
+
+
 def test_tables(spark):
     rows = [*ROWS, (9001, None, 1), (9002, "", 0), (None, good(30), 1), (7, good(50), 1)]
     docs = spark.createDataFrame([(a, b, "x") for a, b, _ in rows], "doc_id long, text string, score string")
