@@ -30,6 +30,8 @@ from permlab.llm.labelled import held_out, sample
 FIT_ROWS = 2500
 #: Bins of each count table of the character model.
 BINS = 1 << 18
+#: Tasks that add up the tables of all others.
+MERGERS = 8
 #: Characters taken at a time.
 STEP = 1 << 20
 #: Word beginnings the classifier knows, at most, and their lengths.
@@ -303,20 +305,33 @@ class Toxicity:
 
 
 def letter_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts over all documents; a task sends one row of each filled bin."""
+    """Counts over all documents. A task sends its filled bins in one value; MERGERS tasks add these up, then the driver their tables."""
+
+    def packed(table: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(table)
+        return pa.RecordBatch.from_arrays([pa.array([some.astype("<u4").tobytes() + table[some].astype("<i8").tobytes()], pa.binary())], names=["bins"])
 
     def count(batches):
-        tables = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
+        table = np.zeros(2 * BINS, np.int64)
         for batch in pieces(batches):
-            count_letters(lowered(batch.column("text").to_pylist()), *tables)
-        for k, t in enumerate(tables):
-            some = np.flatnonzero(t)
-            yield pa.RecordBatch.from_arrays([pa.array(some + k * BINS), pa.array(t[some])], names=["bin", "n"])
-
-    rows = pick(docs, text="string").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
-    both = np.zeros(2 * BINS, np.int64)
-    found = rows.toArrow()  # 2 * BINS rows at most
-    both[found.column("bin").to_numpy()] = found.column("n").to_numpy()
+            count_letters(lowered(batch.column("text").to_pylist()), table[:BINS], table[BINS:])
+        yield packed(table)
+
+    def added(values, table: np.ndarray) -> np.ndarray:
+        for x in values:
+            n = len(x) // 12
+            table[np.frombuffer(x, "<u4", n)] += np.frombuffer(x, "<i8", n, 4 * n)
+        return table
+
+    def merge(batches):
+        table = np.zeros(2 * BINS, np.int64)
+        for batch in batches:
+            added((x.as_py() for x in batch.column("bins")), table)
+        if table.any():
+            yield packed(table)
+
+    rows = pick(docs, text="string").mapInArrow(count, "bins binary").repartition(MERGERS).mapInArrow(merge, "bins binary")
+    both = added(rows.toArrow().column("bins").to_pylist(), np.zeros(2 * BINS, np.int64))  # MERGERS tables at most
     return both[:BINS], both[BINS:]
 
 
