@@ -5,7 +5,8 @@ scores whole candidate segments of an island, up to LONGEST tokens, by features
 separators, checksum, shape, the word before); dynamic programming over segment ends chooses boundaries and kinds
 jointly. It is trained by maximum likelihood, forward and backward over all segmentations, on the islands of a bounded
 sample (FIT_DOCS documents): base spans are the truth, and copies of them in other notations, made by rule, teach
-it forms that the patterns don't take (user (at) host dot org, numbers without +, with other separators). Spans of the field
+it forms that the patterns don't take (user (at) host dot org, numbers without +, with other separators), and decoys in their
+place what is none. Spans of the field
 that don't touch a base span are added.
 
 Cases: a null text is empty; texts without digits and at signs, spelled or not, have no spans and aren't scored; repeated rows get equal
@@ -131,12 +132,12 @@ def _before(text: str, at: int) -> tuple[int, int] | None:
     a = b
     while a > 0 and not text[a - 1].isspace():
         a -= 1
-    return (a, b) if a < b and b - a < 400 else None
+    return (a, b) if a < b else None
 
 
 def _after(text: str, at: int) -> tuple[int, int] | None:
     m = _TOKEN.search(text, at)
-    return m.span() if m and m.end() - m.start() < 400 else None
+    return m.span() if m else None
 
 
 def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
@@ -153,15 +154,7 @@ _NAMES = (
     "has @", "ends in host", "one @ and host", "at word", "dot word", "dots 1-2", "dots 3", "dots 4+", "four parts to 255", "four parts bare", "dashes", "blanks", "slashes or colons", "brackets", "no letter", "letters only", "letters and digits",
     "hex token", "mostly digits", "groups of 4", "short", "medium", "long", "quoted", "equals before", "first token plain", "last token plain", "local at host", "phone groups", "equal sizes",
 )
-#: What a segment must have one of to be of a kind at all.
-_NEEDS = {"email": ("has @", "at word"), "ip": ("four parts to 255",), "card": ("12-15 digits", "16-19 digits"), "phone": ("7-11 digits", "12-15 digits")}
 _NEVER = -1e6
-_MASKS = [[_NAMES.index(n) for n in _NEEDS[k]] for k in KINDS]
-
-
-def _admits(x: np.ndarray, kind: int) -> np.ndarray:
-    """Whether segments with these features may be of the kind; all but emails are without letters."""
-    return x[:, _MASKS[kind]].any(1) & ((kind == 0) | (x[:, _NAMES.index("no letter")] > 0))
 
 
 _AT, _DOT = re.compile(r"[\[({<]?\bat\b[\])}>]?", re.I), re.compile(r"[\[({<]?\bdot\b[\])}>]?", re.I)
@@ -172,7 +165,7 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> np.nda
     """Of the segment of tokens i to j, j exclusive."""
     a, b = trimmed(text, tokens[i][0], tokens[j - 1][1])
     s = text[a:b]
-    digits = re.sub("[^0-9]", "", s) if len(s) < 400 else s
+    digits = re.sub("[^0-9]", "", s)
     letters = sum(c.isalpha() for c in s)
     n, d, words = j - i, len(digits), s.split()
     groups = re.findall("[0-9]+", s)
@@ -207,8 +200,6 @@ class Field:
     def scores(self, where: np.ndarray, x: np.ndarray) -> np.ndarray:
         s = x @ self.w
         s[where[:, 1] - where[:, 0] > 1, 0] = _NEVER
-        for k in range(len(KINDS)):
-            s[~_admits(x, k), k + 1] = _NEVER
         return s
 
     def decode(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
@@ -232,17 +223,45 @@ class Field:
 
     def fit(self, data: list[tuple[np.ndarray, np.ndarray, np.ndarray]], steps: int = 120) -> "Field":
         """data: segments, features, and the true label of each segment or -1. Adam on the mean log likelihood."""
+        slope = self.gradient(data)
         m, v = np.zeros_like(self.w), np.zeros_like(self.w)
         for step in range(1, steps + 1):
-            g = 1e-3 * self.w
-            for where, x, truth in data:
-                p = self.marginals(where, x)
-                p[truth >= 0, truth[truth >= 0]] -= 1
-                g += x.T @ p / len(data)
+            g = 1e-4 * self.w + slope()
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             self.w -= 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         return self
 
+    def gradient(self, data: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        """A function that gives the slope of the mean negative log likelihood: forward and backward over all islands at once."""
+        where, x, truth = (np.concatenate(part) for part in zip(*data, strict=True))
+        island = np.repeat(np.arange(len(data)), [len(w) for w, *_ in data])
+        begin, end = where.T
+        tokens = np.array([int(w[:, 1].max()) for w, *_ in data])
+        most, every = int(tokens.max()), np.arange(len(data))
+        wide = end - begin > 1
+        right = np.flatnonzero(truth >= 0)
+        wanted = np.zeros_like(self.w)
+        np.add.at(wanted.T, truth[right], x[right])
+
+        def slope() -> np.ndarray:
+            s = x @ self.w
+            s[wide, 0] = _NEVER
+            top = s.max(1)
+            grid = np.full((len(data), most + 1, LONGEST + 1), -np.inf)  # by island, end and length
+            grid[island, end, end - begin] = top + np.log(np.exp(s - top[:, None]).sum(1))
+            alpha, beta = np.full((len(data), most + 1), -np.inf), np.full((len(data), most + 1), -np.inf)
+            alpha[:, 0] = beta[every, tokens] = 0.0
+            for j in range(1, most + 1):
+                n = np.arange(1, min(LONGEST, j) + 1)
+                alpha[:, j] = np.logaddexp.reduce(alpha[:, j - n] + grid[:, j, n], axis=1)
+            for i in range(most - 1, -1, -1):
+                n = np.arange(1, min(LONGEST, most - i) + 1)
+                beta[:, i] = np.logaddexp(beta[:, i], np.logaddexp.reduce(beta[:, i + n] + grid[:, i + n, n], axis=1))
+            p = np.exp(s + (alpha[island, begin] + beta[island, end] - alpha[island, tokens[island]])[:, None])
+            return (x.T @ p - wanted) / len(data)
+
+        return slope
+
     def marginals(self, where: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Probability of each segment with each label."""
         s = self.scores(where, x)
@@ -265,7 +284,9 @@ def variants(kind: str, s: str, k: int) -> list[str]:
     digits = re.sub("[^0-9]", "", s)
     if kind == "email":
         user, _, host = s.partition("@")
-        return [f"{user} (at) {host.replace('.', ' (dot) ')}", f"{user} at {host.replace('.', ' dot ')}", f"{user}[at]{host.replace('.', '[dot]')}", f"{user} @ {host}"][k % 4 :][:1]
+        if k % 2:  # names with digits and without
+            user = re.sub("[0-9]+", "", user).strip(".-_+%") or user
+        return [f"{user} (at) {host.replace('.', ' (dot) ')}", f"{user} at {host.replace('.', ' dot ')}", f"{user}[at]{host.replace('.', '[dot]')}", f"{user} @ {host}", f"{user} at {host}"][k % 5 :][:1]
     if kind == "ip":
         return [s.replace(".", "[.]"), s.replace(".", " . "), s.replace(".", "(.)")][k % 3 :][:1]
     if kind == "card":
@@ -274,9 +295,23 @@ def variants(kind: str, s: str, k: int) -> list[str]:
     return [s.lstrip("+"), "00" + s.lstrip("+"), re.sub("[^0-9]+", "/", s.lstrip("+")), re.sub("[^0-9]+", ".", s.lstrip("+"))][k % 4 :][:1]
 
 
+def decoys(kind: str, s: str, k: int) -> str:
+    """What has some of the look of a span and is none; k varies it."""
+    digits = re.sub("[^0-9]", "", s)
+    if kind == "email":
+        host = s.partition("@")[2]
+        return f"{host.split('.')[0]} {k % 100}"
+    if kind == "ip":
+        return (".".join(s.split(".")[:2]), ".".join(s.split(".")[:3]), s.replace(".", " ", 2))[k % 3]
+    if kind == "card":
+        return (digits[:6], f"{digits[:4]} and {digits[4:8]}", f"{digits[:2]}.{digits[2:4]}")[k % 3]
+    return (digits[:4], f"{digits[:4]} and {digits[-4:]}", f"{digits[:3]} of {digits[:3]}", f"{digits[:3]}-{digits[3:6]}", f"{digits[:2]}/{digits[2:4]}/{digits[-4:]}")[k % 5]
+
+
 def examples(texts: list[str], most: int = FIT_ISLANDS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Islands with the truth, as they are and in other notations."""
-    data, k = [], 0
+    data: list = []
+    seen = dict.fromkeys(KINDS, 0)
     for text in texts:
         spans = base_spans(text)
         for tokens in islands(text):
@@ -292,11 +327,15 @@ def examples(texts: list[str], most: int = FIT_ISLANDS) -> list[tuple[np.ndarray
                     taken.append(x)
             _add(data, text, tokens, taken)
             for kind, a, b in taken[:2]:
-                k += 1
+                seen[kind] += 1
+                k = seen[kind]
                 for other in variants(kind, text[a:b], k):
                     line = text[lo:a] + other + text[b:hi]
                     span = (kind, a - lo, a - lo + len(other))
                     _add(data, line, [m.span() for m in _TOKEN.finditer(line)], [span])
+                line = text[lo:a] + decoys(kind, text[a:b], k) + text[b:hi]
+                if not base_spans(line):
+                    _add(data, line, [m.span() for m in _TOKEN.finditer(line)], [])
     return data
 
 
@@ -308,7 +347,7 @@ def _add(data: list, text: str, tokens: list[tuple[int, int]], spans: list[tuple
     for kind, a, b in spans:
         held = [t for t, (p, q) in enumerate(tokens) if p < b and a < q]
         k = row.get((held[0], held[-1] + 1)) if held else None
-        if k is None or inside & set(held) or not _admits(x[k : k + 1], KINDS.index(kind))[0]:
+        if k is None or inside & set(held):
             return  # no segmentation has this span
         truth[k] = KINDS.index(kind) + 1
         inside.update(held)
