@@ -38,7 +38,7 @@ LONGEST = 48
 #: Pieces a table holds before it starts anew; a bound of its memory, not of what is encoded.
 PIECES = 1 << 20
 #: Bytes of text taken at a time, and ids in a segment after which the next document starts another.
-STEP, SEGMENT_IDS = 1 << 21, 1 << 20
+STEP, SEGMENT_IDS = 1 << 20, 1 << 20
 
 
 # -- directly addressable codes

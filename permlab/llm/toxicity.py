@@ -33,7 +33,7 @@ BINS = 1 << 18
 #: Tasks that add up the tables of all others.
 MERGERS = 8
 #: Characters taken at a time.
-STEP = 1 << 20
+STEP = 1 << 19
 #: Word beginnings the classifier knows, at most, and their lengths.
 FEATURES, LENGTHS = 1500, (3, 4, 5, 6, 8, 10)
 
