@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from permlab.functions import columns as C
+from permlab.operators import numbering
 
 
 def combinations(spark: SparkSession, n: int, k: int) -> DataFrame:
@@ -30,8 +31,8 @@ def combinations_by_mask(spark: SparkSession, n: int, k: int) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: str, name: str = "row_id") -> DataFrame:
-    """With dense numbers in an order. Generated tables only: their size is a constant of n and d."""
-    return rows.select((F.row_number().over(W.partitionBy(F.lit(0)).orderBy(order)) - 1).cast("long").alias(name), *rows.columns)
+    """With dense numbers in an order, first."""
+    return numbering.numbered(rows, [F.col(order).asc()], name).select(name, *rows.columns)
 
 
 def complementary_pairs(spark: SparkSession, n: int) -> DataFrame:
@@ -40,6 +41,17 @@ def complementary_pairs(spark: SparkSession, n: int) -> DataFrame:
     return rows.select("ps", F.array_except(C.indices(n), "ps").alias("other"))
 
 
+def weave_complementary(array: DataFrame, n: int, d: int) -> DataFrame:
+    """Rows woven with the d highest symbols at one of each pair of complementary position sets, in the first order in which the row is d
+    apart from its own complement; where no order is, there is no row. n is twice d."""
+    spark = array.sparkSession
+    orders = permutations(spark, d).select(F.transform("u", lambda x: x + n - d).alias("highs"))
+    rows = array.select(F.col("row_id").alias("old"), "u").crossJoin(F.broadcast(complementary_pairs(spark, n).select("ps"))).crossJoin(F.broadcast(orders))  # constants of n and d
+    rows = rows.select("ps", "old", "highs", C.infill("u", F.col("highs"), "ps").alias("u")).where(C.separated("u", C.complement("u", n), d))
+    rows = rows.groupBy("ps", "old").agg(F.min_by("u", "highs").alias("u"))
+    return numbered(rows.select(F.struct("ps", "old").alias("at"), "u"), "at").select("row_id", "u")
+
+
 def permutations(spark: SparkSession, n: int, m: int | None = None, keep=None) -> DataFrame:
     """u: all sequences of n of m symbols without repeats; `keep(u, length)` prunes prefixes."""
     m = n if m is None else m

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from permlab.operators.numbering import numbered
 from permlab.sources.storage import staged
 
 
@@ -44,6 +45,19 @@ def array_components(array: DataFrame, edges: DataFrame) -> DataFrame:
     return array.join(found, F.col("row_id") == F.col("node"), "left").select("row_id", F.coalesce("root", "row_id").alias("component"))
 
 
+def connected(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, together: whether the rows of each pair are of one component."""
+    side = lambda k: members.select(F.col("row_id").alias(f"row_{k}"), F.col("component").alias(f"of_{k}"))
+    both = pairs.join(side("a"), F.col("a") == F.col("row_a")).join(side("b"), F.col("b") == F.col("row_b"))
+    return both.select("a", "b", (F.col("of_a") == F.col("of_b")).alias("together"))
+
+
+def by_size(members: DataFrame) -> DataFrame:
+    """component, size, rank: components, the largest first, of equal ones the least."""
+    sizes = members.groupBy("component").agg(F.count("*").alias("size"))
+    return numbered(sizes, [F.col("size").desc(), F.col("component").asc()], "rank").select("component", "size", (F.col("rank") + 1).alias("rank"))
+
+
 def size_histogram(members: DataFrame) -> DataFrame:
     """size, n_components."""
     return members.groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n_components"))
@@ -153,17 +167,21 @@ def dominating(pairs: list[tuple[int, int]], least: int = 1) -> list[int]:
     return out
 
 
-def cliques(pairs: list[tuple[int, int]]) -> list[list[int]]:
-    """All maximal cliques, each sorted, with pivots."""
+def cliques(pairs: list[tuple[int, int]], enough: int | None = None) -> list[list[int]]:
+    """All maximal cliques, each sorted, with pivots; with `enough`, until one of so many nodes is found, which is the last to be added."""
     near: dict[int, set[int]] = {}
     for a, b in pairs:
         near.setdefault(a, set()).add(b)
         near.setdefault(b, set()).add(a)
-    out = []
+    out, found = [], False
 
     def grow(clique, free, done):
+        nonlocal found
+        if found:
+            return
         if not free and not done:
             out.append(sorted(clique))
+            found = enough is not None and len(clique) >= enough
             return
         pivot = max(free | done, key=lambda x: len(near[x] & free))
         for x in sorted(free - near[pivot]):

@@ -3,7 +3,8 @@
 Two rows conflict if no column has them d or more apart. Templates (groups of d symbols) of conflicting rows differ by
 at most one in every column: they are foes. There are at most n! / (d!)^k templates, however many rows, so pairs of
 foes are a small table found once, and conflicts are equi-joins of rows with it: no join of all rows with all rows.
-Counts go over distinct rows with their multiplicity, so repeated rows cost nothing.
+Counts go over distinct rows with their multiplicity, so repeated rows cost nothing. Distinct rows are written once with their
+template as one number; up to SMALL of them (counted) meet directly, which is the same result with less to set up.
 """
 
 from __future__ import annotations
@@ -13,6 +14,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from permlab.functions import columns as C
+from permlab.operators.numbering import numbered
+from permlab.sources.storage import staged
+
+#: Distinct rows that are compared pair by pair, at most; templates are for more.
+SMALL = 4096
 
 
 def distinct_rows(array: DataFrame) -> DataFrame:
@@ -26,18 +32,37 @@ def foe_pairs(templates: DataFrame) -> DataFrame:
     return one.join(one.withColumnRenamed("t", "s"), C.foes("t", "s"))  # distinct templates: bounded by n and d
 
 
-def _met(left: DataFrame, right: DataFrame, d: int) -> DataFrame:
-    """Pairs of rows of foe templates; columns of left are a_, of right b_."""
-    a = left.select(*[F.col(c).alias(f"a_{c}") for c in left.columns], C.groups("u", d).alias("t"))
-    b = right.select(*[F.col(c).alias(f"b_{c}") for c in right.columns], C.groups("u", d).alias("s"))
-    own = a.select("t").distinct().join(b.select("s").distinct(), C.foes("t", "s"))
-    return a.join(own, "t").join(b, "s").drop("s", "t")
+def _own(array: DataFrame, d: int) -> tuple[DataFrame, int]:
+    """Distinct rows with `first`, `copies` and the template t and its number, written; and how many they are."""
+    own = distinct_rows(array).withColumn("t", C.groups("u", d)).withColumn("tag", F.xxhash64("t"))
+    own = staged(own, "rows")
+    return own, own.count()
+
+
+def _near(array: DataFrame, d: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct rows, and all ordered pairs of different ones (columns a_ and b_) that aren't d apart in any column."""
+    own, many = _own(array, d)
+    a, b = (own.select(*[F.col(c).alias(f"{p}_{c}") for c in ("u", "first", "copies", "t", "tag")]) for p in "ab")
+    clash = (F.col("a_first") != F.col("b_first")) & ~C.separated("a_u", "b_u", d)
+    if many <= SMALL:
+        return own, a.join(F.broadcast(b), clash)  # SMALL rows
+    tags = own.groupBy("tag", "t").agg(F.count("*").alias("n"))
+    foes = tags.select(F.col("tag").alias("a_tag"), F.col("t").alias("x")).join(tags.select(F.col("tag").alias("b_tag"), F.col("t").alias("y")), C.foes("x", "y"))
+    return own, a.join(foes.select("a_tag", "b_tag").distinct(), "a_tag").join(b, "b_tag").where(C.foes("a_t", "b_t") & clash)
 
 
 def conflicts(array: DataFrame, d: int) -> DataFrame:
     """a, b (a < b), distance of all pairs of rows less than d apart."""
-    met = _met(array, array, d).where((F.col("a_row_id") < F.col("b_row_id")) & ~C.separated("a_u", "b_u", d))
-    return met.select(F.col("a_row_id").alias("a"), F.col("b_row_id").alias("b"), C.distance("a_u", "b_u").alias("distance"))
+    own, near = _near(array, d)
+    pairs = near.where(F.col("a_first") < F.col("b_first")).select("a_u", "b_u", "a_copies", "b_copies", F.col("a_first").alias("a"), F.col("b_first").alias("b"), C.distance("a_u", "b_u").alias("distance"))
+    single = pairs.where("a_copies = 1 AND b_copies = 1").select("a", "b", "distance")
+    # rows that occur more than once: all that are equal, and all with all that conflict
+    rows = array.join(own.where("copies > 1").select(F.col("u").alias("x")), F.col("u") == F.col("x"), "left_semi").select("row_id", "u")
+    ids = lambda name, of: rows.select(F.col("row_id").alias(name), F.col("u").alias(of))
+    alike = ids("i", "x").join(ids("j", "y"), (F.col("x") == F.col("y")) & (F.col("i") < F.col("j"))).select(F.col("i").alias("a"), F.col("j").alias("b"), F.lit(0).alias("distance"))
+    many = pairs.where("a_copies > 1 OR b_copies > 1").join(ids("i", "x"), (F.col("a_u") == F.col("x")) & (F.col("a_copies") > 1), "left").join(ids("j", "y"), (F.col("b_u") == F.col("y")) & (F.col("b_copies") > 1), "left")
+    i, j = F.coalesce("i", "a"), F.coalesce("j", "b")
+    return single.unionByName(alike).unionByName(many.select(F.least(i, j).alias("a"), F.greatest(i, j).alias("b"), "distance"))
 
 
 def all_pairs(array: DataFrame, test: Column | None = None) -> DataFrame:
@@ -66,11 +91,11 @@ def symmetric_pairs(array: DataFrame, d: int, image) -> DataFrame:
 
 def degrees(array: DataFrame, d: int) -> DataFrame:
     """row_id, degree: the number of rows that each row conflicts with."""
-    own = distinct_rows(array)
-    met = _met(own, own, d).where((F.col("a_first") != F.col("b_first")) & ~C.separated("a_u", "b_u", d))
-    others = met.groupBy(F.col("a_u").alias("u")).agg(F.sum("b_copies").alias("others"))
-    weighed = own.join(others, "u", "left").select("u", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("degree"))
-    return array.join(weighed, "u").select("row_id", "degree")
+    own, near = _near(array, d)
+    others = near.groupBy(F.col("a_first").alias("of")).agg(F.sum("b_copies").alias("others"))
+    weighed = own.join(others, F.col("first") == F.col("of"), "left").select("u", "first", "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("degree"))
+    single = weighed.where("copies = 1").select(F.col("first").alias("row_id"), "degree")
+    return single.unionByName(array.join(weighed.where("copies > 1").select("u", "degree"), "u").select("row_id", "degree"))
 
 
 def score(array: DataFrame, d: int) -> DataFrame:
@@ -96,43 +121,67 @@ def dense_histogram(array: DataFrame, d: int) -> DataFrame:
     return top.join(some, "degree", "left").select("degree", F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"))
 
 
+def weighed_pairs(array: DataFrame) -> DataFrame:
+    """x, y, n: pairs of distinct rows, each once, and of a repeated row with itself, with the number of pairs of rows that they stand for."""
+    own = staged(distinct_rows(array), "rows")
+    a, b = (own.select(*[F.col(c).alias(f"{p}_{c}") for c in own.columns]) for p in "ab")
+    n = F.when(F.col("a_first") == F.col("b_first"), F.col("a_copies") * (F.col("a_copies") - 1) / 2).otherwise(F.col("a_copies") * F.col("b_copies")).cast("long")
+    return a.join(b, F.col("a_first") <= F.col("b_first")).select(F.col("a_u").alias("x"), F.col("b_u").alias("y"), n.alias("n")).where("n > 0")
+
+
 def distance_histogram(array: DataFrame) -> DataFrame:
-    return all_pairs(array).groupBy(C.distance("x", "y").alias("distance")).agg(F.count("*").alias("n_pairs"))
+    return weighed_pairs(array).groupBy(C.distance("x", "y").alias("distance")).agg(F.sum("n").alias("n_pairs"))
+
+
+def _least(array: DataFrame) -> int | None:
+    """The least distance of all pairs, by conflicts at 1, 2 and so on: no pair that is farther is looked at."""
+    own, many = _own(array, 1)
+    if many == 0 or own.agg(F.sum("copies")).first()[0] < 2:
+        return None
+    if own.where("copies > 1").limit(1).count():
+        return 0
+    d = 1
+    while not _near(array, d + 1)[1].limit(1).count():
+        d += 1
+    return d
 
 
 def least_distance(array: DataFrame) -> DataFrame:
     """distance: the least of all pairs, null for fewer than two rows."""
-    return all_pairs(array).agg(F.min(C.distance("x", "y")).alias("distance"))
+    return array.sparkSession.createDataFrame([(_least(array),)], "distance int")
 
 
 def nearest_pairs(array: DataFrame, listed: int | None = None) -> DataFrame:
     """a, b, distance, n_pairs: all pairs at the least distance; listed only if they are fewer than `listed`."""
-    best = F.min("distance").over(W.partitionBy(F.lit(0)))
-    low = all_pairs(array).select("a", "b", C.distance("x", "y").alias("distance"))
-    least = low.agg(F.min("distance").alias("least"))
-    rows = low.join(F.broadcast(least), F.col("distance") == F.col("least")).drop("least")  # one number
-    n = rows.agg(F.count("*").alias("n_pairs"))
-    rows = rows.crossJoin(F.broadcast(n))
+    least = _least(array)
+    rows = conflicts(array, (least if least is not None else 0) + 1)
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n_pairs"))))  # one number
     return rows if listed is None else rows.where(F.col("n_pairs") < listed)
 
 
 def good_and_bad(array: DataFrame, d: int) -> DataFrame:
-    """good, bad, share of good pairs."""
-    s = C.separated("x", "y", d)
-    return all_pairs(array).agg(F.count_if(s).alias("good"), F.count_if(~s).alias("bad"), (F.count_if(s) / F.count("*")).alias("share"))
+    """good, bad, share of good pairs; from the degrees, without pairs that are d apart."""
+    deg = degrees(array, d).agg((F.coalesce(F.sum("degree"), F.lit(0)) / 2).cast("long").alias("bad"), F.count("*").alias("n"))
+    every = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
+    return deg.select((every - F.col("bad")).alias("good"), "bad", F.try_divide(every - F.col("bad"), every).alias("share"))
 
 
 def separating_histogram(array: DataFrame, d: int) -> DataFrame:
     """col, times, n_pairs: how many pairs a column separates that `times` columns separate."""
-    rows = all_pairs(array).select(C.separating_columns("x", "y", d).alias("cols"))
-    return rows.select(F.explode("cols").alias("col"), F.size("cols").alias("times")).groupBy("col", "times").agg(F.count("*").alias("n_pairs"))
+    rows = weighed_pairs(array).select(C.separating_columns("x", "y", d).alias("cols"), "n")
+    return rows.select(F.explode("cols").alias("col"), F.size("cols").alias("times"), "n").groupBy("col", "times").agg(F.sum("n").alias("n_pairs"))
 
 
 def row_summary(array: DataFrame, d: int) -> DataFrame:
-    """row_id, never, once, more: other rows by the number of columns that separate them from a row."""
+    """row_id, never, once, more: other rows by the number of columns that separate them from a row. Pairs are of distinct rows."""
     n = F.size(C.separating_columns("x", "y", d))
-    rows = both_ways(all_pairs(array).select("a", "b", n.alias("n")))
-    return rows.groupBy(F.col("a").alias("row_id")).agg(F.count_if(F.col("n") == 0).alias("never"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") > 1).alias("more"))
+    pairs = both_ways(weighed_pairs(array).where(F.col("x") != F.col("y")).select("x", "y", n.alias("k")))
+    own = distinct_rows(array).select(F.col("u").alias("of"), "copies")
+    sums = pairs.join(own, F.col("y") == F.col("of")).groupBy(F.col("x").alias("u")).agg(*[F.sum(F.when(c, F.col("copies")).otherwise(0)).alias(k) for k, c in (("never", F.col("k") == 0), ("once", F.col("k") == 1), ("more", F.col("k") > 1))])
+    rows = array.join(distinct_rows(array).select("u", "copies"), "u").join(sums, "u", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    rows = rows.select("row_id", (zero("never") + F.col("copies") - 1).alias("never"), zero("once").alias("once"), zero("more").alias("more"))
+    return rows.where("never + once + more > 0")
 
 
 def separated_by_column(array: DataFrame, d: int) -> DataFrame:
@@ -196,15 +245,32 @@ def invalid_rows(array: DataFrame) -> DataFrame:
     return rows.select("row_id", C.violation("u", F.col("n")).alias("problem")).where("problem IS NOT NULL")
 
 
+def first_seen(pairs: DataFrame) -> DataFrame:
+    """row_id, seen: the order in which pairs a < b, sorted, name rows first, a before b."""
+    both = pairs.select(F.col("a").alias("row_id"), F.struct("a", "b", F.lit(0).alias("side")).alias("seen")).unionByName(pairs.select(F.col("b").alias("row_id"), F.struct("a", "b", F.lit(1).alias("side")).alias("seen")))
+    return both.groupBy("row_id").agg(F.min("seen").alias("seen"))
+
+
+def most_conflicted(array: DataFrame, d: int, k: int = 1) -> DataFrame:
+    """row_id, degree of the k rows with most conflicts, of equal ones those that pairs name first; rows without conflict are never named."""
+    pairs = conflicts(array, d).select("a", "b")
+    both = pairs.select(F.col("a").alias("row_id")).unionByName(pairs.select(F.col("b").alias("row_id")))
+    deg = both.groupBy("row_id").agg(F.count("*").alias("degree"))
+    return deg.join(first_seen(pairs), "row_id").orderBy(F.col("degree").desc(), "seen").limit(k).select("row_id", "degree")
+
+
 def ranked(array: DataFrame, d: int, worst_first: bool = True) -> DataFrame:
-    """row_id, degree, rank: by degree, ties by the order in which pairs name the rows. The range sort numbers rows in parallel."""
-    deg = degrees(array, d)
-    order = F.col("degree").desc() if worst_first else F.col("degree").asc()
-    return deg.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(order, "row_id")))
+    """row_id, degree, rank: by degree and then row_id, both descending, or both ascending. A range sort numbers the rows in parallel."""
+    order = [F.col(c).desc() if worst_first else F.col(c).asc() for c in ("degree", "row_id")]
+    rows = numbered(degrees(array, d), order, "rank")
+    return rows.select("row_id", "degree", (F.col("rank") + 1).cast("int").alias("rank"))
 
 
-def worst(array: DataFrame, d: int, k: int = 1) -> DataFrame:
-    return degrees(array, d).orderBy(F.col("degree").desc(), "row_id").limit(k)
+def most_separated(array: DataFrame, d: int, k: int = 1) -> DataFrame:
+    """row_id, separated: the rows that are apart from most others, of equal ones those with the highest row_id."""
+    deg = degrees(array, d)
+    n = deg.agg(F.count("*").alias("n"))
+    return deg.crossJoin(F.broadcast(n)).select("row_id", (F.col("n") - 1 - F.col("degree")).alias("separated")).orderBy(F.col("separated").desc(), F.col("row_id").desc()).limit(k)  # one number
 
 
 def best_candidate(moves: DataFrame) -> DataFrame:
@@ -219,12 +285,18 @@ def running_best(log: DataFrame) -> DataFrame:
 
 
 def runs(array: DataFrame, key: Column, size: int | None = None) -> DataFrame:
-    """row_id, block: rows in a row with the same key, or so many rows."""
+    """row_id, block: rows in a row with the same key, or so many rows. Within ranges of row_id first; a row for each range joins them."""
     if size is not None:
         return array.select("row_id", F.floor(F.col("row_id") / size).alias("block"))
-    order = W.partitionBy(F.lit(0)).orderBy("row_id")
-    marked = array.select("row_id", key.alias("k")).withColumn("new", F.coalesce((F.lag("k").over(order) != F.col("k")).cast("int"), F.lit(0)))
-    return marked.select("row_id", F.sum("new").over(order).alias("block"))
+    marked = numbered(array.select("row_id", key.alias("k")), [F.col("row_id").asc()], "nth", keep="part")
+    order = W.partitionBy("part").orderBy("nth")
+    marked = marked.withColumn("new", F.coalesce((~F.lag("k").over(order).eqNullSafe(F.col("k")) & (F.row_number().over(order) > 1)).cast("int"), F.lit(0)))
+    marked = staged(marked.select("row_id", "k", "part", "nth", F.sum("new").over(order).alias("inner")), "runs")
+    parts = marked.groupBy("part").agg(F.min_by("k", "nth").alias("k0"), F.max_by("k", "nth").alias("k1"), F.max("inner").alias("news"))
+    over = W.partitionBy(F.lit(0)).orderBy("part")  # a row for each range
+    joint = (~F.lag("k1").over(over).eqNullSafe(F.col("k0")) & (F.row_number().over(over) > 1)).cast("int")
+    parts = parts.withColumn("joint", joint).select(F.col("part").alias("of"), (F.sum("joint").over(over) + F.coalesce(F.sum("news").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("base"))
+    return marked.join(F.broadcast(parts), F.col("part") == F.col("of")).select("row_id", (F.col("base") + F.col("inner")).alias("block"))
 
 
 def ends(array: DataFrame, k: int = 15) -> DataFrame:
@@ -256,3 +328,16 @@ def merged(one: DataFrame, other: DataFrame) -> DataFrame:
 
 def without(array: DataFrame, ids: DataFrame) -> DataFrame:
     return array.join(ids.select("row_id"), "row_id", "left_anti")
+
+
+def valid_block(block: DataFrame, d: int = 3) -> DataFrame:
+    """valid: whether no two rows of the block are equal and all are d apart."""
+    return block.sparkSession.createDataFrame([(_near(block, d)[1].limit(1).count() == 0 and distinct_rows(block).where("copies > 1").limit(1).count() == 0,)], "valid boolean")
+
+
+def across(array: DataFrame, members: DataFrame, d: int) -> DataFrame:
+    """a, b: rows of different components (row_id, component) that are d apart; the graph whose cliques take a row of each component."""
+    own = array.join(members, "row_id")
+    a = own.select(F.col("row_id").alias("a"), F.col("u").alias("x"), F.col("component").alias("p"))
+    b = own.select(F.col("row_id").alias("b"), F.col("u").alias("y"), F.col("component").alias("q"))
+    return a.join(b, (F.col("p") < F.col("q")) & C.separated("x", "y", d)).select("a", "b")  # as many as it lists

@@ -53,18 +53,18 @@ def climb(rows: np.ndarray, d: int, seed: int, steps: int = 2000, pick: str = "u
     matrix = conflict_matrix(rows, d, f, masked)
     n, best, log, waited = rows.shape[1], None, [], 0
 
+    deg = matrix.sum(1)  # kept with the matrix, the table of foes that meet
+
     def value():
-        deg = matrix.sum(1)
         return (int(deg.sum()), 0) if objective == "score" else (-int((deg == 0).sum()), int(deg.sum()))
 
     now = value()
     best = now, rows.copy()
     log.append((0, int(matrix.sum())))
     for step in range(1, steps + 1):
-        deg = matrix.sum(1)
-        if not deg.any():
-            break
         bad = np.flatnonzero(deg)
+        if not len(bad):
+            break
         if pick == "degree":
             weight = (deg[bad] + 1.0) ** 2
             i = int(r.choice(bad, p=weight / weight.sum()))
@@ -85,8 +85,7 @@ def climb(rows: np.ndarray, d: int, seed: int, steps: int = 2000, pick: str = "u
             options.append((int(near.sum()) - int(deg[i]), row, near))
         change, row, near = min(options, key=lambda o: o[0])
         if change < 0 or (change == 0 and waited > 100) or waited > stale:
-            rows[i] = row
-            matrix[i] = matrix[:, i] = near
+            _replace(rows, matrix, deg, i, row, near)
             new = value()
             waited = 0 if new < now else waited + 1
             now = new
@@ -98,15 +97,65 @@ def climb(rows: np.ndarray, d: int, seed: int, steps: int = 2000, pick: str = "u
     return best[1], int(conflict_matrix(best[1], d, f, masked).sum()), log
 
 
+def _replace(rows: np.ndarray, matrix: np.ndarray, deg: np.ndarray, i: int, row: np.ndarray, near: np.ndarray) -> None:
+    """A row and what follows of it for the conflicts and their numbers."""
+    deg += near.astype(deg.dtype) - matrix[i]
+    deg[i] = near.sum()
+    rows[i], matrix[i], matrix[:, i] = row, near, near
+
+
+def disturb(rows: np.ndarray, d: int, seed: int, steps: int = 2000, gentle: int = 1000, great: int = 100_000):
+    """Search by two kinds of disturbance. Returns the best rows, their score, and a log of (step, score).
+
+    A gentle one shuffles the high symbols (the last d) or the low ones of any row over their positions, and stays unless it makes
+    more conflicts than it ends. Without a gain for `gentle` steps at the best score, or for `great` steps above it (then from the
+    best rows again), a great one shuffles both of the row that is apart from most others, of equal ones the last, and stays.
+    """
+    r, n = np.random.default_rng(seed), rows.shape[1]
+    rows = rows.copy()
+    matrix = conflict_matrix(rows, d)
+    deg = matrix.sum(1)
+    best, kept, log, gained = int(deg.sum()), rows.copy(), [(0, int(deg.sum()))], 0
+    for step in range(1, steps + 1):
+        if not deg.any():
+            break
+        now = int(deg.sum())
+        if step - gained > (gentle if now == best else great):
+            if now > best:
+                rows = kept.copy()
+                matrix = conflict_matrix(rows, d)
+                deg = matrix.sum(1)
+            i = len(deg) - 1 - int(np.argmin(deg[::-1]))
+            parts, gained, forced = (rows[i] >= n - d, rows[i] < n - d), step, True
+        else:
+            i, forced = int(r.integers(len(rows))), False
+            parts = ((rows[i] >= n - d) if r.integers(2) else (rows[i] < n - d),)
+        row = rows[i].copy()
+        for part in parts:
+            where = np.flatnonzero(part)
+            row[where] = row[r.permutation(where)]
+        near = _against(rows, row, d)
+        near[i] = False
+        change = int(near.sum()) - int(deg[i])
+        if forced or change <= 0:
+            _replace(rows, matrix, deg, i, row, near)
+            gained = step if change < 0 else gained
+            if int(deg.sum()) < best:
+                best, kept = int(deg.sum()), rows.copy()
+                log.append((step, best))
+    return kept, best, log
+
+
 def chains(array: DataFrame, d: int, seeds: list[int], **options) -> DataFrame:
-    """seed, score, row_id, u: what a chain from the array reaches for every seed."""
+    """seed, score, row_id, u: what a chain from the array reaches for every seed, by climb() or, with kind="disturb", by disturb()."""
+    go = {"climb": climb, "disturb": disturb}[options.pop("kind", "climb")]
     start = [(r["row_id"], list(r["u"])) for r in array.orderBy("row_id").collect()]  # one array, small by its nature
     rows, ids = np.array([u for _, u in start], np.int64), [i for i, _ in start]
 
     def run(frame):
         import pandas as pd
 
-        found, score, _ = climb(rows, d, int(frame["seed"].iloc[0]), **options)
+        found, score, _ = go(rows, d, int(frame["seed"].iloc[0]), **options)
         return pd.DataFrame({"seed": frame["seed"].iloc[0], "score": score, "row_id": ids, "u": found.tolist()})
 
     spark = array.sparkSession
@@ -216,11 +265,15 @@ def lexicodes(spark: SparkSession, n: int, m: int, d: int, seeds: list[int], pro
 # -- exact search
 
 
+class SearchEnded(RuntimeError):
+    """The number of nodes that a search may look at was reached before it had its result."""
+
+
 def choose(slots: list[list[list[int]]], d: int, skip: bool = False, value=None, budget: int = 1_000_000) -> list[tuple[int, int]] | None:
     """One option (row) of each slot so that all are d apart, as (slot, option); the first in order.
 
-    With skip, slots may stay empty and as many as possible are filled; with value(rows), the best total wins (branch
-    and bound by the number of slots left). budget: nodes looked at, after which the best so far is returned.
+    With skip, slots may stay empty and as many as possible are filled (branches that can't fill more end); with value(rows), all
+    ways are tried and the best total wins. More than `budget` nodes are an error, never a worse result.
     """
     best: list[tuple[int, int]] | None = None
     best_value = None
@@ -228,8 +281,10 @@ def choose(slots: list[list[list[int]]], d: int, skip: bool = False, value=None,
 
     def walk(k, taken, rows):
         nonlocal best, best_value, left
-        if left <= 0 or (not skip and value is None and best is not None):
+        if not skip and value is None and best is not None:
             return
+        if left <= 0:
+            raise SearchEnded(f"more than {budget} nodes")
         left -= 1
         if k == len(slots):
             now = value([slots[i][j] for i, j in taken]) if value else len(taken)
@@ -268,7 +323,7 @@ def frontier(slots: DataFrame, d: int, first: str | None = None) -> DataFrame:
 
 
 def largest(candidates: list[list[int]], far, budget: int = 200_000) -> list[list[int]]:
-    """A largest set of candidates that are pairwise far, by taking or leaving each."""
+    """A largest set of candidates that are pairwise far, by taking or leaving each; more than `budget` nodes are an error."""
     best: list[list[int]] = []
     left = budget
 
@@ -277,8 +332,10 @@ def largest(candidates: list[list[int]], far, budget: int = 200_000) -> list[lis
         left -= 1
         if len(taken) > len(best):
             best = list(taken)
-        if left <= 0 or k == len(candidates) or len(taken) + len(candidates) - k <= len(best):
+        if k == len(candidates) or len(taken) + len(candidates) - k <= len(best):
             return
+        if left <= 0:
+            raise SearchEnded(f"more than {budget} nodes")
         if all(far(candidates[k], u) for u in taken):
             walk(k + 1, [*taken, candidates[k]])
         walk(k + 1, taken)
@@ -298,3 +355,72 @@ def construct(spark: SparkSession, n: int, d: int, seed: int = 0, steps: int = 5
         return spark.range(1).select(F.col("id").alias("row_id"), C.indices(n).alias("u")) if n <= d else generate.ascending_array(spark, n, d)
     woven = generate.weave_high(construct(spark, n - d, d, seed, steps), n, d)
     return best_chain(chains(woven, d, [seed, seed + 1], steps=steps, pick="degree"))
+
+
+def resume(spark: SparkSession, folder: str, n: int, d: int, verified: bool = False, patterns: list[tuple[str, int]] | None = None, seed: int = 0, steps: int = 500) -> tuple[DataFrame, str | None]:
+    """An array to go on from, and the file it came from: by the order of sources.text.resolve(), or of patterns (a name with {n} and
+    {d}, and by how many times d the n of its array is less). A smaller array is woven; without a file an ascending array, or one that is
+    built over smaller ones. With `verified`, a file whose rows aren't all d apart is an error."""
+    from permlab.operators import generate, relations
+    from permlab.sources import text
+
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath().getName() for x in fs.listStatus(hadoop)] if fs.exists(hadoop) else []  # names of one folder
+    offered = [(p.format(n=n - less * d, d=d), less) for p, less in patterns] if patterns else [(x, int(f"pa_{n}_" not in x)) for x in [text.resolve(found, n, d)] if x]
+    for name, less in offered:
+        if name in found:
+            array = text.load(spark, f"{folder.rstrip('/')}/{name}", "lenient").select("row_id", "u")
+            if verified and not relations.score(array, d).first()["verified"]:
+                raise ValueError(f"{name} isn't verified")
+            for k in range(less - 1, -1, -1):
+                array = generate.weave_high(array, n - k * d, d)
+            return array, name
+    return (generate.ascending_array(spark, n, d) if n - d <= d else construct(spark, n, d, seed, steps)), None
+
+
+def seeds(spark: SparkSession, n: int, d: int) -> DataFrame:
+    """rows: all arrays of a row for every set of d positions for the high symbols, all rows d apart, the first row ascending."""
+    from pyspark.sql import functions as F
+
+    from permlab.functions import columns as C
+    from permlab.operators import generate
+
+    lows = generate.permutations(spark, n - d).withColumnRenamed("u", "low")
+    highs = generate.permutations(spark, d).select(F.transform("u", lambda x: x + n - d).alias("high"))
+    slots = generate.combinations(spark, n, d).crossJoin(lows).crossJoin(highs).select(F.col("id").alias("slot"), C.infill("low", F.col("high"), "ps").alias("u"))  # constants of n and d
+    ascending = (F.col("slot") > 0) | (C.text("u") == ",".join(map(str, [*range(n - d, n), *range(n - d)])))
+    return frontier(slots.where(ascending), d)
+
+
+def cover_designs(spark: SparkSession, k: int) -> DataFrame:
+    """sets: all ways to give each of 2k rows r a set of k numbers below 2k without r, the first that of 1 to k, so that of any two rows
+    q < r the set of q holds r or that of r holds q."""
+    from pyspark.sql import functions as F
+
+    from permlab.operators import generate
+    from permlab.sources.storage import staged
+
+    every = generate.combinations(spark, 2 * k, k).select("ps")
+    rows = spark.range(1).select(F.array(F.array(*[F.lit(x) for x in range(1, k + 1)])).alias("sets"))
+    for r in range(1, 2 * k):
+        here = every.where(~F.array_contains("ps", r))
+        fits = F.forall(F.sequence(F.lit(0), F.lit(r - 1)), lambda q: F.array_contains("ps", q) | F.array_contains(F.get("sets", q), F.lit(r)))
+        rows = staged(rows.join(F.broadcast(here), fits).select(F.concat("sets", F.array("ps")).alias("sets")), "designs")  # subsets of 2k
+    return rows
+
+
+def best_fillings(spark: SparkSession, n: int, d: int, template: list[int], array: DataFrame) -> DataFrame:
+    """u: rows with each symbol in the group that the template's symbol is of, which are d apart from as many rows of the array as can be."""
+    from pyspark.sql import functions as F
+
+    groups = [[g * d + x for x in range(d)] for g in (t // d for t in template)]
+    rows = spark.range(1).select(F.array().cast("array<int>").alias("u"))
+    for options in groups:
+        rows = rows.select(F.explode(F.array(*[F.concat("u", F.array(F.lit(x))) for x in options])).alias("u"))
+    from permlab.functions import columns as C
+
+    own = array.select(F.col("u").alias("v")).groupBy("v").agg(F.count("*").alias("copies"))
+    apart = rows.join(own, C.separated("u", "v", d), "left").groupBy("u").agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n"))  # d ** n rows
+    best = apart.agg(F.max("n").alias("most"))
+    return apart.join(F.broadcast(best), F.col("n") == F.col("most")).select("u")  # one number

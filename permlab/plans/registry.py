@@ -18,7 +18,7 @@ from permlab.operators import graph, search
 from permlab.operators import relations as R
 from permlab.plans.fixtures import RANK_SQL, rank_array
 from permlab.sources import text
-from permlab.sources.storage import shared_dir
+from permlab.sources.storage import shared_dir, staged
 from permlab.streaming import watch
 
 N, D = 8, 3
@@ -390,7 +390,12 @@ def a11_rotation_failures(spark, sf_dir):
     return rows.groupBy(C.text(C.groups("u", 3)).alias("t")).agg(F.count("*").alias("n"))
 
 
-@query()
+_TURNED = "list_transform(range(0, 8), lambda i: u[(i + {k}) % 8 + 1])"
+_ORBIT = [k * 3 % 8 for k in range(8)]
+_APART = " AND ".join([f"{cheb(_TURNED.format(k=k), _TURNED.format(k=j))} >= 3" for i, k in enumerate(_ORBIT) for j in _ORBIT[i + 1 :]] + [f"{cheb(_TURNED.format(k=k), 'range(0, 8)')} >= 3" for k in _ORBIT])
+
+
+@query(f"WITH {rank()} SELECT row_id, ({_APART})::INT AS ok FROM pa")
 def p10_orbits(spark, sf_dir):
     """Rows whose rotations by three are apart from each other and from the identity."""
     return rank_array(spark, sf_dir).select("row_id", C.orbit_separated("u", C.indices(N), N, D).cast("int").alias("ok"))
@@ -550,14 +555,27 @@ def a16_column_symbols(spark, sf_dir):
     return R.column_symbols(rank_array(spark, sf_dir))
 
 
-@query(f"WITH {rank()}, {degree_sql(D)} SELECT row_id, degree, row_number() OVER (ORDER BY degree DESC, row_id)::INT AS rank FROM deg")
-def w1_w4_ranked(spark, sf_dir):
-    return R.ranked(rank_array(spark, sf_dir), D)
+_SEEN = "seen AS (SELECT x, min(k) AS k FROM (SELECT a AS x, [a, b, 0] AS k FROM pairs UNION ALL SELECT b, [a, b, 1] FROM pairs) GROUP BY x)"
+
+
+@query(f"WITH {rank()}, {degree_sql(D)}, {_SEEN} SELECT row_id, degree FROM deg JOIN seen ON row_id = x ORDER BY degree DESC, k LIMIT 1")
+def w1_most_conflicted(spark, sf_dir):
+    return R.most_conflicted(rank_array(spark, sf_dir), D)
+
 
+@query(f"WITH {rank()}, {degree_sql(D)} SELECT row_id, degree, row_number() OVER (ORDER BY degree, row_id)::INT AS rank FROM deg")
+def w2_ranked(spark, sf_dir):
+    return R.ranked(rank_array(spark, sf_dir), D, worst_first=False)
 
-@query(f"WITH {rank()}, {degree_sql(D)} SELECT row_id, degree FROM deg ORDER BY degree DESC, row_id LIMIT 1")
-def w3_worst(spark, sf_dir):
-    return R.worst(rank_array(spark, sf_dir), D)
+
+@query(f"WITH {rank()}, {degree_sql(D)} SELECT row_id, (SELECT count(*) FROM pa) - 1 - degree AS separated FROM deg ORDER BY separated DESC, row_id DESC LIMIT 1")
+def w3_most_separated(spark, sf_dir):
+    return R.most_separated(rank_array(spark, sf_dir), D)
+
+
+@query(f"WITH {rank()}, {degree_sql(D)} SELECT row_id, degree, row_number() OVER (ORDER BY degree DESC, row_id DESC)::INT AS rank FROM deg")
+def w4_ranked(spark, sf_dir):
+    return R.ranked(rank_array(spark, sf_dir), D)
 
 
 @query(f"WITH {rank()}, m AS (SELECT row_id % 7 AS row_id, {txt('u')} AS u, u[1] AS gain, u[2] AS loss FROM pa), r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY gain - loss DESC, u) AS nth FROM m) SELECT row_id, u, gain, loss FROM r WHERE nth = 1")
@@ -625,6 +643,31 @@ def r1_r2_components(spark, sf_dir):
     return graph.array_components(array, R.conflicts(array, 2))
 
 
+@query(f"WITH RECURSIVE {rank()}, {_components_sql(2)} SELECT a.row_id AS a, b.row_id AS b, ma.component = mb.component AS together FROM pa a JOIN pa b ON b.row_id = a.row_id + 1 JOIN members ma ON ma.row_id = a.row_id JOIN members mb ON mb.row_id = b.row_id")
+def p14_connected(spark, sf_dir):
+    array = rank_array(spark, sf_dir)
+    members = graph.array_components(array, R.conflicts(array, 2))
+    return graph.connected(members, array.select(F.col("row_id").alias("a"), (F.col("row_id") + 1).alias("b")))
+
+
+@query(f"WITH RECURSIVE {rank()}, {_components_sql(2)} SELECT component, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, component) AS rank FROM members GROUP BY component")
+def w5_components_by_size(spark, sf_dir):
+    array = rank_array(spark, sf_dir)
+    return graph.by_size(graph.array_components(array, R.conflicts(array, 2)))
+
+
+@query(f"""WITH RECURSIVE {combos(6, 3)}, pa AS (SELECT id AS row_id, {fill('range(3, 6)', '[0, 1, 2]', 'ps')} AS u FROM combos), {_components_sql(3)}
+ SELECT a.row_id AS a, b.row_id AS b FROM pa a JOIN members ma ON a.row_id = ma.row_id, pa b JOIN members mb ON b.row_id = mb.row_id WHERE ma.component < mb.component AND {cheb('a.u', 'b.u')} >= 3""")
+def j16_across_components(spark, sf_dir):
+    array = G.lexicographic_array(spark, 6)
+    return R.across(array, graph.array_components(array, R.conflicts(array, 3)), 3)
+
+
+@query(f"WITH {rank()}, {pairs(D)} SELECT (SELECT count(*) FROM pairs) = 0 AS valid")
+def p13_valid_block(spark, sf_dir):
+    return R.valid_block(rank_array(spark, sf_dir), D)
+
+
 @query(f"WITH RECURSIVE {rank()}, {_components_sql(2)} SELECT size, count(*) AS n_components FROM (SELECT component, count(*) AS size FROM members GROUP BY component) GROUP BY size")
 def r2_component_sizes(spark, sf_dir):
     array = rank_array(spark, sf_dir)
@@ -659,12 +702,18 @@ def _solved(solve):
 
 
 query(name="r6_least_cover")(_solved(graph.least_cover))
-query(name="r7_matching_cover")(_solved(graph.matching_cover))
+query(f"WITH RECURSIVE {rank()}, {pairs(2)}, listed AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS k FROM pairs), step(k, used) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT step.k + 1, CASE WHEN list_contains(used, a) OR list_contains(used, b) THEN used ELSE used || [a, b] END FROM step JOIN listed ON listed.k = step.k) SELECT unnest(used) AS node FROM (SELECT used FROM step ORDER BY k DESC LIMIT 1)", "r7_matching_cover")(_solved(graph.matching_cover))
 query(name="r8_dominating")(_solved(graph.dominating))
 query(name="r9_partly_dominating")(_solved(lambda p: graph.dominating(p, 3)))
 
 
-@query()
+_REMOVE = f"""WITH RECURSIVE {rank()}, {pairs(D)}, {_SEEN}, ends AS (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs),
+ step(n, gone) AS (SELECT 0, []::BIGINT[] UNION ALL SELECT n + 1, list_append(gone, w.x) FROM step, LATERAL (
+  SELECT e.x FROM ends e JOIN seen ON seen.x = e.x WHERE NOT list_contains(step.gone, e.x) AND NOT list_contains(step.gone, e.y) GROUP BY e.x, seen.k ORDER BY count(*) DESC, seen.k LIMIT 1) w)
+ SELECT row_id, {txt('u')} AS u FROM pa WHERE NOT list_contains((SELECT gone FROM step ORDER BY n DESC LIMIT 1), row_id)"""
+
+
+@query(_REMOVE)
 def r3_cleaned(spark, sf_dir):
     array = rank_array(spark, sf_dir)
     return graph.cleaned(array, R.conflicts(array, D)).select("row_id", C.text("u").alias("u"))
@@ -676,7 +725,9 @@ def r5_largest_independent(spark, sf_dir):
     return graph.largest_independent(array, R.conflicts(array, 2)).select("row_id", C.text("u").alias("u"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {rank()}, {pairs(2)}, ends AS (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs), near AS (SELECT x, list(y ORDER BY y) AS ys FROM ends GROUP BY x),
+ grown(members, fits) AS (SELECT [x], ys FROM near UNION ALL SELECT list_append(members, n.x), list_intersect(fits, n.ys) FROM grown, near n WHERE list_contains(fits, n.x) AND n.x > members[-1])
+ SELECT {txt('members')} AS members, len(members)::INT AS size FROM grown WHERE len(fits) = 0""")
 def r11_maximal_cliques(spark, sf_dir):
     return graph.maximal_cliques(R.conflicts(rank_array(spark, sf_dir), 2)).select(C.text("members").alias("members"), "size")
 
@@ -710,6 +761,46 @@ def e2_e4_e7_frontier(spark, sf_dir):
     return search.frontier(slots, 2).select(F.array_join(F.transform("rows", C.text), "|").alias("rows"))
 
 
+_SEEDS = f"{combos(4, 2)}, two(a, b) AS (VALUES (0, 1), (1, 0)), o AS (SELECT id, {fill('[l.a, l.b]', '[h.a + 2, h.b + 2]', 'ps')} AS u FROM combos, two l, two h WHERE id > 0 OR (l.a = 0 AND h.a = 0))"
+
+
+@query(f"WITH {_SEEDS} SELECT {' || chr(124) || '.join(txt(f'o{k}.u') for k in range(6))} AS rows FROM {', '.join(f'o o{k}' for k in range(6))} WHERE {' AND '.join(f'o{k}.id = {k}' for k in range(6))} AND {' AND '.join(cheb(f'o{j}.u', f'o{k}.u') + ' >= 2' for k in range(6) for j in range(k))}")
+def g27_seeds(spark, sf_dir):
+    return search.seeds(spark, 4, 2).select(F.array_join(F.transform("rows", C.text), "|").alias("rows"))
+
+
+@query(f"WITH {combos(4, 2)}, s0 AS (SELECT [1, 2] AS ps) SELECT '1,2|' || {txt('a.ps')} || '|' || {txt('b.ps')} || '|' || {txt('c.ps')} AS sets FROM s0, combos a, combos b, combos c WHERE NOT list_contains(a.ps, 1) AND NOT list_contains(b.ps, 2) AND NOT list_contains(c.ps, 3) AND (list_contains(a.ps, 0) OR list_contains(s0.ps, 1)) AND (list_contains(b.ps, 0) OR list_contains(s0.ps, 2)) AND (list_contains(b.ps, 1) OR list_contains(a.ps, 2)) AND (list_contains(c.ps, 0) OR list_contains(s0.ps, 3)) AND (list_contains(c.ps, 1) OR list_contains(a.ps, 3)) AND (list_contains(c.ps, 2) OR list_contains(b.ps, 3))")
+def g26_e12_cover_designs(spark, sf_dir):
+    return search.cover_designs(spark, 2).select(F.array_join(F.transform("sets", C.text), "|").alias("sets"))
+
+
+@query(f"WITH {rank(4)}, two(x) AS (VALUES (0), (1)), o AS (SELECT [a.x + 2, b.x, c.x + 2, e.x] AS u FROM two a, two b, two c, two e), n AS (SELECT o.u, count(pa.row_id) AS n FROM o LEFT JOIN pa ON {cheb('o.u', 'pa.u')} >= 2 GROUP BY o.u) SELECT {txt('u')} AS u FROM n WHERE n = (SELECT max(n) FROM n)")
+def g30_best_fillings(spark, sf_dir):
+    return search.best_fillings(spark, 4, 2, [2, 0, 3, 1], rank_array(spark, sf_dir, 4)).select(C.text("u").alias("u"))
+
+
+@query(f"WITH RECURSIVE {rank(3)}, {combos(6, 3)}, {perms(3)}, o AS (SELECT ps, row_id AS old, f.u AS highs, {fill('pa.u', 'list_transform(f.u, lambda x: x + 3)', 'ps')} AS u FROM pa, combos, full_perms f WHERE ps[1] = 0), k AS (SELECT ps, old, arg_min(u, highs) AS u FROM o WHERE {cheb('u', 'list_transform(u, lambda x: 5 - x)')} >= 3 GROUP BY ps, old) SELECT row_number() OVER (ORDER BY ps, old) - 1 AS row_id, {txt('u')} AS u FROM k")
+def g7_weave_complementary(spark, sf_dir):
+    return G.weave_complementary(rank_array(spark, sf_dir, 3), 6, 3).select("row_id", C.text("u").alias("u"))
+
+
+def _checked(name: str, array, **options):
+    """What chains return, found again by Spark: rows are permutations, and the score is that of their conflicts."""
+
+    @query("SELECT s::BIGINT AS seed, 20::BIGINT AS n_rows, true AS valid, true AS scored FROM range(1, 3) t(s)", f"{name}_checked")
+    def run(spark, sf_dir):
+        found = staged(search.chains(array(spark), 3, [1, 2], steps=200, **options), "chains")
+        out = None
+        for seed in (1, 2):
+            own = found.where(F.col("seed") == seed)
+            told = own.agg(F.max("score").alias("told"), F.count("*").alias("n_rows"))
+            bad = R.invalid_rows(own.select("row_id", "u")).agg((F.count("*") == 0).alias("valid"))
+            again = R.score(own.select("row_id", "u"), 3).select("score")
+            part = told.crossJoin(bad).crossJoin(again).select(F.lit(seed).cast("long").alias("seed"), "n_rows", "valid", (F.col("told") == F.col("score")).alias("scored"))  # a row each
+            out = part if out is None else out.unionByName(part)
+        return out
+
+
 # -- more searches
 
 
@@ -735,13 +826,19 @@ def _chain_query(name: str, **options):
         return search.chains(_start(spark), 3, [1, 2], steps=200, **options).select("seed", "score", "row_id", C.text("u").alias("u"))
 
 
-_chain_query("h2_basic_chains", pick="uniform", stale=100)
+_chain_query("h2_basic_chains", kind="disturb", gentle=40, great=200)
 _chain_query("h6_coverage_chains", objective="coverage", pick="degree")
 _chain_query("h9_steepest_chains", candidates=8)
 _chain_query("h10_symmetric_chains", image="bump_half")
 _chain_query("h11_masked_chains", masked=True, move="subset")
 
 
+for _name, _options in (
+    ("h1_h4", {"pick": "degree"}), ("h2", {"kind": "disturb", "gentle": 40, "great": 200}), ("h6", {"objective": "coverage", "pick": "degree"}), ("h9", {"candidates": 8}),
+):
+    _checked(_name, lambda spark: G.weave_high(G.ascending_array(spark, 3, 3), 6, 3), **_options)
+
+
 @query()
 def h5_increment(spark, sf_dir):
     rows = [list(r["u"]) for r in G.ascending_array(spark, 6, 3).collect()]  # twenty rows
@@ -767,21 +864,34 @@ def h7_tournament(spark, sf_dir):
     return _table(spark, make, "row_id long, u string")
 
 
-@query()
+_WEAVE = (
+    f"{combos(4, 2)}, lex AS (SELECT id AS row_id, {fill('range(2, 4)', '[0, 1]', 'ps')} AS u FROM combos), {combos(6, 2).replace('combos AS', 'c2 AS')}, "
+    f"woven AS (SELECT row_number() OVER (ORDER BY c2.id, l.row_id) - 1 AS row_id, {fill('l.u', '[4, 5]', 'c2.ps')} AS u, {fill('l.u', '[5, 4]', 'c2.ps')} AS v FROM lex l, c2)"
+)
+_FITS = "len(list_filter(kept, lambda w: list_max(list_transform(range(1, 7), lambda i: abs(w[i] - woven.{x}[i]))) < 3)) = 0"
+_KEPT = "SELECT i - 1 AS row_id, array_to_string(kept[i], ',') AS u FROM (SELECT kept, unnest(range(1, len(kept) + 1)) AS i FROM (SELECT kept FROM step ORDER BY nth DESC LIMIT 1))"
+
+
+@query(f"WITH RECURSIVE {_WEAVE}, step(nth, kept) AS (SELECT 0::BIGINT, []::INT[][] UNION ALL SELECT nth + 1, CASE WHEN {_FITS.format(x='u')} THEN list_append(kept, woven.u::INT[]) ELSE kept END FROM step JOIN woven ON woven.row_id = nth) {_KEPT}")
 def g10_greedy_weave(spark, sf_dir):
     """Rows of a weave that are apart from all kept before them."""
     rows = [list(r["u"]) for r in G.weave_high(G.lexicographic_array(spark, 4), 6, 2).orderBy("row_id").collect()]  # ninety rows
     return _table(spark, lambda: [(k, ",".join(map(str, u))) for k, u in enumerate(search.greedy_keep(rows, 3))], "row_id long, u string")
 
 
-@query()
+@query(f"WITH RECURSIVE {_WEAVE}, step(nth, kept) AS (SELECT 0::BIGINT, []::INT[][] UNION ALL SELECT nth + 1, CASE WHEN {_FITS.format(x='u')} THEN list_append(kept, woven.u::INT[]) WHEN {_FITS.format(x='v')} THEN list_append(kept, woven.v::INT[]) ELSE kept END FROM step JOIN woven ON woven.row_id = nth) {_KEPT}")
 def g11_hybrid_weave(spark, sf_dir):
     """As g10, with every order of the high symbols tried for a row."""
     rows = [list(r["u"]) for r in G.weave_high(G.lexicographic_array(spark, 4), 6, 2).orderBy("row_id").collect()]
     return _table(spark, lambda: [(k, ",".join(map(str, u))) for k, u in enumerate(search.greedy_keep(rows, 3, orders=search.high_orders(6, 2)))], "row_id long, u string")
 
 
-@query()
+@query(f"""WITH RECURSIVE {perms(4)}, numbered AS (SELECT row_number() OVER (ORDER BY u) - 1 AS k, u FROM full_perms),
+ subs AS (SELECT k, [u[i], u[j], u[l]] AS s FROM numbered, (SELECT unnest(range(1, 5)) AS i), (SELECT unnest(range(1, 5)) AS j), (SELECT unnest(range(1, 5)) AS l) WHERE i < j AND j < l),
+ close AS (SELECT DISTINCT a.k AS x, b.k AS y FROM subs a JOIN subs b ON a.s = b.s), near AS (SELECT x AS k, list(y) AS ys FROM close GROUP BY x),
+ grown(taken, free) AS (SELECT []::BIGINT[], (SELECT list(k ORDER BY k) FROM numbered) UNION ALL
+  SELECT list_append(taken, n.k), list_filter(free, lambda f: f > n.k AND NOT list_contains(n.ys, f)) FROM grown, near n WHERE list_contains(free, n.k))
+ SELECT i - 1 AS row_id, array_to_string(u, ',') AS u FROM (SELECT taken, unnest(range(1, len(taken) + 1)) AS i FROM (SELECT taken FROM grown ORDER BY len(taken) DESC, taken LIMIT 1)) JOIN numbered ON k = taken[i]""")
 def e1_largest_ulam_array(spark, sf_dir):
     """A largest set of permutations of four symbols at Ulam distance two or more."""
 
@@ -811,18 +921,29 @@ def _fillings():
     return out
 
 
-@query()
+_SLOTS = "o AS (SELECT * FROM (VALUES (0, 0, [2, 3, 0, 1]), (0, 1, [3, 2, 0, 1]), (1, 0, [0, 2, 1, 3]), (1, 1, [0, 3, 1, 2]), (2, 0, [0, 1, 2, 3]), (2, 1, [0, 1, 3, 2])) t(slot, k, u))"
+
+
+def _chosen_sql(d: int, order: str) -> str:
+    apart = " AND ".join(f"{cheb(p + '.u', q + '.u')} >= {d}" for p, q in (("a", "b"), ("a", "c"), ("b", "c")))
+    return f"WITH {_SLOTS}, best AS (SELECT [a.u, b.u, c.u] AS us FROM o a, o b, o c WHERE a.slot = 0 AND b.slot = 1 AND c.slot = 2 AND {apart} ORDER BY {order} a.k, b.k, c.k LIMIT 1) SELECT i::BIGINT - 1 AS slot, array_to_string(us[i], ',') AS u FROM best, (SELECT unnest(range(1, 4)) AS i)"
+
+
+@query(_chosen_sql(2, ""))
 def e3_fill_highs(spark, sf_dir):
     return _table(spark, lambda: [(k, ",".join(map(str, _fillings()[k][j]))) for k, j in search.choose(_fillings(), 2) or []], "slot long, u string")
 
 
-@query()
+@query(_chosen_sql(1, "abs(a.u[1] - b.u[1]) + abs(a.u[1] - c.u[1]) + abs(b.u[1] - c.u[1]),"))
 def e10_best_filling(spark, sf_dir):
     value = lambda rows: -sum(abs(u[0] - v[0]) for u in rows for v in rows)
     return _table(spark, lambda: [(k, ",".join(map(str, _fillings()[k][j]))) for k, j in search.choose(_fillings(), 1, value=value) or []], "slot long, u string")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SLOTS}, offers AS (SELECT slot, k, u FROM o UNION ALL SELECT DISTINCT slot, 9, [0, 0, 0, 0] FROM o), w(slot, slots, us, path) AS (SELECT 0, []::INT[], []::INT[][], []::INT[] UNION ALL
+  SELECT w.slot + 1, CASE WHEN f.k = 9 THEN slots ELSE list_append(slots, f.slot) END, CASE WHEN f.k = 9 THEN us ELSE list_append(us, f.u) END, list_append(path, f.k) FROM w, offers f
+  WHERE f.slot = w.slot AND (f.k = 9 OR len(list_filter(us, lambda t: list_max(list_transform(range(1, 5), lambda i: abs(t[i] - f.u[i]))) < 3)) = 0))
+ SELECT slots[i]::BIGINT AS slot, array_to_string(us[i], ',') AS u FROM (SELECT slots, us, unnest(range(1, len(us) + 1)) AS i FROM (SELECT slots, us FROM w WHERE slot = 3 ORDER BY len(us) DESC, path LIMIT 1))""")
 def e11_fullest_filling(spark, sf_dir):
     return _table(spark, lambda: [(k, ",".join(map(str, _fillings()[k][j]))) for k, j in search.choose(_fillings(), 3, skip=True) or []], "slot long, u string")
 

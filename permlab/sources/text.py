@@ -6,6 +6,7 @@ Numbers of lines come from Spark's reader: files are read whole where order insi
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +80,12 @@ def names(files: DataFrame) -> DataFrame:
     return rows.where("d >= 1 AND d < n")
 
 
+def misnamed(spark: SparkSession, path: str) -> DataFrame:
+    """file, n, found: files whose first row isn't as long as their name says."""
+    first = load(spark, path, "lenient").groupBy("file").agg(F.min_by(F.size("u"), "row_id").alias("found"))
+    return names(first.select("file")).join(first, "file").where(F.col("n") != F.col("found")).select("file", "n", "found")
+
+
 def load_bits(spark: SparkSession, path: str) -> DataFrame:
     """a, b: set bits of a square of 0 and 1."""
     return lines(spark, path).where(F.trim("value") != "").select(F.col("line").cast("long").alias("a"), F.posexplode(F.split(F.trim("value"), "")).alias("b", "bit")).where("bit = '1'").select("a", F.col("b").cast("long").alias("b"))
@@ -127,6 +134,40 @@ def dump_scored(array: DataFrame, path: str, score: int) -> None:
     dump(array, path, f"# score: {score}")
 
 
+def dump_annotated(array: DataFrame, path: str, degrees: DataFrame) -> None:
+    """With a first line of the conflicts (half the sum of the degrees) and each conflicting row's degree, highest first, and an empty line."""
+    rows = degrees.where("degree > 0").orderBy(F.col("degree").desc(), "row_id").collect()  # of one array that people read
+    told = ", ".join(f"{r['row_id']}: {r['degree']}" for r in rows)
+    dump(array, path, f"# Disagreements: {sum(r['degree'] for r in rows) // 2} Counter({{{told}}})\n")
+
+
+def dump_trimmed(array: DataFrame, path: str, d: int, kept: DataFrame) -> str:
+    """What is kept of an array, beside the file that it came from. Returns the new path."""
+    dump(array.join(kept.select("row_id"), "row_id", "left_semi"), trimmed_name(path, d))
+    return trimmed_name(path, d)
+
+
+def dump_by_size(rows: DataFrame, path: str) -> None:
+    """rows: size, row_id, u, arrays of several sizes. A folder for each size, lines with CR and LF."""
+    lines_ = rows.select("size", "row_id", F.array_join(F.col("u").cast("array<string>"), " ").alias("value"))
+    lines_.repartition("size").sortWithinPartitions("size", "row_id").select("size", "value").write.mode("overwrite").partitionBy("size").option("lineSep", "\r\n").text(path)
+
+
+def publish(array: DataFrame, path: str, header: str | None = None) -> None:
+    """Writes beside the path, then renames: a reader finds the old file or the new one, or none for a moment, and never half of one."""
+    spark = array.sparkSession
+    fresh = f"{path.rstrip('/')}.temp-{uuid.uuid4().hex}"
+    dump(array, fresh, header)
+    jvm = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jvm(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = jvm(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
+    had = fs.exists(jvm(path)) and fs.rename(jvm(path), old)
+    if not fs.rename(jvm(fresh), jvm(path)):
+        raise OSError(f"{fresh} couldn't be renamed to {path}")
+    if had:
+        fs.delete(old, True)
+
+
 def maybe_dump(array: DataFrame, path: str, score: int) -> bool:
     """Writes unless the file says that it has a better score, above 0."""
     spark = array.sparkSession

@@ -40,7 +40,7 @@ def test_conflicts_degrees_and_score(spark, array):
     assert [r.degree for r in R.degrees(df, d).orderBy("row_id").collect()] == deg
     s = R.score(df, d).first()
     assert (s.n_rows, s.conflicts, s.score, s.coverage, s.verified) == (len(array), len(pairs), 2 * len(pairs), deg.count(0), not pairs)
-    assert {tuple(r) for r in R.ranked(df, d).select("row_id", "rank").collect()} == {(k, i + 1) for i, k in enumerate(sorted(range(len(array)), key=lambda k: (-deg[k], k)))}
+    assert {tuple(r) for r in R.ranked(df, d).select("row_id", "rank").collect()} == {(k, i + 1) for i, k in enumerate(sorted(range(len(array)), key=lambda k: (-deg[k], -k)))}
     empty = R.score(df.limit(0), d).first()
     assert (empty.n_rows, empty.score, empty.verified) == (0, 0, True)
 
