@@ -1,5 +1,7 @@
 """Going on from files, sinks that publish, budgets, and the two kinds of disturbance."""
 
+from itertools import combinations
+
 import numpy as np
 import pytest
 
@@ -43,21 +45,26 @@ def test_sinks(spark, tmp_path):
     assert rows_of(text.load(spark, f"{tmp_path}/trimmed_2_from_pa_4_choose_2.txt", "lenient")) == rows_of(R.happy(array, 2))
     text.dump_by_size(array.selectExpr("CAST(row_id % 2 AS INT) AS size", "row_id", "u"), f"{tmp_path}/sizes")
     assert all(x.read_bytes().endswith(b"\r\n") for x in (tmp_path / "sizes").glob("size=*/part-*")) and len(list((tmp_path / "sizes").glob("size=*"))) == 2
-    text.dump(array, f"{tmp_path}/named/pa_5_choose_2.txt")
-    text.dump(array, f"{tmp_path}/named/pa_4_choose_2.txt")
-    assert [(r.n, r.found) for r in text.misnamed(spark, f"{tmp_path}/named/*").collect()] == [(5, 4)]
+    (tmp_path / "named").mkdir()
+    for n in (4, 5):
+        (tmp_path / "named" / f"pa_{n}_choose_2.txt").write_text("0 1 2 3\n1 0 2 3\n")
+    assert [(r.n, r.found) for r in text.misnamed(spark, f"{tmp_path}/named").collect()] == [(5, 4)]
 
 
 def test_budgets_are_never_passed_in_silence():
     with pytest.raises(search.SearchEnded):
         search.largest([[k] for k in range(30)], lambda u, v: (u[0] + v[0]) % 3 > 0, budget=50)
     with pytest.raises(search.SearchEnded):
-        search.choose([[[k, j] for j in range(4)] for k in range(8)], 1, skip=True, budget=50)
+        search.choose([[[0, 0]]] * 12, 1, skip=True, budget=20)
     assert search.largest([[k] for k in range(9)], lambda u, v: abs(u[0] - v[0]) > 3) == [[0], [4], [8]]
 
 
 def test_disturbance_keeps_rows_and_improves():
-    rows = np.array([[0, 1, 2, 3, 4, 5][k:] + [0, 1, 2, 3, 4, 5][:k] for k in range(6)] * 2)
+    rows = []
+    for ps in combinations(range(6), 3):
+        lows, highs = iter((0, 1, 2)), iter((3, 4, 5))
+        rows.append([next(highs) if k in ps else next(lows) for k in range(6)])
+    rows = np.array(rows)
     found, score, log = search.disturb(rows, 3, 4, steps=600, gentle=30, great=90)
     again = search.disturb(rows, 3, 4, steps=600, gentle=30, great=90)
     assert np.array_equal(found, again[0]) and score == search.conflict_matrix(found, 3).sum() < search.conflict_matrix(rows, 3).sum()
