@@ -17,14 +17,23 @@ from permlab.operators.numbering import numbered
 from permlab.sources.storage import staged
 
 
+#: Edges of an array's conflicts that one task joins, at most.
+SMALL = 1 << 17
+
+
 def _star(pairs: DataFrame, least: DataFrame, keep) -> DataFrame:
     """pairs: u, v. Connects every v that is kept with the least of u."""
     return pairs.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).where(keep).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges: a, b (long, not null). Returns node, root for every node that has an edge to another; root is the least reachable."""
+def components(edges: DataFrame, small: int = 0) -> DataFrame:
+    """edges: a, b (long, not null). Returns node, root for every node that has an edge to another; root is the least reachable.
+
+    Up to `small` edges (counted) are joined in one task, with the same result.
+    """
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if small and now.limit(small + 1).count() <= small:
+        return now.coalesce(1).mapInPandas(_joined, "node long, root long")
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -39,9 +48,27 @@ def components(edges: DataFrame) -> DataFrame:
         state = seen
 
 
+def _joined(frames):
+    import pandas as pd
+
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for frame in frames:
+        for u, v in zip(frame["u"].tolist(), frame["v"].tolist(), strict=True):
+            x, y = find(u), find(v)
+            root[max(x, y)] = min(x, y)
+    nodes = list(root)
+    yield pd.DataFrame({"node": pd.Series(nodes, dtype="int64"), "root": pd.Series([find(x) for x in nodes], dtype="int64")})
+
+
 def array_components(array: DataFrame, edges: DataFrame) -> DataFrame:
     """row_id, component (least row_id) of all rows, alone ones too."""
-    found = components(edges.select("a", "b"))
+    found = components(edges.select("a", "b"), SMALL)
     return array.join(found, F.col("row_id") == F.col("node"), "left").select("row_id", F.coalesce("root", "row_id").alias("component"))
 
 
@@ -205,7 +232,7 @@ def per_component(edges: DataFrame, solve) -> DataFrame:
 
 def _rooted(edges: DataFrame) -> DataFrame:
     own = staged(edges.select("a", "b").distinct(), "pairs")
-    return own.join(components(own), F.col("a") == F.col("node")).select("root", "a", "b")
+    return own.join(components(own, SMALL), F.col("a") == F.col("node")).select("root", "a", "b")
 
 
 def maximal_cliques(edges: DataFrame) -> DataFrame:
