@@ -3,14 +3,14 @@
 Files: one `resource` record a page, WARC/1.1, ordered by page_id, written by Spark's text writer with the records' end
 as its line end, so any file system that Spark reaches will do. `read_warc` parses them back by Content-Length.
 
-Audit: every record is hashed (SHA-256). A tree's leaves are keys (page_id) in order; an inner node covers up to 32
+Audit: every record is hashed (SHA-256). A tree's leaves are keys (page_id) in order; an inner node covers up to 256
 children, a fixed range of keys, and so an offset range of the archive; its hash is that of its children's places, hashes and
 sizes. Each replica's tree is built by itself. Roots are compared first; where they differ, only children of nodes that
 differ are compared, level by level, down to keys, and only their records are looked at. As a node's range
 of keys is fixed, a lost record changes its own branch alone, though it shifts all offsets after it.
 
 Records go into leaves as sums of digest parts with their number, so a repeated key, however often, is one combined
-aggregate; no node ever gathers more than 32 children. Text is hashed where it is read; the sorts and joins carry digests.
+aggregate; no node ever gathers more than 256 children. Text is hashed where it is read; the sorts and joins carry digests.
 
 Cases: a null page_id is a key of its own; a null url has no header, a null html is empty; repeated rows are counted;
 two empty archives are equal; other columns are ignored.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from permlab.llm.common import pick, shared_dir, staged
 
 #: Bits of a key that a level of the tree takes off; an inner node has 2 ** BITS children at most.
-BITS = 5
+BITS = 8
 _END = "\r\n\r\n"
 _NO_KEY = -(1 << 63)
 
