@@ -13,7 +13,7 @@ shard follow from a row for each shard. A text is encoded through a table of its
 space after a character that isn't, a place the tokenizer always cuts, so it encodes pieces alone as in the text.
 
 Cases: a null text is empty and gets the end id alone; null doc_ids come first; repeated rows are separate
-documents, in the order of their texts; an empty table gives no rows; other columns are ignored.
+documents, and those of one doc_id in the order of a digest of their texts; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -262,11 +262,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, o
     """Encodes every text, appends end_id and writes the ids to the folder path, by ascending doc_id or in another order. Returns its segments."""
     spark = docs.sparkSession
     modest_batches(spark)
-    order = order or [F.col("doc_id").cast("long"), F.col("text").cast("string")]
-    names = [f"o{k}" for k in range(len(order))]
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *(c.alias(n) for c, n in zip(order, names, strict=True)))
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *(c.alias(f"o{k}") for k, c in enumerate(order or [])))
+    # a digest stands for the text: the bounds of ranges come from a sample of the keys, which the driver gets
+    by = [F.col(f"o{k}").asc_nulls_first() for k in range(len(order))] if order else [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, estimated_bytes(docs) // TASK_BYTES))
-    by = [F.col(n).asc_nulls_first() for n in names]
     own = own.repartitionByRange(tasks, *by).sortWithinPartitions(*by).select("doc_id", "text")
 
     def segments(batches):
