@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permlab.llm import decontaminate, mixing, packing, passages, pii, quality, simhash, stages, tokens, topk, toxicity, warc
+from permlab.llm import decontaminate, mixing, packing, passages, pii, quality, simhash, stages, tokens, topk, toxicity, upsert, warc
 from permlab.llm.common import table
 from permlab.llm.stages import vocabulary
 
@@ -57,12 +57,16 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op13_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upsert.upserted_clients(table(spark, sf_dir, "clients"), table(spark, sf_dir, "client_changes"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (pipeline, op1_mixing, op2_simhash, op3_quality, op4_passages, op5_decontamination, op6_pii, op7_tokens, op8_topk, op9_warc, op10_toxicity, op11_packing)}
+    return {f.__name__: f for f in (pipeline, op1_mixing, op2_simhash, op3_quality, op4_passages, op5_decontamination, op6_pii, op7_tokens, op8_topk, op9_warc, op10_toxicity, op11_packing, op13_upsert)}
 
 
 MIXING_SQL = r"""
