@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permlab.llm import decontaminate, mixing, packing, passages, pii, quality, simhash, stages, tokens, topk, toxicity, upsert, warc
+from permlab.llm import decontaminate, lexical, mixing, packing, passages, pii, quality, simhash, stages, tokens, topk, toxicity, upsert, warc
 from permlab.llm.common import table
 from permlab.llm.stages import vocabulary
 
@@ -57,6 +57,10 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.upserted_clients(table(spark, sf_dir, "clients"), table(spark, sf_dir, "client_changes"))
 
@@ -66,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (pipeline, op1_mixing, op2_simhash, op3_quality, op4_passages, op5_decontamination, op6_pii, op7_tokens, op8_topk, op9_warc, op10_toxicity, op11_packing, op13_upsert)}
+    return {f.__name__: f for f in (pipeline, op1_mixing, op2_simhash, op3_quality, op4_passages, op5_decontamination, op6_pii, op7_tokens, op8_topk, op9_warc, op10_toxicity, op11_packing, op12_lexical, op13_upsert)}
 
 
 MIXING_SQL = r"""
@@ -123,5 +127,24 @@ WHERE a.digest IS DISTINCT FROM b.digest
 """
 
 
+LEXICAL_SQL = r"""
+WITH own AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+sizes AS (SELECT row, doc_id, len(terms)::BIGINT AS n FROM own WHERE len(terms) > 0),
+whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM sizes),
+counts AS (SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(terms) AS term FROM own) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM counts, whole GROUP BY term, docs),
+asked AS (
+  SELECT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS item, * FROM benchmark)),
+scored AS (
+  SELECT item, item_id, doc_id, row, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total))))::BIGINT AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN sizes USING (row), whole GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": WARC_SQL, "op1_mixing": MIXING_SQL, "op8_topk": TOPK_SQL}
+    return {"op9_warc": WARC_SQL, "op1_mixing": MIXING_SQL, "op8_topk": TOPK_SQL, "op12_lexical": LEXICAL_SQL}
