@@ -26,7 +26,7 @@ from permlab.llm.common import pick, pieces, shared_dir
 from permlab.llm.tokens import encoded
 
 #: Items that wait in a task, at most.
-POOL = 2048
+POOL = 1024
 SEGMENTS = "array<struct<doc_id: long, start: long, length: long, doc_tokens: long>>"
 _WRITTEN = f"sequence_id long, ids array<int>, segments {SEGMENTS}"
 

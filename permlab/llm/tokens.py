@@ -35,7 +35,7 @@ WIDTH = 8
 RANK_BITS = 512
 #: Pieces longer than this many bytes are encoded without the table.
 LONGEST = 48
-#: Pieces a table holds before it starts anew; a bound of its memory, not of what is encoded.
+#: Pieces a table holds before it forgets the rarer half; a bound of its memory, not of what is encoded.
 PIECES = 1 << 20
 #: Bytes of text taken at a time, and ids in a segment after which the next document starts another.
 STEP, SEGMENT_IDS = 1 << 20, 1 << 20
@@ -129,9 +129,23 @@ class Pieces:
         self.keys, self.value = np.zeros(self.slots, np.uint64), np.full(self.slots, -1, np.int32)
         self.shift = np.uint64(64 - (self.slots.bit_length() - 1))
         self.n = 0
+        self.uses = np.zeros(PIECES, np.int32)
         self.text, self.text_at = np.zeros(1 << 20, np.uint8), np.zeros(PIECES + 1, np.int64)
         self.ids, self.ids_at = np.zeros(1 << 20, np.uint32), np.zeros(PIECES + 1, np.int64)
 
+    def forget(self) -> None:
+        """Keeps the pieces that were met more often than the median one, half of the table at most; of equal ones the older."""
+        n, uses = self.n, self.uses[: self.n].copy()
+        kept = np.sort(np.argsort(-uses, kind="stable")[: PIECES // 2])
+        kept = kept[uses[kept] > 1]
+        hashes = np.zeros(n, np.uint64)
+        held = self.value >= 0
+        hashes[self.value[held]] = self.keys[held]
+        text, text_at, ids, ids_at = self.text, self.text_at, self.ids, self.ids_at
+        self.clear()
+        self._put(hashes[kept], *_rows(text, text_at, kept), *_rows(ids, ids_at, kept))
+        self.uses[: len(kept)] = uses[kept] // 2  # what was common long ago counts less
+
     @staticmethod
     def grown(array: np.ndarray, n: int) -> np.ndarray:
         return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, len(array) * 3 // 2) - len(array), array.dtype)])
@@ -151,13 +165,17 @@ class Pieces:
     def add(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         """Pieces, each with another hash, that aren't in the table."""
         encoded = self.encode([x.decode("utf-8", "surrogatepass") for x in pieces])
-        n, k = self.n, len(pieces)
+        k = len(pieces)
         sizes, counts = np.fromiter(map(len, pieces), np.int64, k), np.fromiter(map(len, encoded), np.int64, k)
+        self._put(hashes, np.frombuffer(b"".join(pieces), np.uint8), sizes, np.fromiter((y for x in encoded for y in x), np.uint32), counts)
+
+    def _put(self, hashes: np.ndarray, text: np.ndarray, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        n, k = self.n, len(hashes)
         self.text_at[n + 1 : n + k + 1] = self.text_at[n] + np.cumsum(sizes)
         self.ids_at[n + 1 : n + k + 1] = self.ids_at[n] + np.cumsum(counts)
         self.text, self.ids = self.grown(self.text, self.text_at[n + k] + LONGEST), self.grown(self.ids, self.ids_at[n + k])
-        self.text[self.text_at[n] : self.text_at[n + k]] = np.frombuffer(b"".join(pieces), np.uint8)
-        self.ids[self.ids_at[n] : self.ids_at[n + k]] = np.fromiter((y for x in encoded for y in x), np.uint32)
+        self.text[self.text_at[n] : self.text_at[n + k]] = text
+        self.ids[self.ids_at[n] : self.ids_at[n + k]] = ids
         values, slot, left = np.arange(n, n + k, dtype=np.int32), (hashes >> self.shift).astype(np.int64), np.arange(k)
         while len(left):
             free = left[self.value[slot[left]] < 0]
@@ -181,12 +199,13 @@ class Pieces:
         known = self.find(keys)
         new = np.flatnonzero((known < 0) & short[first])
         if self.n + len(new) > PIECES:
-            self.clear()
-            known[:] = -1
-            new = np.flatnonzero(short[first])[:PIECES]
+            self.forget()
+            known = self.find(keys)
+            new = np.flatnonzero((known < 0) & short[first])[: PIECES - self.n]
         if len(new):
             self.add(keys[new], [data[a:b].tobytes() for a, b in zip(starts[first[new]], ends[first[new]], strict=True)])
             known = self.find(keys)
+        self.uses[known[known >= 0]] += 1
         at = known[inverse]
         ok = (at >= 0) & short & (self.text_at[at + 1] - self.text_at[at] == sizes)
         same = body == self.text[np.minimum(self.text_at[at][piece] + within, len(self.text) - 1)]
@@ -203,6 +222,12 @@ class Pieces:
         return ids, counts
 
 
+def _rows(flat: np.ndarray, ends: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen rows of values that lie one after another, and their sizes."""
+    sizes = ends[kept + 1] - ends[kept]
+    return flat[np.repeat(ends[kept] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())], sizes
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where pieces start: at each text, and at a space or line feed after a character that surely isn't white space.
 
