@@ -7,8 +7,8 @@ meets. Within a cell distances are counted bit-sliced: bit planes hold 64 finger
 add one plane at a time for all of them, and a word is abandoned when its 64 distances all exceed the radius.
 A cell gives the edges of a spanning forest, not its pairs. Components are found over these edges.
 
-keep_one() also finds near copies whose fingerprints are farther apart: texts are cut into sections where the hash of a shingle says so,
-and texts with equal fingerprints of a section are compared by their shingles.
+keep_one() also finds near copies whose fingerprints are farther apart: texts with an equal key of a few min-hashes of their shingles
+are compared by the shingles. A longer text that only holds another one seldom shares a key with it.
 
 Cases: a null or empty text has no words and fingerprint zero, linked like any other; fewer words than a shingle are
 one shingle; a component's id is its smallest doc_id that isn't null; repeated rows are separate documents
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from permlab.llm.common import RAW, modest_batches, pick, pieces, row_key, rows_of, spans_of, staged, text_bytes
-from permlab.llm.shingling import BLANK, LOWER, shingles
+from permlab.llm.shingling import BLANK, LOWER, mixed, shingles
 from permlab.operators.graph import components
 
 BLOCKS = 4
@@ -34,8 +34,11 @@ CELL = 512
 #: Bytes of text and shingles taken at a time.
 STEP, SHINGLES = 1 << 21, 1 << 15
 
-#: A section of a text ends before a shingle whose hash is 0 modulo so much; sections of fewer shingles than LEAST aren't looked up.
-SECTION, LEAST = 16, 6
+#: Keys of a text, and min-hashes in each: near copies of 0.8 share a key with probability 0.998, texts of 0.3 with 0.09.
+BANDS, ROWS = 12, 4
+#: Pairs that a set of shingles is sent for at once.
+PARTNERS = 1024
+_SEEDS = np.random.default_rng(2).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 #: Share of shingles that near copies have in common, and bits in which their fingerprints may differ before the shingles are compared:
 #: at that share a bit differs with probability 0.15, more than 22 of 64 with less than 0.0001.
 SIMILARITY, FAR = 0.8, 22
@@ -43,23 +46,16 @@ SIMILARITY, FAR = 0.8, 22
 
 def fingerprints(texts: pa.Array, width: int = 3) -> np.ndarray:
     """Unsigned fingerprints of all texts."""
-    return signatures(texts, width)[0]
-
-
-def signatures(texts: pa.Array, width: int, section: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints of all texts; fingerprints of all sections that are looked up, and their number in each text."""
     data, offsets = text_bytes(texts)
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    parts = [none, *(_signatures(data, offsets[a : b + 1], width, section) for a, b in spans_of(np.diff(offsets), STEP))]
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
+    return np.concatenate([np.zeros(0, np.uint64), *(_fingerprints(data, offsets[a : b + 1], width) for a, b in spans_of(np.diff(offsets), STEP))])
 
 
-def _signatures(data: np.ndarray, offsets: np.ndarray, width: int, section: int):
+def _fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
     body, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
     n = len(offsets) - 1
     solid = ~BLANK[body]
     if not solid.any():
-        return np.zeros(n, np.uint64), np.zeros(0, np.uint64), np.zeros(n, np.int64)
+        return np.zeros(n, np.uint64)
     edge = np.zeros(len(body), bool)  # where a text starts
     edge[offsets[:-1][offsets[:-1] < len(body)]] = True
     after = np.append(False, solid[:-1]) & ~edge  # the byte before is of a word of this text
@@ -82,24 +78,14 @@ def _signatures(data: np.ndarray, offsets: np.ndarray, width: int, section: int)
     lo, hi = starts[first], ends[final]
     view, digest = memoryview(line.tobytes()), xxhash.xxh64_intdigest
     h = np.fromiter((digest(view[i:j], 42) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)), "<u8", len(lo))
-    # parts: texts, or sections of them
+    ones = np.zeros((n, 64), np.int64)
     of = np.repeat(np.arange(n), many)
-    new = np.append(True, of[1:] != of[:-1])
-    if section:
-        new |= h % np.uint64(section) == 0
-    cut = np.flatnonzero(new)
-    part, size = np.cumsum(new) - 1, np.diff(np.append(cut, len(h)))
-    ones = np.zeros((len(cut), 64), np.int64)
     for a in range(0, len(h), SHINGLES):
         bits = np.unpackbits(h[a : a + SHINGLES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        own = part[a : a + SHINGLES]
+        own = of[a : a + SHINGLES]
         edges = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         ones[own[edges]] += np.add.reduceat(bits, edges, axis=0, dtype=np.int64)
-    first = np.flatnonzero(np.append(True, of[cut][1:] != of[cut][:-1]))
-    fps = np.zeros(n, np.uint64)
-    fps[of[cut[first]]] = _signs(np.add.reduceat(ones, first, axis=0), many[of[cut[first]]])
-    looked = size >= LEAST if section else np.zeros(len(cut), bool)
-    return fps, _signs(ones[looked], size[looked]), np.bincount(of[cut[looked]], minlength=n)
+    return _signs(ones, many)
 
 
 def _signs(ones: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -250,67 +236,112 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     return rows.join(found, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _near_links(rows: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """rows: row_key, fp, sections. Edges a, b of fingerprints whose texts have that share of their shingles in common.
+def band_keys(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all texts, BANDS each, and the number of each text: none if it has fewer words than a shingle.
 
-    Texts with an equal section are compared with one of them, that which shares most sections with others: of an original and
-    its copies the original. Pairs whose fingerprints are more than FAR bits apart are left; the others are verified by their shingles.
+    A key is made of ROWS min-hashes of the shingles, so two texts share one with the share of common shingles to the power of ROWS.
     """
-    texts = rows.groupBy("fp").agg(F.min(F.struct("row_key", "sections")).alias("r")).select("fp", "r.*")
-    parts = staged(texts.select("fp", F.explode(F.array_distinct("sections")).alias("key")), "simhash-sections")
-    shared = parts.groupBy("key").count().where("count > 1").select(F.col("key").alias("of_key"))
-    shared = staged(parts.join(shared, F.col("key") == F.col("of_key")).select("key", "fp"), "simhash-shared")
-    support = shared.groupBy("fp").agg(F.count("*").alias("support")).withColumnRenamed("fp", "of_fp")
-    ranked = shared.join(support, F.col("fp") == F.col("of_fp")).select("key", F.struct("support", "fp").alias("r"))
-    heads = ranked.groupBy("key").agg(F.max("r").alias("head")).select(F.col("key").alias("of_key"), F.col("head.fp").alias("b"))
-    found = shared.withColumnRenamed("fp", "a").join(heads, F.col("key") == F.col("of_key"))
-    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= FAR)
-    found = staged(found.where(near).select("a", "b").distinct(), "simhash-pairs")
-    # the shingles of one text for each fingerprint of a pair
-    need = found.select(F.col("a").alias("of_fp")).unionByName(found.select(F.col("b").alias("of_fp"))).distinct()
-    keys = texts.join(need, F.col("fp") == F.col("of_fp")).select("fp", F.col("row_key").alias("of_row"))
+    h, at = shingles(texts, width)
+    many = np.diff(at)
+    some = np.flatnonzero(many)
+    least = np.zeros((len(some), BANDS * ROWS), np.uint64)
+    for k in range(BANDS * ROWS if len(some) else 0):
+        least[:, k] = np.minimum.reduceat((h ^ _SEEDS[0, k]) * _SEEDS[1, k], at[:-1][some])
+    keys = (mixed(least).reshape(len(some), BANDS, ROWS) * _SEEDS[1, :ROWS]).sum(axis=2) + np.arange(BANDS, dtype=np.uint64)
+    return mixed(keys).reshape(-1), np.where(many > 0, BANDS, 0)
+
+
+def _shingle_sets(rows: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """rows: fp, row_key. fp, own: the 32-bit hashes of the shingles of one text for each fingerprint, sorted."""
 
     def sets(batches):
         for batch in pieces(batches):
             s, at = shingles(batch.column("text"), width)
-            own = [np.unique(s[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            own = [np.unique((s[a:b] >> np.uint64(32)).astype("<u4")).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(own, pa.binary())], names=["fp", "own"])
 
-    own = docs.select(row_key(docs).alias("row_key"), docs["text"].cast("string").alias("text"))
-    own = staged(own.join(keys, F.col("row_key") == F.col("of_row")).select("fp", "text").mapInArrow(sets, "fp long, own binary"), "simhash-sets", RAW).dropDuplicates(["fp"])
-    both = found.join(own.select(F.col("fp").alias("fa"), F.col("own").alias("x")), F.col("a") == F.col("fa")).join(own.select(F.col("fp").alias("fb"), F.col("own").alias("y")), F.col("b") == F.col("fb"))
+    own = docs.select(row_key(docs).alias("of_row"), docs["text"].cast("string").alias("text"))
+    own = own.join(rows.select("fp", "row_key"), F.col("row_key") == F.col("of_row")).select("fp", "text")
+    # rows of docs that are copies of one another give equal sets
+    return staged(own.mapInArrow(sets, "fp long, own binary"), "simhash-sets", RAW).dropDuplicates(["fp"])
+
 
-    def verified(batches):
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """pairs: a, b (distinct). Those whose sets have that share in common.
+
+    A set goes to each PARTNERS of its pairs as b once: they follow it in the order in which a task reads.
+    """
+    many = pairs.groupBy(F.col("b").alias("of")).agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    dealt = pairs.join(many, F.col("b") == F.col("of")).select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
+    dealt = staged(dealt, "simhash-dealt")
+    of = sets.withColumnRenamed("fp", "of")
+    heads = dealt.select("b", "part").distinct().join(of, F.col("b") == F.col("of")).select("b", "part", F.lit(None).cast("long").alias("a"), "own")
+    others = dealt.join(of, F.col("a") == F.col("of")).select("b", "part", "a", "own")
+
+    def compare(batches):
+        head = np.zeros(0, "<u4")
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good[k] = common > 0 and common >= similarity * (len(x) + len(y) - common)
+            for k, (a, own) in enumerate(zip(batch.column("a").to_pylist(), batch.column("own"), strict=True)):
+                own = np.frombuffer(own.as_buffer(), "<u4")
+                if a is None:
+                    head = own.copy()
+                else:
+                    common = len(np.intersect1d(head, own, assume_unique=True))
+                    good[k] = common > 0 and common >= similarity * (len(head) + len(own) - common)
             kept = batch.filter(pa.array(good))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+    where = ["b", "part"]
+    return heads.unionByName(others).repartition(*where).sortWithinPartitions(*where, F.col("a").asc_nulls_first()).mapInArrow(compare, "a long, b long")
+
+
+def _near_links(rows: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """rows: row_key, fp, keys. Edges a, b of fingerprints whose texts have that share of their shingles in common.
+
+    Texts with an equal key are compared with one of them, that which meets most others: of an original and its copies the original. Pairs whose
+    fingerprints are more than FAR bits apart are left; the others are verified by their shingles. Those that aren't like their head go
+    round again among themselves, with another head, until a key has one text left or a round finds no pair.
+    """
+    texts = rows.groupBy("fp").agg(F.min(F.struct("row_key", "keys")).alias("r")).select("fp", "r.*")
+    parts = staged(texts.select("fp", F.explode("keys").alias("key")), "simhash-keys")
+    shared = parts.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").withColumnRenamed("key", "of")
+    left = parts.join(shared, F.col("key") == F.col("of")).select("key", "fp", "size")
+    meets = left.groupBy(F.col("fp").alias("f")).agg(F.sum("size").alias("meets"))
+    left = staged(left.join(meets, F.col("fp") == F.col("f")).select("key", "fp", "meets"), "simhash-shared")
+    need = left.select(F.col("fp").alias("f")).distinct()
+    sets = staged(_shingle_sets(texts.join(need, F.col("fp") == F.col("f"), "left_semi"), docs, width), "simhash-own", RAW)
+    links = None
+    while True:
+        heads = left.groupBy(F.col("key").alias("of")).agg(F.max(F.struct("meets", "fp")).alias("head"), F.count("*").alias("n")).where("n > 1")
+        tried = staged(left.join(heads, F.col("key") == F.col("of")).where(F.col("fp") != F.col("head.fp")).select("key", "fp", "meets", F.col("head.fp").alias("b")), "simhash-tried")
+        near = tried.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= FAR).select(F.col("fp").alias("a"), "b").distinct()
+        found = staged(verified(near, sets, similarity), "simhash-found")
+        links = found if links is None else links.unionByName(found)
+        if found.isEmpty():
+            return links
+        alike = found.select(F.col("a").alias("x"), F.col("b").alias("y"))
+        left = staged(tried.join(alike, (F.col("fp") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti").select("key", "fp", "meets"), "simhash-left")
 
 
 def keep_one(docs: DataFrame, width: int = 5, radius: int = 2, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group, that with the smallest doc_id, with all columns of docs.
 
-    Groups: texts whose fingerprints are within the radius, or that have a section with the same fingerprint and at least that
+    Groups: texts whose fingerprints are within the radius, or that meet by a key of min-hashes and have at least that
     share of their shingles in common, and what is connected by these. Null doc_ids come after all others; of several
     texts with the smallest doc_id the one with the least digest stays, of rows with equal doc_id and text one.
     """
 
     def signed(batches):
         for batch in pieces(batches):
-            fp, keys, counts = signatures(batch.column("text"), width, SECTION)
+            fp, (keys, counts) = fingerprints(batch.column("text"), width), band_keys(batch.column("text"), width)
             ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            sections = pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(fp.view(np.int64)), sections], names=["doc_id", "row_key", "fp", "sections"])
+            own = pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(fp.view(np.int64)), own], names=["doc_id", "row_key", "fp", "keys"])
 
     modest_batches(docs.sparkSession)
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(docs).alias("row_key"), docs["text"].cast("string").alias("text"))
-    rows = staged(own.mapInArrow(signed, "doc_id long, row_key string, fp long, sections array<long>"), "simhash")
+    rows = staged(own.mapInArrow(signed, "doc_id long, row_key string, fp long, keys array<long>"), "simhash")
     values = rows.select("fp").distinct()
     found = components(links(values, radius).unionByName(_near_links(rows, docs, width, similarity)))
     member = rows.select("doc_id", "row_key", "fp").join(found, F.col("fp") == F.col("node"), "left").select("doc_id", "row_key", F.coalesce("root", "fp").alias("root"))

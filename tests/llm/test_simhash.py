@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -94,15 +95,67 @@ def test_unlinked_texts_without_an_id_or_with_the_same(spark):
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(None, unlike[0]), (None, unlike[1]), (None, unlike[4]), (5, unlike[2]), (5, unlike[3])], key=repr)
 
 
-def test_sections_and_whole_texts_over_many_steps(monkeypatch):
+def test_whole_texts_over_many_steps(monkeypatch):
     texts = [" ".join(f"w{i * j % 101}" for i in range(n)) for j, n in enumerate((0, 3, 40, 900, 2000))] + [None, ""]
-    whole = simhash.signatures(pa.array(texts), 5, 16)
-    assert whole[0].tolist() == simhash.fingerprints(pa.array(texts), 5).tolist() and whole[2][3] > 20
-    alone = [simhash.signatures(pa.array([t], pa.string()), 5, 16) for t in texts]
-    assert whole[1].tolist() == [x for a in alone for x in a[1].tolist()] and whole[2].tolist() == [a[2][0] for a in alone]
+    whole = simhash.fingerprints(pa.array(texts), 5)
+    assert whole.tolist() == [int(simhash.fingerprints(pa.array([t], pa.string()), 5)[0]) for t in texts]
     monkeypatch.setattr(simhash, "SHINGLES", 7)
-    again = simhash.signatures(pa.array(texts), 5, 16)
-    assert all(np.array_equal(a, b) for a, b in zip(whole, again, strict=True))
+    assert np.array_equal(simhash.fingerprints(pa.array(texts), 5), whole)
+
+
+def test_keys_are_of_one_text_alone():
+    texts = [" ".join(f"w{i * j % 101}" for i in range(n)) for j, n in enumerate((0, 3, 40, 900, 2000))] + [None, "", "one two three four five"]
+    keys, counts = simhash.band_keys(pa.array(texts), 5)
+    alone = [simhash.band_keys(pa.array([t], pa.string()), 5) for t in texts]
+    assert keys.tolist() == [x for a in alone for x in a[0].tolist()] and counts.tolist() == [int(a[1][0]) for a in alone]
+    assert [c > 0 for c in counts] == [False, False, True, True, True, False, False, True]
+    assert simhash.band_keys(pa.array([], pa.string()), 5)[0].tolist() == []
+
+
+def _alike(rows):
+    grams = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in rows}
+    by = {}
+    for d, g in grams.items():
+        for x in g:
+            by.setdefault(x, set()).add(d)
+    near = {p for ds in by.values() if len(ds) < 200 for p in ((a, b) for a in ds for b in ds if a < b)}
+    return {(a, b) for a, b in near if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])}
+
+
+@pytest.mark.parametrize("hub", ["each", "all", "licence"])
+def test_near_copies_behind_hubs(spark, hub):
+    """Originals with a copy each; longer documents hold every original, or one holds all, or all share a line: by brute force nothing is lost."""
+    rng = np.random.default_rng(9)
+    say = lambda n: [f"w{w}" for w in rng.integers(0, 10**6, n)]
+    rows, hosts, line = [], [], say(40)
+    for k in range(60):
+        text = say(300)
+        copy = list(text)
+        for i in rng.permutation(300)[: 4 if k % 2 else 6]:
+            copy[i] = say(1)[0]
+        if hub == "licence":
+            text, copy = text + line, line + copy
+        rows += [(k, text), (1000 + k, copy)]
+        if hub == "each":
+            hosts.append((2000 + k, say(400) + text + say(500)))
+    if hub == "all":
+        hosts.append((2000, [w for _, t in rows[::2] for w in t]))
+    if hub == "licence":
+        hosts += [(2000 + k, say(30) + line + say(30)) for k in range(100)]
+    rows += hosts
+    wanted = {b for _, b in _alike(rows)}
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")).collect()}
+    gone = {d for d, _ in rows} - kept
+    assert len(wanted) >= 50 and gone <= wanted and len(gone) >= 0.97 * len(wanted)
+
+
+def test_a_set_goes_to_its_pairs_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PARTNERS", 3)
+    sets = spark.createDataFrame([(k, np.array(sorted({*range(20), k} - {k % 7}), "<u4").tobytes()) for k in range(100, 140)], "fp long, own binary")
+    pairs = [(a, b) for b in (100, 107, 111) for a in range(100, 140) if a != b]
+    got = {tuple(r) for r in simhash.verified(spark.createDataFrame(pairs, "a long, b long"), sets, 0.9).collect()}
+    own = {k: {*range(20), k} - {k % 7} for k in range(100, 140)}
+    assert got == {(a, b) for a, b in pairs if len(own[a] & own[b]) >= 0.9 * len(own[a] | own[b])} and got
 
 
 def test_near_copies_stay_once(spark):
