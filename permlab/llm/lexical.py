@@ -354,19 +354,22 @@ def ranked(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     spark = docs.sparkSession
     documents, terms = totals(docs)
     asked = staged(query_terms(queries).where(F.size("hashes") > 0), "queries")
-    # blocks of queries in their order: a range sort deals them, and the driver holds one block at a time
-    sizes = asked.select("query", F.size("hashes").alias("n")).repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "query")
-    inner = W.partitionBy(F.spark_partition_id()).orderBy("query").rowsBetween(W.unboundedPreceding, -1)
-    part, before = F.spark_partition_id(), F.coalesce(F.sum(F.greatest(F.col("n"), F.lit(BLOCK_TERMS // BLOCK_ROWS))).over(inner), F.lit(0))
-    blocks = staged(sizes.select("query", part.alias("part"), F.floor(before / BLOCK_TERMS).alias("nth")), "blocks")
-    asked = asked.join(blocks.withColumnRenamed("query", "of"), F.col("query") == F.col("of")).select("query", "item_id", "hashes", "terms", "part", "nth")
-    keys = blocks.select("part", "nth").distinct() if terms else blocks.limit(0)
+    # blocks of queries by the running number of their terms, over ranges of queries; the driver holds one block at a time
+    weight = F.greatest(F.size("hashes"), F.lit(BLOCK_TERMS // BLOCK_ROWS)).cast("long").alias("weight")
+    dealt = staged(asked.select("query", weight).repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "query").withColumn("part", F.spark_partition_id()), "blocks")
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    bases = dealt.groupBy("part").agg(F.sum("weight").alias("n")).select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))  # a row for each range
+    inner = F.coalesce(F.sum("weight").over(W.partitionBy("part").orderBy("query").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    dealt = dealt.withColumn("inner", inner).join(F.broadcast(bases), F.col("part") == F.col("p")).select(F.col("query").alias("of"), F.floor((F.col("base") + F.col("inner")) / BLOCK_TERMS).alias("block"))
+    asked = staged(asked.join(dealt, F.col("query") == F.col("of")).select("query", "item_id", "hashes", "terms", "block"), "queries")
+    blocks = (asked.agg(F.max("block")).first()[0] if terms else None) or 0
     forest = staged(trees(docs, documents, terms), "trees", RAW)
     path, found = shared_dir(spark, "found"), 0
-    for key in keys.toLocalIterator():
-        block = Block(asked.where((F.col("part") == key["part"]) & (F.col("nth") == key["nth"])).select("query", "hashes", "terms").toArrow())
-        searched(forest, block, documents, k).write.mode("append").parquet(path)
-        found += 1
+    for k_block in range(blocks + 1 if terms else 0):
+        table = asked.where(F.col("block") == k_block).select("query", "hashes", "terms").toArrow()
+        if table.num_rows:
+            searched(forest, Block(table), documents, k).write.mode("append").parquet(path)
+            found += 1
     schema = "query long, doc_id long, score long"
     best = spark.read.schema(schema).parquet(path) if found else spark.createDataFrame([], schema)
     order = W.partitionBy("query").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
