@@ -38,10 +38,14 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from permlab.plans import searches  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from permlab.plans import searches  # noqa: F401  registers its SQL
+
     return dict(_SQL)
 
 
