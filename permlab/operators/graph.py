@@ -110,15 +110,15 @@ def missed(vertices: DataFrame, edges: DataFrame, chosen: DataFrame) -> DataFram
 # -- one task for each component
 
 
-def greedy_removal(pairs: list[tuple[int, int]]) -> list[int]:
-    """Nodes removed, most edges first, until no edge is left; ties to the node that sorted pairs name first."""
+def greedy_removal(pairs: list[tuple[int, int]], turn: dict[int, int] | None = None) -> list[int]:
+    """Nodes removed, most edges first, until no edge is left; ties to the node that sorted pairs name first, or to the lowest turn."""
     near: dict[int, set[int]] = {}
     for a, b in sorted(pairs):
         near.setdefault(a, set()).add(b)
         near.setdefault(b, set()).add(a)
     out = []
     while True:
-        node = max(near, key=lambda x: len(near[x]), default=None)
+        node = max(near, key=lambda x: (len(near[x]), -turn[x] if turn else 0), default=None)
         if node is None or not near[node]:
             return out
         for other in near.pop(node):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from permlab.functions import columns as C
 from permlab.functions import numbers
 from permlab.operators import generate as G
-from permlab.operators import graph, search
+from permlab.operators import graph, rounds, search
 from permlab.operators import relations as R
 from permlab.plans.fixtures import RANK_SQL, rank_array
 from permlab.sources import text
@@ -705,10 +705,25 @@ def _solved(solve):
     return run
 
 
+def _by_rounds(solve):
+    return lambda spark, sf_dir: solve(R.conflicts(rank_array(spark, sf_dir), 2))
+
+
 query(name="r6_least_cover")(_solved(graph.least_cover))
-query(f"WITH RECURSIVE {rank()}, {pairs(2)}, listed AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS k FROM pairs), step(k, used) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT step.k + 1, CASE WHEN list_contains(used, a) OR list_contains(used, b) THEN used ELSE used || [a, b] END FROM step JOIN listed ON listed.k = step.k) SELECT unnest(used) AS node FROM (SELECT used FROM step ORDER BY k DESC LIMIT 1)", "r7_matching_cover")(_solved(graph.matching_cover))
-query(name="r8_dominating")(_solved(graph.dominating))
-query(name="r9_partly_dominating")(_solved(lambda p: graph.dominating(p, 3)))
+query(f"WITH RECURSIVE {rank()}, {pairs(2)}, listed AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS k FROM pairs), step(k, used) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT step.k + 1, CASE WHEN list_contains(used, a) OR list_contains(used, b) THEN used ELSE used || [a, b] END FROM step JOIN listed ON listed.k = step.k) SELECT unnest(used) AS node FROM (SELECT used FROM step ORDER BY k DESC LIMIT 1)", "r7_matching_cover")(_by_rounds(rounds.matching_cover))
+
+def _greedy_sql(least: int) -> str:
+    return f"""WITH RECURSIVE {rank()}, {pairs(2)}, ends AS (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs), near AS (SELECT x, list_append(list(y), x) AS ys FROM ends GROUP BY x),
+ step(n, todo, node) AS (SELECT 0, (SELECT list(x) FROM near), NULL::BIGINT UNION ALL SELECT n + 1, list_filter(step.todo, lambda z: NOT list_contains(w.ys, z)), w.x FROM step, LATERAL (
+  SELECT x, ys FROM near WHERE len(list_intersect(ys, step.todo)) >= {least} ORDER BY len(list_intersect(ys, step.todo)) DESC, x LIMIT 1) w)
+ SELECT node FROM step WHERE node IS NOT NULL"""
+
+
+query(_greedy_sql(1), "r8_dominating")(_by_rounds(rounds.dominating))
+query(_greedy_sql(3), "r9_partly_dominating")(_by_rounds(lambda e: rounds.dominating(e, 3)))
+query(f"""WITH RECURSIVE {rank()}, {pairs(2)}, ends AS (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs), near AS (SELECT x, list(y) AS ys, row_number() OVER (ORDER BY x) - 1 AS k FROM ends GROUP BY x),
+ step(k, cover, node) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT UNION ALL SELECT step.k + 1, CASE WHEN len(list_intersect(ys, cover)) = 0 THEN cover || ys || [x] ELSE cover END, CASE WHEN len(list_intersect(ys, cover)) = 0 THEN x END FROM step JOIN near ON near.k = step.k)
+ SELECT node FROM step WHERE node IS NOT NULL""", "r8_kings")(_by_rounds(rounds.kings))
 
 
 _REMOVE = f"""WITH RECURSIVE {rank()}, {pairs(D)}, {_SEEN}, ends AS (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs),
@@ -720,7 +735,7 @@ _REMOVE = f"""WITH RECURSIVE {rank()}, {pairs(D)}, {_SEEN}, ends AS (SELECT a AS
 @query(_REMOVE)
 def r3_cleaned(spark, sf_dir):
     array = rank_array(spark, sf_dir)
-    return graph.cleaned(array, R.conflicts(array, D)).select("row_id", C.text("u").alias("u"))
+    return rounds.cleaned(array, R.conflicts(array, D)).select("row_id", C.text("u").alias("u"))
 
 
 @query()
