@@ -27,6 +27,7 @@ from permlab.llm.tokens import encoded
 
 #: Items that wait in a task, at most.
 POOL = 1024
+_HOLE = 1 << 60
 SEGMENTS = "array<struct<doc_id: long, start: long, length: long, doc_tokens: long>>"
 _WRITTEN = f"sequence_id long, ids array<int>, segments {SEGMENTS}"
 
@@ -46,7 +47,7 @@ class Limits:
 
 @dataclass
 class Item:
-    """A run of the ids of one example. loss: what of them bears a loss, as 0 and 1."""
+    """A run of the ids of one example. loss: what of them bears a loss, as 0 and 1; bears: how many do."""
 
     doc_id: int | None
     start: int
@@ -54,12 +55,17 @@ class Item:
     loss: np.ndarray
     doc_tokens: int
 
+    def __post_init__(self):
+        self.bears = int(np.count_nonzero(self.loss))
+
     def cut(self, n: int) -> tuple[Item, Item]:
         return Item(self.doc_id, self.start, self.ids[:n], self.loss[:n], self.doc_tokens), Item(self.doc_id, self.start + n, self.ids[n:], self.loss[n:], self.doc_tokens)
 
 
 def fitting(loss: np.ndarray, room: int, loss_room: int) -> int:
     """How many ids from the start fit into so much room."""
+    if loss_room >= room:
+        return min(room, len(loss))
     return min(room, len(loss), int(np.searchsorted(np.cumsum(loss[:room]), loss_room, "right")))
 
 
@@ -68,9 +74,9 @@ class Packer:
 
     def __init__(self, limits: Limits = Limits(), pool: int = POOL, trim: bool = True):
         self.limits, self.most, self.trim = limits, pool, trim
-        self.caps = np.array([limits.ids, limits.segments, limits.loss], float)
-        self.items: list[Item | None] = []
-        self.size, self.loss, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.caps = (limits.ids, limits.segments, limits.loss)
+        self.items: list[Item | None] = []  # those taken out leave a hole, which is too long for any sequence
+        self.size, self.loss, self.n, self.all_ids, self.all_loss = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0, 0
 
     def add(self, item: Item):
         """Yields what is full already."""
@@ -94,49 +100,51 @@ class Packer:
 
     def _wait(self, item: Item) -> None:
         if len(self.items) == len(self.size):  # room for as many again, holes closed
-            held = [x for x in self.items if x is not None]
-            grown = max(64, 2 * len(held))
-            self.size, self.loss, self.items = np.zeros(grown, np.int64), np.zeros(grown, np.int64), held
-            self.size[: len(held)] = [len(x.ids) for x in held]
-            self.loss[: len(held)] = [int(x.loss.sum()) for x in held]
+            self.items = [x for x in self.items if x is not None]
+            grown = max(64, 2 * len(self.items))
+            self.size, self.loss = np.full(grown, _HOLE), np.zeros(grown, np.int64)
+            self.size[: len(self.items)] = [len(x.ids) for x in self.items]
+            self.loss[: len(self.items)] = [x.bears for x in self.items]
         k = len(self.items)
         item.ids, item.loss = item.ids.copy(), item.loss.copy()  # a long example's other ids needn't be held
-        self.items.append(item)
-        self.size[k], self.loss[k] = len(item.ids), int(item.loss.sum())
-        self.n += 1
+        self.items.append(None)
+        self._put(k, item)
+
+    def _put(self, k: int, item: Item) -> None:
+        self.items[k], self.size[k], self.loss[k] = item, len(item.ids), item.bears
+        self.n, self.all_ids, self.all_loss = self.n + 1, self.all_ids + len(item.ids), self.all_loss + item.bears
 
     def _take(self, k: int) -> Item:
-        item, self.items[k], self.size[k] = self.items[k], None, 0
-        self.n -= 1
+        item, self.items[k], self.size[k] = self.items[k], None, _HOLE
+        self.n, self.all_ids, self.all_loss = self.n - 1, self.all_ids - len(item.ids), self.all_loss - item.bears
         return item
 
     def _filled(self) -> list[Item]:
         """One sequence of the pool's items."""
-        size, loss = self.size, self.loss
-        asked = np.array([size.sum() / self.caps[0], self.n / self.caps[1], loss[size > 0].sum() / self.caps[2]])
-        left, out = self.caps.copy(), []
+        caps, size, loss = self.caps, self.size, self.loss
+        asked = (self.all_ids / caps[0], self.n / caps[1], self.all_loss / caps[2])
+        left, out = list(caps), []
         while self.n and left[0] and left[1]:
-            share = asked / asked.sum() * (left / self.caps) / self.caps
-            product = np.where((size > 0) & (size <= left[0]) & (loss <= left[2]), size * share[0] + share[1] + loss * share[2], -1.0)
-            k = int(product.argmax())
-            if product[k] >= 0:
-                item = self._take(k)
+            fits = np.flatnonzero((size <= left[0]) & (loss <= left[2]))
+            if len(fits):
+                # every item asks for one segment, so that part of the products is the same for all
+                by_ids, by_loss = (asked[i] * left[i] / caps[i] / caps[i] for i in (0, 2))
+                item = self._take(int(fits[(size[fits] * by_ids + loss[fits] * by_loss).argmax()]))
             else:
-                n, k = max((fitting(self.items[i].loss, int(left[0]), int(left[2])), -int(i)) for i in self._longest(size, loss))
+                n, k = max((fitting(self.items[i].loss, left[0], left[2]), -i) for i in self._longest())
                 if not n:
                     break
                 item, more = self._take(-k).cut(n)
-                self.items[-k], self.size[-k], self.loss[-k] = more, len(more.ids), int(more.loss.sum())
-                self.n += 1
+                self._put(-k, more)
             out.append(item)
-            left -= [len(item.ids), 1, int(item.loss.sum())]
+            left = [left[0] - len(item.ids), left[1] - 1, left[2] - item.bears]
         used = sum(len(x.ids) for x in out)
         return self._power_of_two(out, used) if self.trim and used < self.limits.ids else out
 
-    @staticmethod
-    def _longest(size: np.ndarray, loss: np.ndarray) -> list[int]:
+    def _longest(self) -> set[int]:
         """Items to cut: the longest, and that with the least loss for its length."""
-        return sorted({int(size.argmax()), int(np.where(size > 0, loss / np.maximum(size, 1), np.inf).argmin())})
+        held = np.flatnonzero(self.size < _HOLE)
+        return {int(held[self.size[held].argmax()]), int(held[(self.loss[held] / self.size[held]).argmin()])}
 
     def _power_of_two(self, out: list[Item], used: int) -> list[Item]:
         over = used - (1 << (used.bit_length() - 1))
