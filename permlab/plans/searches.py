@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from permlab.functions import columns as C
-from permlab.operators import compatible, complete
+from permlab.operators import compatible, complete, lazy, model
 from permlab.plans.fixtures import rank_array
 from permlab.plans.registry import cheb, query, rank, txt
 from permlab.sources.storage import staged
@@ -66,3 +66,69 @@ def e13_compatible_pairs(spark, sf_dir):
 def e13_compatible_triples(spark, sf_dir):
     sets = compatible.compatible_sets(staged(compatible.compatible_pairs(_seeds(spark, sf_dir), 6), "compatible"), 3)
     return sets.select(*[F.get("seeds", F.lit(i)).alias(c) for i, c in enumerate("abc")])
+
+
+# -- the model of arrays: blocks of five rows of the table, one of them spoilt
+
+
+def _blocks(spark, sf_dir):
+    return rank_array(spark, sf_dir, 6).select(F.floor(F.col("row_id") / 5).alias("model"), (F.col("row_id") % 5).cast("int").alias("row"), "u")
+
+
+_BLOCKS = f"WITH {rank(6)}, blocks AS (SELECT row_id // 5 AS model, (row_id % 5)::INT AS row, u, CASE WHEN row_id % 5 = 1 THEN list_transform(u, lambda x: CASE WHEN x = 5 THEN 0 ELSE x END) ELSE u END AS v FROM pa)"
+
+
+@query(f"""{_BLOCKS}, cells AS (SELECT model, row, u, v, unnest(range(0, 6)) AS c FROM blocks),
+ bad AS (SELECT model, 'group' AS kind, row AS one, c::INT AS other, 0 AS value FROM cells WHERE u[c + 1] // 3 <> v[c + 1] // 3
+  UNION ALL SELECT model, 'symbol', row, c::INT, len(list_filter(v, lambda x: x = c)) FROM cells WHERE len(list_filter(v, lambda x: x = c)) <> 1
+  UNION ALL SELECT a.model, 'apart', a.row, b.row, 0 FROM blocks a JOIN blocks b ON a.model = b.model AND a.row < b.row WHERE {cheb('a.v', 'b.v')} < 3)
+ SELECT model, kind, one, other, value::BIGINT AS value FROM bad""")
+def e14_broken(spark, sf_dir):
+    """What a spoilt array breaks of the model that the sound one's groups make: in each block row 1 has its 5 replaced by 0."""
+    blocks = _blocks(spark, sf_dir)
+    grid = blocks.select("model", "row", C.groups("u", 3).alias("t"))
+    spoilt = blocks.select("model", "row", F.when(F.col("row") == 1, F.transform("u", lambda x: F.when(x == 5, 0).otherwise(x))).otherwise(F.col("u")).alias("u"))
+    return model.broken(model.terms(grid, 3), model.constraints(grid), spoilt)
+
+
+@query(f"""{_BLOCKS}, sizes AS (SELECT model, count(*) AS k FROM blocks GROUP BY model),
+ kinds AS (SELECT 'cell' AS kind, sum(k * 6) AS n_constraints, sum(k * 36) AS n_terms FROM sizes UNION ALL SELECT 'symbol', sum(k * 6), sum(k * 36) FROM sizes
+  UNION ALL SELECT 'group', sum(k * 6), sum(k * 18) FROM sizes UNION ALL SELECT 'apart', sum(k * (k - 1) // 2), sum(k * (k - 1) // 2 * 6 * 12) FROM sizes)
+ SELECT kind, n_constraints::BIGINT AS n_constraints, n_terms::BIGINT AS n_terms FROM kinds WHERE n_constraints > 0""")
+def e14_model(spark, sf_dir):
+    """Constraints and terms by kind."""
+    grid = _blocks(spark, sf_dir).select("model", "row", C.groups("u", 3).alias("t"))
+    many = model.terms(grid, 3).groupBy("kind").agg(F.count("*").alias("n_terms"))
+    return model.constraints(grid).groupBy("kind").agg(F.count("*").alias("n_constraints")).join(many, "kind").select("kind", "n_constraints", "n_terms")
+
+
+# -- conflicts on demand
+
+
+def _lazily(spark, sf_dir):
+    array, state = staged(rank_array(spark, sf_dir), "array"), lazy.Conflicts.new(spark, 3)
+    state.ask(array, array.where("row_id % 8 = 0"))
+    state.ask(array, array.where("row_id % 4 = 0"))  # half of these are known
+    changed = array.where("row_id % 10 IN (3, 4)").select("row_id", C.complement("u", 8).alias("u"))
+    array = state.replace(array, changed)
+    state.ask(array, array.where("row_id % 4 = 1"))
+    return state
+
+
+_CHANGED = f"{rank()}, now AS (SELECT row_id, CASE WHEN row_id % 10 IN (3, 4) THEN list_transform(u, lambda x: 7 - x) ELSE u END AS u FROM pa)"
+
+
+@query(f"WITH {_CHANGED} SELECT a.row_id AS a, b.row_id AS b FROM now a JOIN now b ON a.row_id < b.row_id AND (a.row_id % 4 < 2 OR b.row_id % 4 < 2) AND {cheb('a.u', 'b.u')} < 3")
+def j8_h10_conflicts_on_demand(spark, sf_dir):
+    """After two questions, a batch of replaced rows and another question: the conflicts of the rows that were asked for, as found anew."""
+    return _lazily(spark, sf_dir).edges()
+
+
+@query("""WITH ids AS (SELECT vec_id AS i FROM embeddings)
+ SELECT 1::BIGINT AS version, 'ask' AS batch, count(*) AS rows, count(*) AS joined FROM ids WHERE i % 8 = 0
+ UNION ALL SELECT 2, 'ask', count(*), count(*) FILTER (i % 8 <> 0) FROM ids WHERE i % 4 = 0
+ UNION ALL SELECT 3, 'replace', count(*) FILTER (i % 10 IN (3, 4)), count(*) FILTER (i % 4 = 0) + count(*) FILTER (i % 4 = 0 AND i % 10 IN (3, 4)) FROM ids
+ UNION ALL SELECT 4, 'ask', count(*), count(*) FROM ids WHERE i % 4 = 1""")
+def j8_h10_log(spark, sf_dir):
+    """How many rows each batch joined: only those that it made known, or the known ones with those that were replaced."""
+    return _lazily(spark, sf_dir).log()
