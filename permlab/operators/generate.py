@@ -30,6 +30,32 @@ def combinations_by_mask(spark: SparkSession, n: int, k: int) -> DataFrame:
     return numbered(rows, "mask", "id").select("id", "ps")
 
 
+def _at_most(most: Column):
+    return lambda x: x <= most
+
+
+def combination_at(number, n: int, k: int, order: str = "revolving") -> Column:
+    """The k-subset of 0 .. n - 1 with this number, by the combinatorial number system.
+
+    In `revolving` order neighbours (the last and the first too) differ by one exchange; `mask` is colexicographic. For every element, from the largest, the
+    most subsets of smaller ones that fit into the number tell which it is.
+    """
+    left, out = number.cast("long"), []
+    for i in range(k, 0, -1):
+        below = F.array(*[F.lit(comb(x, i)).cast("long") for x in range(n)])
+        x = C.count(below, _at_most(left)) - 1
+        out.append(x.cast("int"))
+        left = (F.get(F.array(*[F.lit(comb(y + 1, i)).cast("long") for y in range(n)]), x) - left - 1) if order == "revolving" else left - F.get(below, x)
+    return F.array(*reversed(out)) if out else F.array().cast("array<int>")
+
+
+def combinations_in(spark: SparkSession, n: int, k: int, order: str = "revolving", first: int = 0, many: int | None = None) -> DataFrame:
+    """id, ps: any slice of the k-subsets in the order, each from its number alone: nothing grows and nothing is sorted."""
+    total = comb(n, k)
+    end = total if many is None else min(total, first + many)
+    return spark.range(min(first, end), end).select("id", combination_at(F.col("id"), n, k, order).alias("ps"))
+
+
 def numbered(rows: DataFrame, order: str, name: str = "row_id") -> DataFrame:
     """With dense numbers in an order, first."""
     return numbering.numbered(rows, [F.col(order).asc()], name).select(name, *rows.columns)

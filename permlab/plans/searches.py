@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from permlab.functions import columns as C
-from permlab.operators import compatible, complete, lazy, model
+from permlab.operators import choose, compatible, complete, covering, lazy, model
+from permlab.operators import generate as G
+from permlab.operators import relations as R
 from permlab.plans.fixtures import rank_array
-from permlab.plans.registry import cheb, query, rank, txt
+from permlab.plans.registry import cheb, combos, pairs, query, rank, txt
 from permlab.sources.storage import staged
 
 # -- arrays of which groups and some symbols are known: three rows of the table each
@@ -132,3 +134,86 @@ def j8_h10_conflicts_on_demand(spark, sf_dir):
 def j8_h10_log(spark, sf_dir):
     """How many rows each batch joined: only those that it made known, or the known ones with those that were replaced."""
     return _lazily(spark, sf_dir).log()
+
+
+# -- orders of combinations
+
+
+def _numbers(c: str, i: str) -> str:
+    return f"(CASE WHEN {c} < {i} THEN 0 ELSE factorial({c}) // factorial({i}) // factorial({c} - {i}) END)"
+
+
+@query(f"WITH {combos(9, 4)} SELECT ({' + '.join(f'{(-1) ** (4 - i)} * {_numbers(f'(ps[{i}] + 1)::INT', str(i))}' for i in range(1, 5))})::BIGINT AS id, {txt('ps')} AS ps FROM combos")
+def g19_revolving_door(spark, sf_dir):
+    """The SQL ranks each subset by the alternating sum of binomials."""
+    return G.combinations_in(spark, 9, 4).select("id", C.text("ps").alias("ps"))
+
+
+@query(f"WITH RECURSIVE {rank()}, {pairs(2)}, ends AS (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs), o(u) AS (SELECT []::INT[] UNION ALL SELECT list_append(u, x::INT) FROM o, (SELECT unnest(range(2)) AS x) WHERE len(u) < 8),"
+       f" f AS (SELECT row_id, list_transform(range(1, 9), lambda i: pa.u[i] // 2 * 2 + o.u[i]) AS u FROM pa JOIN o ON len(o.u) = 8 WHERE row_id IN (SELECT x FROM ends)),"
+       f" n AS (SELECT f.row_id, f.u, count(*) FILTER ({cheb('f.u', 'v.u')} >= 2) AS covered FROM f JOIN ends ON ends.x = f.row_id JOIN pa v ON v.row_id = ends.y GROUP BY f.row_id, f.u),"
+       f" best AS (SELECT row_id, max(covered) AS most FROM n GROUP BY row_id) SELECT n.row_id, most AS covered, count(*) AS n_fillings, min({txt('n.u')}) AS first FROM n JOIN best ON n.row_id = best.row_id AND covered = most GROUP BY n.row_id, most")
+def g30_fullest_fillings(spark, sf_dir):
+    """For every row with conflicts its fillings that end most of them; the SQL lists all fillings."""
+    array = staged(rank_array(spark, sf_dir), "array")
+    ends = R.both_ways(R.conflicts(array, 2).select("a", "b"))
+    against = ends.join(array, F.col("b") == F.col("row_id")).select(F.col("a").alias("row_id"), F.col("u").alias("v"))
+    return covering.fullest(array, against, 2).select("row_id", "covered", "n_fillings", C.text("first").alias("first"))
+
+
+# -- one order of the high symbols for each row of a block of four
+
+
+def _slots(spark, sf_dir):
+    rows = rank_array(spark, sf_dir, 6)
+    orders = G.permutations(spark, 3).select((F.get("u", F.lit(0)) * 2 + (F.get("u", F.lit(1)) > F.get("u", F.lit(2))).cast("int")).alias("option"), F.transform("u", lambda x: x + 3).alias("highs"))
+    every = rows.crossJoin(F.broadcast(orders))  # six orders
+    nth = lambda i: F.size(F.filter(F.slice("u", 1, i), lambda y: y > 2))
+    filled = F.transform("u", lambda x, i: F.when(x > 2, F.get("highs", nth(i))).otherwise(x))
+    return every.select(F.floor(F.col("row_id") / 4).alias("puzzle"), (F.col("row_id") % 4).alias("slot"), "option", filled.alias("u"))
+
+
+def _short(u, v):
+    """What two rows lack to be three apart, as a negative worth."""
+    return F.least(C.distance(u, v), F.lit(3)) - 3
+
+
+_OPTIONS = f"""{rank(6)}, orders(k, h) AS (VALUES (0, [3, 4, 5]), (1, [3, 5, 4]), (2, [4, 3, 5]), (3, [4, 5, 3]), (4, [5, 3, 4]), (5, [5, 4, 3])),
+ o AS (SELECT row_id // 4 AS puzzle, row_id % 4 AS slot, k, list_transform(range(1, 7), lambda i: CASE WHEN u[i] > 2 THEN h[len(list_filter(range(1, i + 1), lambda j: u[j] > 2))] ELSE u[i] END) AS u FROM pa, orders)"""
+
+
+def _ways(d: int, worth: str) -> str:
+    names = "abce"
+    two = [(p, q) for i, p in enumerate(names) for q in names[:i]]
+    joins = " ".join(f"JOIN o {x} ON a.puzzle = {x}.puzzle AND {x}.slot = {i}" + "".join(f" AND {cheb(f'{x}.u', f'{y}.u')} >= {d}" for y in names[:i]) for i, x in enumerate(names) if i)
+    path = ", ".join(f"{x}.k" for x in names)
+    total = " + ".join(worth.format(cheb(f"{p}.u", f"{q}.u")) for p, q in two)
+    return f"WITH {_OPTIONS}, ways AS (SELECT a.puzzle, [{path}] AS path, ({total})::BIGINT AS worth FROM o a {joins} WHERE a.slot = 0) SELECT puzzle, {txt('path')} AS path, worth FROM ways QUALIFY row_number() OVER (PARTITION BY puzzle ORDER BY worth DESC, path) = 1"
+
+
+def _whole(spark, sf_dir):
+    """The blocks that have all four rows."""
+    slots = _slots(spark, sf_dir)
+    return slots.join(slots.groupBy("puzzle").agg(F.countDistinct("slot").alias("n")).where("n = 4").select("puzzle"), "puzzle", "left_semi")
+
+
+@query(_ways(1, "least({}, 3) - 3"))
+def e10_best_choices(spark, sf_dir):
+    found, _ = choose.best_choices(_whole(spark, sf_dir), 1, _short)
+    return found.select("puzzle", C.text("path").alias("path"), "worth")
+
+
+@query(_ways(3, "0 * {}"))
+def e3_first_choices(spark, sf_dir):
+    found, _ = choose.best_choices(_whole(spark, sf_dir), 3)
+    return found.select("puzzle", C.text("path").alias("path"), "worth")
+
+
+@query(f"""WITH RECURSIVE {_OPTIONS}, offers AS (SELECT puzzle, slot, k, u FROM o UNION ALL SELECT DISTINCT puzzle, slot, {choose.SKIPPED}, NULL FROM o),
+ w(puzzle, slot, us, path, n) AS (SELECT DISTINCT puzzle, 0, []::INT[][], []::INT[], 0 FROM o UNION ALL
+  SELECT w.puzzle, w.slot + 1, CASE WHEN f.u IS NULL THEN us ELSE list_append(us, f.u) END, list_append(path, f.k), n + (f.u IS NOT NULL)::INT FROM w JOIN offers f ON f.puzzle = w.puzzle AND f.slot = w.slot
+  AND (f.u IS NULL OR len(list_filter(us, lambda t: list_max(list_transform(range(1, 7), lambda i: abs(t[i] - f.u[i]))) < 3)) = 0))
+ SELECT puzzle, {txt('path')} AS path, n::BIGINT AS worth FROM w WHERE slot = 4 AND puzzle IN (SELECT puzzle FROM o WHERE slot = 3) QUALIFY row_number() OVER (PARTITION BY puzzle ORDER BY n DESC, path) = 1""")
+def e11_fullest_choices(spark, sf_dir):
+    found, _ = choose.best_choices(_whole(spark, sf_dir), 3, skip=True)
+    return found.select("puzzle", C.text("path").alias("path"), "worth")
