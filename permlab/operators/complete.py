@@ -101,7 +101,7 @@ def realised(puzzles: DataFrame, d: int) -> DataFrame:
     separate takes a column and two symbols for it, in all ways; a state is the symbols taken (cells, -1: open), equal states are one.
     The rest of a state is filled with what is left, ascending, which is the least way.
     """
-    whole = puzzles.groupBy("puzzle").agg(F.array_sort(F.collect_list(F.struct("row", "t", "given"))).alias("rows"))
+    whole = puzzles.groupBy("puzzle").agg(F.array_sort(F.collect_list(F.struct("row", "t", "given"))).alias("rows"))  # the rows of one puzzle
     cells = F.transform("rows", lambda r: F.transform(r["given"], lambda g: F.coalesce(g, F.lit(-1))))
     states = staged(whole.select("puzzle", F.transform("rows", lambda r: r["t"]).alias("t"), cells.alias("cells")), "puzzles")
     sizes = states.select(F.size("t").alias("k")).distinct().collect()  # a number for each size of puzzle
@@ -111,7 +111,9 @@ def realised(puzzles: DataFrame, d: int) -> DataFrame:
         for u in range(k - 2, -1, -1):
             for v in range(u + 1, k):
                 some = staged(_apart(some, d, u, v).distinct(), "pairs-apart")
-        some = some.select("puzzle", _filled("t", "cells", d).alias("rows"))
+        some = some.select("puzzle", "t", _filled("t", "cells", d).alias("rows"))
+        # what was told may be no part of a permutation with these groups
+        some = some.where(F.forall(F.arrays_zip("t", "rows"), lambda z: (F.array_sort(z["rows"]) == C.indices(F.size(z["t"]))) & (C.groups(z["rows"], d) == z["t"])))
         some = some.groupBy("puzzle").agg(F.min("rows").alias("rows"))
         out = some if out is None else out.unionByName(some)
     if out is None:

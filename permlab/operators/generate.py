@@ -30,23 +30,24 @@ def combinations_by_mask(spark: SparkSession, n: int, k: int) -> DataFrame:
     return numbered(rows, "mask", "id").select("id", "ps")
 
 
-def _at_most(most: Column):
-    return lambda x: x <= most
-
-
 def combination_at(number, n: int, k: int, order: str = "revolving") -> Column:
     """The k-subset of 0 .. n - 1 with this number, by the combinatorial number system.
 
     In `revolving` order neighbours (the last and the first too) differ by one exchange; `mask` is colexicographic. For every element, from the largest, the
     most subsets of smaller ones that fit into the number tell which it is.
     """
-    left, out = number.cast("long"), []
-    for i in range(k, 0, -1):
-        below = F.array(*[F.lit(comb(x, i)).cast("long") for x in range(n)])
-        x = C.count(below, _at_most(left)) - 1
-        out.append(x.cast("int"))
-        left = (F.get(F.array(*[F.lit(comb(y + 1, i)).cast("long") for y in range(n)]), x) - left - 1) if order == "revolving" else left - F.get(below, x)
-    return F.array(*reversed(out)) if out else F.array().cast("array<int>")
+    if k == 0:
+        return F.array().cast("array<int>")
+    below = F.array(*[F.array(*[F.lit(comb(x, i)).cast("long") for x in range(n + 1)]) for i in range(k + 1)])
+
+    def step(held, i):
+        row = F.get(below, i)
+        x = C.count(row, lambda c: c <= held["left"]) - 1
+        rest = F.get(row, x + 1) - held["left"] - 1 if order == "revolving" else held["left"] - F.get(row, x)
+        return F.struct(rest.alias("left"), F.concat(F.array(x.cast("int")), held["out"]).alias("out"))
+
+    start = F.struct(number.cast("long").alias("left"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(k), F.lit(1), F.lit(-1)), start, step, lambda held: held["out"])
 
 
 def combinations_in(spark: SparkSession, n: int, k: int, order: str = "revolving", first: int = 0, many: int | None = None) -> DataFrame:

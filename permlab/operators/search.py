@@ -48,18 +48,22 @@ def climb(rows: np.ndarray, d: int, seed: int, steps: int = 2000, pick: str = "u
     if it ends more conflicts than it makes; one that ends as many, after 100 tries without; after `stale` tries any.
     objective: `score`, or `coverage` (rows without conflict count exponentially).
     """
-    r, f = np.random.default_rng(seed), IMAGES[image]
-    rows = rows.copy()
-    matrix = conflict_matrix(rows, d, f, masked)
-    n, best, log, waited = rows.shape[1], None, [], 0
+    best, _, _, log = _climbed(rows, rows, 0, np.random.default_rng(seed), d, steps, pick, move, objective, image, masked, stale, candidates)
+    return best, int(conflict_matrix(best, d, IMAGES[image], masked).sum()), log
+
 
+def _climbed(rows, held, waited, r, d, steps, pick="uniform", move="group", objective="score", image=None, masked=False, stale=200, candidates=1):
+    """Goes on from rows, with the best rows so far and the tries without gain. Returns the best rows, the rows, the tries and a log."""
+    f, rows = IMAGES[image], rows.copy()
+    matrix = conflict_matrix(rows, d, f, masked)
+    n, log = rows.shape[1], []
     deg = matrix.sum(1)  # kept with the matrix, the table of foes that meet
 
-    def value():
+    def value(deg):
         return (int(deg.sum()), 0) if objective == "score" else (-int((deg == 0).sum()), int(deg.sum()))
 
-    now = value()
-    best = now, rows.copy()
+    now = value(deg)
+    best = value(conflict_matrix(held, d, f, masked).sum(1)), held.copy()
     log.append((0, int(matrix.sum())))
     for step in range(1, steps + 1):
         bad = np.flatnonzero(deg)
@@ -86,7 +90,7 @@ def climb(rows: np.ndarray, d: int, seed: int, steps: int = 2000, pick: str = "u
         change, row, near = min(options, key=lambda o: o[0])
         if change < 0 or (change == 0 and waited > 100) or waited > stale:
             _replace(rows, matrix, deg, i, row, near)
-            new = value()
+            new = value(deg)
             waited = 0 if new < now else waited + 1
             now = new
             if now < best[0]:
@@ -94,7 +98,7 @@ def climb(rows: np.ndarray, d: int, seed: int, steps: int = 2000, pick: str = "u
                 log.append((step, int(matrix.sum())))
         else:
             waited += 1
-    return best[1], int(conflict_matrix(best[1], d, f, masked).sum()), log
+    return best[1], rows, waited, log
 
 
 def _replace(rows: np.ndarray, matrix: np.ndarray, deg: np.ndarray, i: int, row: np.ndarray, near: np.ndarray) -> None:
@@ -162,6 +166,56 @@ def chains(array: DataFrame, d: int, seeds: list[int], **options) -> DataFrame:
     return spark.createDataFrame([(s,) for s in seeds], "seed long").groupBy("seed").applyInPandas(run, "seed long, score long, row_id long, u array<int>")
 
 
+_SEGMENT = "seed long, segment long, score long, waited long, ids array<long>, rows array<array<int>>, best array<array<int>>"
+
+
+def chains_until(array: DataFrame, d: int, seeds: list[int], folder: str, seconds: float | None = None, segments: int | None = None, steps: int = 500, **options) -> DataFrame:
+    """seed, segment, score, row_id, u: the best rows of climb() chains that go on in segments of so many steps.
+
+    Stops between segments: when the seconds are over, after so many segments, when no chain has a conflict left, at an interrupt, or if a file named `stop` is
+    in the folder. Each segment of all chains is written there before the next, and a later call with the folder goes on from the last
+    one. A segment's random numbers come from the seed and its number, so a chain that was stopped reaches what an unbroken one does.
+    """
+    import time
+
+    from pyspark.sql import functions as F
+
+    spark, folder, began = array.sparkSession, folder.rstrip("/"), time.monotonic()
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    is_there = lambda name: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"))
+    read = lambda k: spark.read.schema(_SEGMENT).parquet(f"{folder}/{k}")
+
+    def run(frame):
+        import pandas as pd
+
+        seed, segment = int(frame["seed"].iloc[0]), int(frame["segment"].iloc[0]) + 1
+        rows, best = (np.array([list(u) for u in frame[c].iloc[0]], np.int64) for c in ("rows", "best"))
+        best, rows, waited, _ = _climbed(rows, best, int(frame["waited"].iloc[0]), np.random.default_rng([seed, segment]), d, steps, **options)
+        score = int(conflict_matrix(best, d, IMAGES[options.get("image")], options.get("masked", False)).sum())
+        return pd.DataFrame({"seed": [seed], "segment": [segment], "score": [score], "waited": [waited], "ids": [frame["ids"].iloc[0]], "rows": [rows.tolist()], "best": [best.tolist()]})
+
+    k = 0
+    while is_there(f"{k + 1}/_SUCCESS"):
+        k += 1
+    if k == 0 and not is_there("0/_SUCCESS"):
+        whole = array.agg(F.array_sort(F.collect_list(F.struct("row_id", "u"))).alias("r")).select(F.transform("r", lambda r: r["row_id"]).alias("ids"), F.transform("r", lambda r: r["u"]).alias("u"))  # one array, small by its nature
+        start = whole.select(F.explode(F.array(*[F.lit(s).cast("long") for s in seeds])).alias("seed"), F.lit(0).cast("long").alias("segment"), F.lit(-1).cast("long").alias("score"), F.lit(0).cast("long").alias("waited"), F.col("ids").cast("array<long>").alias("ids"), F.col("u").alias("rows"), F.col("u").alias("best"))
+        start.write.mode("overwrite").parquet(f"{folder}/0")
+    last = k
+    try:
+        while (segments is None or k < segments) and (seconds is None or k == last or time.monotonic() - began < seconds) and not is_there("stop"):
+            now = read(k)
+            if not now.where("score <> 0").limit(1).count():
+                break
+            done = now.where("score = 0")
+            done.unionByName(now.where("score <> 0").groupBy("seed").applyInPandas(run, _SEGMENT)).write.mode("overwrite").parquet(f"{folder}/{k + 1}")
+            k += 1
+    except KeyboardInterrupt:
+        pass
+    return read(k).select("seed", "segment", "score", F.explode(F.arrays_zip("ids", "best")).alias("r")).select("seed", "segment", "score", F.col("r.ids").alias("row_id"), F.col("r.best").alias("u"))
+
+
 def best_chain(found: DataFrame) -> DataFrame:
     """row_id, u of the chain with the lowest score, ties to the least seed."""
     from pyspark.sql import functions as F
