@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from permlab.llm.common import RAW, modest_batches, pick, pieces, row_key, rows_of, spans_of, staged, text_bytes
@@ -301,7 +302,7 @@ def _near_links(rows: DataFrame, docs: DataFrame, width: int, similarity: float)
 
     Texts with an equal key are compared with one of them, that which meets most others: of an original and its copies the original. Pairs whose
     fingerprints are more than FAR bits apart are left; the others are verified by their shingles. Those that aren't like their head go
-    round again among themselves, with another head, until a key has one text left or a round finds no pair.
+    round again among themselves, with twice as many heads, until a round finds no pair.
     """
     texts = rows.groupBy("fp").agg(F.min(F.struct("row_key", "keys")).alias("r")).select("fp", "r.*")
     parts = staged(texts.select("fp", F.explode("keys").alias("key")), "simhash-keys")
@@ -311,17 +312,22 @@ def _near_links(rows: DataFrame, docs: DataFrame, width: int, similarity: float)
     left = staged(left.join(meets, F.col("fp") == F.col("f")).select("key", "fp", "meets"), "simhash-shared")
     need = left.select(F.col("fp").alias("f")).distinct()
     sets = staged(_shingle_sets(texts.join(need, F.col("fp") == F.col("f"), "left_semi"), docs, width), "simhash-own", RAW)
-    links = None
+    links, many = None, 1
+    order = W.partitionBy("key").orderBy(F.col("meets").desc(), F.col("fp").desc())
     while True:
-        heads = left.groupBy(F.col("key").alias("of")).agg(F.max(F.struct("meets", "fp")).alias("head"), F.count("*").alias("n")).where("n > 1")
-        tried = staged(left.join(heads, F.col("key") == F.col("of")).where(F.col("fp") != F.col("head.fp")).select("key", "fp", "meets", F.col("head.fp").alias("b")), "simhash-tried")
-        near = tried.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= FAR).select(F.col("fp").alias("a"), "b").distinct()
-        found = staged(verified(near, sets, similarity), "simhash-found")
+        heads = left.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= many).select(F.col("key").alias("of"), F.struct("meets", "fp").alias("head"))
+        heads = staged(heads, "simhash-heads")
+        tried = left.join(heads, (F.col("key") == F.col("of")) & (F.struct("meets", "fp") < F.col("head"))).select("key", "fp", F.col("head.fp").alias("b"))
+        tried = staged(tried.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= FAR), "simhash-tried")
+        found = staged(verified(tried.select(F.col("fp").alias("a"), "b").distinct(), sets, similarity), "simhash-found")
         links = found if links is None else links.unionByName(found)
         if found.isEmpty():
             return links
         alike = found.select(F.col("a").alias("x"), F.col("b").alias("y"))
-        left = staged(tried.join(alike, (F.col("fp") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti").select("key", "fp", "meets"), "simhash-left")
+        gone = tried.join(alike, (F.col("fp") == F.col("x")) & (F.col("b") == F.col("y"))).select(F.col("key").alias("k"), F.col("fp").alias("f"))
+        gone = gone.unionByName(heads.select(F.col("of").alias("k"), F.col("head.fp").alias("f"))).distinct()
+        left = staged(left.join(gone, (F.col("key") == F.col("k")) & (F.col("fp") == F.col("f")), "left_anti"), "simhash-left")
+        many *= 2
 
 
 def keep_one(docs: DataFrame, width: int = 5, radius: int = 2, similarity: float = SIMILARITY) -> DataFrame:
