@@ -68,7 +68,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if not _TRIGGER.search(text):
         return []
     out = [("email", a, b) for a, b in emails(text)] if "@" in text else []
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split("."))]
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(y := x.lstrip("0")) <= 3 and int(y or "0") <= 255 for x in m.group().split("."))]
     for m in _CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m.group()) if m.end() - m.start() < 64 else ""
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -105,13 +105,12 @@ def islands(text: str) -> list[list[tuple[int, int]]]:
         a = p
         while a > 0 and not text[a - 1].isspace():
             a -= 1
-        tokens = []
-        m = _TOKEN.match(text, a)
-        tokens.append(m.span())
-        for step in (-1, 1):
+        sides: dict[int, list[tuple[int, int]]] = {-1: [_TOKEN.match(text, a).span()]}
+        sides[1] = sides[-1][:]
+        for step, side in sides.items():
             extra = 0
             while True:
-                span = _before(text, tokens[0][0]) if step < 0 else _after(text, tokens[-1][1])
+                span = _before(text, side[-1][0]) if step < 0 else _after(text, side[-1][1])
                 if span is None or (step < 0 and span[0] < done):
                     break
                 word = text[span[0] : span[1]]
@@ -119,9 +118,9 @@ def islands(text: str) -> list[list[tuple[int, int]]]:
                 extra = 0 if linked else extra + 1
                 if extra > 2 - (step > 0):
                     break
-                tokens = [span, *tokens] if step < 0 else [*tokens, span]
-        out.append(tokens)
-        done = tokens[-1][1]
+                side.append(span)
+        out.append(sides[-1][:0:-1] + sides[1])
+        done = sides[1][-1][1]
     return out
 
 

@@ -151,3 +151,15 @@ def test_planted_notations_on_texts_that_were_not_learned_from(field):
         found += len(got)
         right += (kind, a, a + len(other)) in got
     assert wanted > 80 and right >= 0.9 * wanted and right >= 0.9 * found, (right, wanted, found)
+
+
+def test_long_numbers_and_long_texts():
+    import time
+
+    assert pii.base_spans("0" * 5000 + "1.1.1.1") == [("ip", 0, 5007)]
+    assert pii.base_spans("0" * 5000 + "256.1.1.1") == [] and pii.base_spans("1.0." + "0" * 6000 + ".9") == [("ip", 0, 6006)]
+    text = " ".join(str(k % 977) for k in range(200_000))
+    began = time.process_time()
+    found = pii.islands(text)
+    assert len(found) == 1 and len(found[0]) == 200_000 and time.process_time() - began < 10
+    assert pii.islands("a b c 1 d e f") == [[(2, 3), (4, 5), (6, 7), (8, 9)]]
