@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from permlab.llm.common import pick, pieces, spans_of, text_bytes
+from permlab.llm.passages import _dense
 
 #: Marked positions over a span of 12 words. Every overlap of SPAN words or more that agrees in 0.8 of them, wherever the others lie,
 #: has a window that one of these masks lets through (tests/llm/test_decontaminate.py goes through all).
@@ -33,6 +34,8 @@ MASKS = ("110101000011", "001000101111", "110011010001", "101100110001", "100111
 SPAN = 12
 #: Share of words that agree in a verified overlap, and its least words.
 MATCH, LEAST = 0.8, 13
+#: Words that an item must have for keep_clean() to drop documents with it.
+SHORTEST = 5
 #: Words of the benchmark that go to the executors at once.
 BLOCK_WORDS = 1 << 20
 #: Bytes of text taken at a time; longest word that is hashed apart (longer ones by their first and last bytes and length).
@@ -103,14 +106,14 @@ def seed_hashes(words: np.ndarray, mask: int) -> np.ndarray:
 
 
 class Benchmark:
-    """A block of items in hashed form."""
+    """A block of items in hashed form, those of fewer words than `shortest` left out."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], shortest: int = 1):
         ids = [i for i, _ in items]
         words, at, *_ = word_hashes(pa.array([x for _, x in items], pa.string()))
-        self.items = [(i, words[a:b]) for i, a, b in zip(ids, at[:-1], at[1:], strict=True) if b > a]
+        self.items = [(i, words[a:b]) for i, a, b in zip(ids, at[:-1], at[1:], strict=True) if b - a >= max(1, shortest)]
         sizes = np.array([len(w) for _, w in self.items], np.int64)
-        self.flat, self.sizes, self.begin = words, sizes, np.cumsum(sizes) - sizes
+        self.flat, self.sizes, self.begin = np.concatenate([words[:0], *(w for _, w in self.items)]), sizes, np.cumsum(sizes) - sizes
         keys, where = [], []
         self.short = {}
         for k, (_, w) in enumerate(self.items):
@@ -167,15 +170,8 @@ class Benchmark:
 
 def stretch(agree: np.ndarray, least: int, match: float) -> tuple[int, int] | None:
     """The longest run [a, b) whose ends agree and that agrees in at least `match` of its words, if it has `least` words; the first of several."""
-    total = np.concatenate([[0], np.cumsum(agree - match)])
-    best = None
-    ends = np.flatnonzero(agree)
-    for a in ends.tolist():
-        far = ends[total[ends + 1] - total[a] >= -1e-9]
-        far = far[far >= a]
-        if len(far) and (b := int(far[-1]) + 1) - a >= least and (best is None or b - a > best[1] - best[0]):
-            best = a, b
-    return best
+    run = _dense(agree.astype(bool), match)
+    return run if run and run[1] - run[0] >= least else None
 
 
 def overlaps(texts: pa.Array, bench: Benchmark, least: int = LEAST, match: float = MATCH) -> list[tuple[int, int, int, int, int, int, int]]:
@@ -239,10 +235,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, matc
     return found
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, match: float = MATCH, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents without a verified overlap, with all their columns."""
+def keep_clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, match: float = MATCH, block_words: int = BLOCK_WORDS, shortest: int = SHORTEST) -> DataFrame:
+    """The documents without a verified overlap, with all their columns. Items of fewer words than `shortest` condemn none: a word or two are everywhere."""
     for items in blocks(benchmark, block_words):
-        bench = docs.sparkSession.sparkContext.broadcast(Benchmark(items))
+        bench = docs.sparkSession.sparkContext.broadcast(Benchmark(items, shortest))
 
         def rows(batches, bench=bench):
             for batch in pieces(batches):
