@@ -12,12 +12,17 @@ of keys is fixed, a lost record changes its own branch alone, though it shifts a
 Records go into leaves as sums of digest parts with their number, so a repeated key, however often, is one combined
 aggregate; no node ever gathers more than 256 children. Text is hashed where it is read; the sorts and joins carry digests.
 
+Damaged files don't end an audit: read_warc() goes on at the next record and tells what it left, and audit(placed=True) names file and offset.
+
 Cases: a null page_id is a key of its own; a null url has no header, a null html is empty; repeated rows are counted;
 two empty archives are equal; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,57 +58,113 @@ def write_warc(archive: DataFrame, path: str, per_file: int = 20000) -> None:
     ordered.select(F.col("record").alias("value")).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
-def parse(data: bytes) -> list[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length with the end, headers in lower case, block) of all records of a file that isn't compressed."""
+_NEXT = re.compile(rb"\r\n\r\n(?=WARC/1\.)")
+_MEMBER = b"\x1f\x8b\x08"
+
+
+def unzipped(data: bytes) -> tuple[bytes, list[tuple[int, str]]]:
+    """The content of a file, gzipped as a whole or record by record, as far as it can be read; and (byte of the content, problem) of what can't.
+
+    After a member that is torn or damaged the next one is looked for, so a file of one member for each record loses that record alone.
+    """
+    if data[:2] != _MEMBER[:2]:
+        return data, []
+    out, problems, at, size = [], [], 0, 0
+    while 0 <= at < len(data):
+        unzip, step, good = zlib.decompressobj(31), 1 << 16, False
+        here = at
+        try:
+            while here < len(data) and not unzip.eof:
+                part = unzip.decompress(data[here : here + step])
+                here += step
+                out.append(part)
+                size += len(part)
+            good = unzip.eof
+        except zlib.error:
+            pass
+        if good:
+            at = min(here, len(data)) - len(unzip.unused_data)
+        else:
+            problems.append((size, "gzip"))
+            at = data.find(_MEMBER, at + 3)
+        if at < len(data) and at >= 0 and data[at : at + 3] != _MEMBER:
+            problems.append((size, "gzip"))
+            at = data.find(_MEMBER, at)
+    return b"".join(out), problems
+
+
+def parse(data: bytes) -> list[tuple[int, int, dict[str, str], bytes | None, str | None]]:
+    """(offset, length with the end, headers in lower case, block, problem) of all records of a file's content.
+
+    problem: null, `length` where the record doesn't end where its Content-Length says (its block then goes to the next record's start), `header` where no
+    record can be made out up to the next one; block is null then.
+    """
     out, at = [], 0
     while at < len(data):
-        head = data.index(b"\r\n\r\n", at)
-        lines = data[at:head].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+        head = data.find(b"\r\n\r\n", at)
+        lines = data[at : max(head, at)].decode(errors="replace").split("\r\n")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        end = head + 4 + int(headers["content-length"])
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} doesn't end at byte {end}")
-        out.append((at, end + 4 - at, headers, data[head + 4 : end]))
-        at = end + 4
+        number = headers.get("content-length", "")
+        if head >= 0 and lines[0].startswith("WARC/") and number.isdecimal() and number.isascii() and len(number) < 19:
+            end = head + 4 + int(number)
+            if data[end : end + 4] == b"\r\n\r\n" and (end + 4 == len(data) or data.startswith(b"WARC/1.", end + 4)):
+                out.append((at, end + 4 - at, headers, data[head + 4 : end], None))
+                at = end + 4
+                continue
+        sound = head >= 0 and lines[0].startswith("WARC/") and "warc-record-id" in headers
+        after = _NEXT.search(data, head if sound else at)  # the block may be empty
+        if sound and after and after.start() == head:
+            after = _NEXT.search(data, head + 4) if not data.startswith(b"WARC/1.", head + 4) else after
+        stop = after.end() if after else len(data)
+        last = stop - 4 if after or data.endswith(_END.encode()) else stop
+        out.append((at, stop - at, headers if sound else {}, data[head + 4 : max(last, head + 4)] if sound else None, "length" if sound else "header"))
+        at = stop
     return out
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url, html, record, file, file_offset of every record of the files in a folder."""
+    """page_id, url, html, record, file, file_offset, problem of every record of the files in a folder.
+
+    file_offset is of the file's content, before compression. What can't be read is a row of its own without a record: its problem is `header` (no record can be made
+    out there), `gzip` (from there on a member can't be unpacked) or `text` (the record isn't UTF-8). `length` is of a record that is read all the same.
+    """
     import pandas as pd
 
     def rows(frames):
-        import gzip
-
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"], strict=True):
-                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else bytes(content)
-                found = parse(data)
+                data, torn = unzipped(bytes(content))
+                found = [*parse(data), *((at, 0, {}, None, problem) for at, problem in torn)]
                 for k in range(0, len(found), 1000):
-                    part = found[k : k + 1000]
-                    ids = [h["warc-record-id"].removeprefix("<urn:page:").rstrip(">") for _, _, h, _ in part]
-                    yield pd.DataFrame(
-                        {
-                            "page_id": pd.array([int(i) if i else None for i in ids], "Int64"), "url": [h.get("warc-target-uri") for _, _, h, _ in part], "html": [b.decode() for *_, b in part],
-                            "record": [data[a : a + n - 4].decode() for a, n, _, _ in part], "file": name, "file_offset": [a for a, *_ in part],
-                        }
-                    )
+                    out = []
+                    for at, n, headers, block, problem in found[k : k + 1000]:
+                        page, record, html = None, None, None
+                        if block is not None:
+                            name_ = headers.get("warc-record-id", "").removeprefix("<urn:page:").rstrip(">")
+                            page = int(name_) if re.fullmatch("-?[0-9]{1,18}", name_) else None
+                            try:
+                                end = n - 4 if data.startswith(_END.encode(), at + n - 4) else n
+                                record, html = data[at : at + end].decode(), block.decode()
+                            except UnicodeDecodeError:
+                                problem = "text"
+                        out.append((page, headers.get("warc-target-uri"), html, record, name, at, problem))
+                    part = pd.DataFrame(out, columns=["page_id", "url", "html", "record", "file", "file_offset", "problem"])
+                    yield part.assign(page_id=pd.array(part["page_id"], "Int64"))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInPandas(rows, "page_id long, url string, html string, record string, file string, file_offset long")
+    return files.mapInPandas(rows, "page_id long, url string, html string, record string, file string, file_offset long, problem string")
 
 
 def index(archive: DataFrame) -> DataFrame:
-    """archive: page_id, record. Returns page_id, key, digest, length, offset: records in key order, with where each starts."""
-    leaves = staged(archive.select("page_id", F.coalesce("page_id", F.lit(_NO_KEY)).alias("key"), F.sha2("record", 256).alias("digest"), (F.octet_length("record") + len(_END)).cast("long").alias("length")), "digests")
-    dealt = staged(leaves.repartitionByRange("key", "digest").withColumn("part", F.spark_partition_id()), "ordered")
+    """archive: page_id, record, perhaps file and file_offset. Returns page_id, key, digest, length, offset, file, file_offset: records in key order, with where each starts."""
+    place = [(F.col(c) if c in archive.columns else F.lit(None)).cast(t).alias(c) for c, t in (("file", "string"), ("file_offset", "long"))]
+    leaves = staged(archive.where("record IS NOT NULL").select(*place, F.monotonically_increasing_id().alias("row"), "page_id", F.coalesce("page_id", F.lit(_NO_KEY)).alias("key"), F.sha2("record", 256).alias("digest"), (F.octet_length("record") + len(_END)).cast("long").alias("length")), "digests")
+    dealt = staged(leaves.repartitionByRange("key", "digest", "row").withColumn("part", F.spark_partition_id()), "ordered")
     upto = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = dealt.groupBy("part").agg(F.sum("length").alias("n")).select(F.col("part").alias("of"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("start"))
-    inner = W.partitionBy("part").orderBy("key", "digest").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("part").orderBy("key", "digest", "row").rowsBetween(W.unboundedPreceding, -1)
     rows = dealt.withColumn("within", F.coalesce(F.sum("length").over(inner), F.lit(0))).join(F.broadcast(starts), F.col("part") == F.col("of"))  # a row for each partition
-    return staged(rows.select("page_id", "key", "digest", "length", (F.col("start") + F.col("within")).alias("offset")), "index")
+    return staged(rows.select("page_id", "key", "digest", "length", (F.col("start") + F.col("within")).alias("offset"), "file", "file_offset"), "index")
 
 
 def leaves(rows: DataFrame) -> DataFrame:
@@ -133,10 +194,11 @@ def trees(replicas: list[DataFrame], bits: int = BITS) -> list[list[DataFrame]]:
     return out
 
 
-def audit(one: DataFrame, other: DataFrame, bits: int = BITS) -> DataFrame:
+def audit(one: DataFrame, other: DataFrame, bits: int = BITS, placed: bool = False) -> DataFrame:
     """one, other: page_id, record. A row for each record that only one replica has, or that differs.
 
-    page_id, problem (changed, missing: only in one, extra: only in other), and offset, length, digest in one and in other.
+    page_id, problem (changed, missing: only in one, extra: only in other), and offset, length, digest in one and in other; offsets are of a replica's records in
+    the order of their keys. placed: also file and file_offset in either, of replicas that have these columns.
     Of a key with several records those that agree are left out, and the rest are paired in the order of their digests.
     """
     rows = index(one), index(other)
@@ -153,15 +215,16 @@ def audit(one: DataFrame, other: DataFrame, bits: int = BITS) -> DataFrame:
     nth = W.partitionBy("key", "digest").orderBy("offset")
     sides = []
     for r, side in zip(rows, "ab", strict=True):
-        sides.append(r.join(differ.withColumnRenamed("node", "key"), "key", "left_semi").withColumn("nth", F.row_number().over(nth)).select("key", "digest", "nth", "page_id", F.col("offset"), F.col("length")).alias(side))
+        sides.append(r.join(differ.withColumnRenamed("node", "key"), "key", "left_semi").withColumn("nth", F.row_number().over(nth)).select("key", "digest", "nth", "page_id", "offset", "length", "file", "file_offset").alias(side))
     a, b = sides
     same = ["key", "digest", "nth"]
     rank = F.row_number().over(W.partitionBy("key").orderBy("digest", "offset"))
     a, b = a.join(b, same, "left_anti").withColumn("rank", rank), b.join(a, same, "left_anti").withColumn("rank", rank)
-    named = lambda df, side: df.select("key", "rank", F.col("page_id").alias(f"page_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in ("offset", "length", "digest")])
+    what = ("offset", "length", "digest", *("file", "file_offset") * placed)
+    named = lambda df, side: df.select("key", "rank", F.col("page_id").alias(f"page_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in what])
     problem = F.when(F.col("digest_b").isNull(), "missing").when(F.col("digest_a").isNull(), "extra").otherwise("changed")
     pairs = named(a, "a").join(named(b, "b"), ["key", "rank"], "full_outer")
-    return pairs.select(F.coalesce("page_a", "page_b").alias("page_id"), problem.alias("problem"), *[f"{c}_{s}" for s in "ab" for c in ("offset", "length", "digest")])
+    return pairs.select(F.coalesce("page_a", "page_b").alias("page_id"), problem.alias("problem"), *[f"{c}_{s}" for s in "ab" for c in what])
 
 
 def damaged(pages: DataFrame) -> DataFrame:

@@ -120,13 +120,13 @@ def test_long_overlaps_and_short_items(spark):
 
     agree = (np.arange(400_000) % 7 != 3).astype(float)
     began = time.process_time()
-    assert decontaminate.stretch(agree, 13, 0.8) == (0, 400_000) and time.process_time() - began < 5
+    assert d.stretch(agree, 13, 0.8) == (0, 400_000) and time.process_time() - began < 5
     rng = np.random.default_rng(2)
     for _ in range(300):
         agree = (rng.random(int(rng.integers(1, 40))) < rng.choice([0.3, 0.7, 0.9])).astype(float)
         runs = [(a - b, a, b) for a in range(len(agree)) for b in range(a + 1, len(agree) + 1) if agree[a] and agree[b - 1] and agree[a:b].mean() >= 0.8 - 1e-12 and b - a >= 5]
-        assert decontaminate.stretch(agree, 5, 0.8) == (min(runs)[1:] if runs else None)
+        assert d.stretch(agree, 5, 0.8) == (min(runs)[1:] if runs else None)
     docs = spark.createDataFrame([(1, "the end of it"), (2, "one two three four five six"), (3, None)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "the"), (2, "one two three four five")], "item_id long, text string")
-    assert sorted(r.doc_id for r in decontaminate.keep_clean(docs, items).collect()) == [1, 3]
-    assert sorted(r.doc_id for r in decontaminate.keep_clean(docs, items, shortest=1).collect()) == [3]
+    assert sorted(r.doc_id for r in d.keep_clean(docs, items).collect()) == [1, 3]
+    assert sorted(r.doc_id for r in d.keep_clean(docs, items, shortest=1).collect()) == [3]

@@ -70,3 +70,48 @@ def test_descent_opens_only_branches_that_differ(spark):
 def test_damage(spark):
     bad = [(a, b, "#" + c[1:] if c and a is not None and a % 1000 == 7 else c) for a, b, c in ROWS if a is None or a % 1000 != 11]
     assert sorted(map(tuple, warc.audit_of_damage(frame(spark, ROWS)).collect()), key=repr) == brute(ROWS, bad)
+
+
+def test_damaged_files_are_located(spark, tmp_path):
+    import gzip
+
+    rows = [(i, f"http://h/{i}", f"<p>text {i}</p>" * (1 + i % 5)) for i in range(300)]
+    folder, raw = tmp_path / "w", tmp_path / "raw"
+    warc.write_warc(warc.records(frame(spark, rows)), str(folder), per_file=40)
+    raw.mkdir()
+    names = sorted(p.name for p in folder.glob("part-*"))
+    whole = {n: gzip.decompress((folder / n).read_bytes()) for n in names}
+    first, second, third, fourth = names[:4]
+    starts = {n: [r[0] for r in warc.parse(x)] for n, x in whole.items()}
+    ids = {n: [int(r[2]["warc-record-id"][10:-1]) for r in warc.parse(x)] for n, x in whole.items()}
+    at = whole[first].index(b"<p>", starts[first][3])
+    whole[first] = whole[first][: at + 1] + b"q" + whole[first][at + 2 :]  # a flipped byte
+    at = whole[second].index(b"Content-Length: ", starts[second][5]) + 16
+    whole[second] = whole[second][:at] + b"9" + whole[second][at + 1 :]  # a wrong length
+    whole[third] = whole[third][: starts[third][2] + 30]  # a cut file
+    for n, x in whole.items():
+        (raw / n.removesuffix(".gz")).write_bytes(x)
+    torn = gzip.compress(whole[fourth])
+    (raw / fourth.removesuffix(".gz")).write_bytes(torn[: len(torn) // 2])  # a torn gzip file
+    back = warc.read_warc(spark, str(raw))
+    found = warc.audit(warc.records(frame(spark, rows)), back, placed=True).collect()
+    by = {r.page_id: r for r in found}
+    name = lambda r: r.file_b.rsplit("/", 1)[1] + ".gz"
+    assert (by[ids[first][3]].problem, name(by[ids[first][3]]), by[ids[first][3]].file_offset_b) == ("changed", first, starts[first][3])
+    assert (by[ids[second][5]].problem, name(by[ids[second][5]]), by[ids[second][5]].file_offset_b) == ("changed", second, starts[second][5])
+    assert {i for i, r in by.items() if r.problem == "missing"} >= set(ids[third][2:]) and all(i in ids[third][2:] + ids[fourth] for i, r in by.items() if r.problem == "missing")
+    told = {(r.file.rsplit("/", 1)[1] + ".gz", r.problem): r.file_offset for r in back.where("problem IS NOT NULL").collect()}
+    assert told[second, "length"] == starts[second][5] and told[third, "header"] == starts[third][2] and (fourth, "gzip") in told
+
+
+def test_a_torn_member_costs_its_record_alone():
+    import gzip
+
+    records = [text((i, "u", f"<p>{i}</p>" * 50)).encode() + b"\r\n\r\n" for i in range(5)]
+    members = [gzip.compress(r) for r in records]
+    spoilt = bytearray(members[2])
+    spoilt[len(spoilt) // 2] ^= 255
+    data, problems = warc.unzipped(b"".join([*members[:2], bytes(spoilt), *members[3:]]))
+    kept = {h.get("warc-record-id") for _, _, h, block, problem in warc.parse(data) if problem is None}
+    assert kept >= {f"<urn:page:{i}>" for i in (0, 1, 4)} and len(problems) >= 1
+    assert warc.unzipped(b"plain") == (b"plain", []) and warc.unzipped(b"".join(members)) == (b"".join(records), [])
