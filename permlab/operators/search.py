@@ -166,15 +166,15 @@ def chains(array: DataFrame, d: int, seeds: list[int], **options) -> DataFrame:
     return spark.createDataFrame([(s,) for s in seeds], "seed long").groupBy("seed").applyInPandas(run, "seed long, score long, row_id long, u array<int>")
 
 
-_SEGMENT = "seed long, segment long, score long, waited long, ids array<long>, rows array<array<int>>, best array<array<int>>"
+_SEGMENT = "seed long, block long, segment long, score long, waited long, ids array<long>, rows array<array<int>>, best array<array<int>>"
 
 
 def chains_until(array: DataFrame, d: int, seeds: list[int], folder: str, seconds: float | None = None, segments: int | None = None, steps: int = 500, **options) -> DataFrame:
-    """seed, segment, score, row_id, u: the best rows of climb() chains that go on in segments of so many steps.
+    """seed, block, segment, score, row_id, u: the best rows of climb() chains that go on in segments of so many steps, one for each seed and block.
 
-    Stops between segments: when the seconds are over, after so many segments, when no chain has a conflict left, at an interrupt, or if a file named `stop` is
+    array: row_id, u, perhaps block: an array for each block, all in one if there is none. Stops between segments: when the seconds are over, after so many segments, when no chain has a conflict left, at an interrupt, or if a file named `stop` is
     in the folder. Each segment of all chains is written there before the next, and a later call with the folder goes on from the last
-    one. A segment's random numbers come from the seed and its number, so a chain that was stopped reaches what an unbroken one does.
+    one. A segment's random numbers come from the seed, the block and its number, so a chain that was stopped reaches what an unbroken one does.
     """
     import time
 
@@ -189,18 +189,20 @@ def chains_until(array: DataFrame, d: int, seeds: list[int], folder: str, second
     def run(frame):
         import pandas as pd
 
-        seed, segment = int(frame["seed"].iloc[0]), int(frame["segment"].iloc[0]) + 1
+        seed, block, segment = int(frame["seed"].iloc[0]), int(frame["block"].iloc[0]), int(frame["segment"].iloc[0]) + 1
         rows, best = (np.array([list(u) for u in frame[c].iloc[0]], np.int64) for c in ("rows", "best"))
-        best, rows, waited, _ = _climbed(rows, best, int(frame["waited"].iloc[0]), np.random.default_rng([seed, segment]), d, steps, **options)
+        best, rows, waited, _ = _climbed(rows, best, int(frame["waited"].iloc[0]), np.random.default_rng([seed, block, segment]), d, steps, **options)
         score = int(conflict_matrix(best, d, IMAGES[options.get("image")], options.get("masked", False)).sum())
-        return pd.DataFrame({"seed": [seed], "segment": [segment], "score": [score], "waited": [waited], "ids": [frame["ids"].iloc[0]], "rows": [rows.tolist()], "best": [best.tolist()]})
+        return pd.DataFrame({"seed": [seed], "block": [block], "segment": [segment], "score": [score], "waited": [waited], "ids": [frame["ids"].iloc[0]], "rows": [rows.tolist()], "best": [best.tolist()]})
 
     k = 0
     while is_there(f"{k + 1}/_SUCCESS"):
         k += 1
     if k == 0 and not is_there("0/_SUCCESS"):
-        whole = array.agg(F.array_sort(F.collect_list(F.struct("row_id", "u"))).alias("r")).select(F.transform("r", lambda r: r["row_id"]).alias("ids"), F.transform("r", lambda r: r["u"]).alias("u"))  # one array, small by its nature
-        start = whole.select(F.explode(F.array(*[F.lit(s).cast("long") for s in seeds])).alias("seed"), F.lit(0).cast("long").alias("segment"), F.lit(-1).cast("long").alias("score"), F.lit(0).cast("long").alias("waited"), F.col("ids").cast("array<long>").alias("ids"), F.col("u").alias("rows"), F.col("u").alias("best"))
+        own = array if "block" in array.columns else array.withColumn("block", F.lit(0))
+        whole = own.groupBy(F.col("block").cast("long").alias("block")).agg(F.array_sort(F.collect_list(F.struct("row_id", "u"))).alias("r"))  # one array each, small by its nature
+        zero = F.lit(0).cast("long")
+        start = whole.select(F.explode(F.array(*[F.lit(s).cast("long") for s in seeds])).alias("seed"), "block", zero.alias("segment"), F.lit(-1).cast("long").alias("score"), zero.alias("waited"), F.transform("r", lambda r: r["row_id"].cast("long")).alias("ids"), *[F.transform("r", lambda r: r["u"]).alias(c) for c in ("rows", "best")])
         start.write.mode("overwrite").parquet(f"{folder}/0")
     last = k
     try:
@@ -209,11 +211,11 @@ def chains_until(array: DataFrame, d: int, seeds: list[int], folder: str, second
             if not now.where("score <> 0").limit(1).count():
                 break
             done = now.where("score = 0")
-            done.unionByName(now.where("score <> 0").groupBy("seed").applyInPandas(run, _SEGMENT)).write.mode("overwrite").parquet(f"{folder}/{k + 1}")
+            done.unionByName(now.where("score <> 0").groupBy("seed", "block").applyInPandas(run, _SEGMENT)).write.mode("overwrite").parquet(f"{folder}/{k + 1}")
             k += 1
     except KeyboardInterrupt:
         pass
-    return read(k).select("seed", "segment", "score", F.explode(F.arrays_zip("ids", "best")).alias("r")).select("seed", "segment", "score", F.col("r.ids").alias("row_id"), F.col("r.best").alias("u"))
+    return read(k).select("seed", "block", "segment", "score", F.explode(F.arrays_zip("ids", "best")).alias("r")).select("seed", "block", "segment", "score", F.col("r.ids").alias("row_id"), F.col("r.best").alias("u"))
 
 
 def best_chain(found: DataFrame) -> DataFrame:

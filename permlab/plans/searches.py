@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from permlab.functions import columns as C
-from permlab.operators import choose, compatible, complete, covering, lazy, model
+from permlab.operators import blocks, choose, compatible, complete, covering, lazy, model, moves, search
 from permlab.operators import generate as G
 from permlab.operators import relations as R
 from permlab.plans.fixtures import rank_array
 from permlab.plans.registry import cheb, combos, pairs, query, rank, txt
-from permlab.sources.storage import staged
+from permlab.sources import text
+from permlab.sources.storage import shared_dir, staged
 
 # -- arrays of which groups and some symbols are known: three rows of the table each
 
@@ -217,3 +218,198 @@ def e3_first_choices(spark, sf_dir):
 def e11_fullest_choices(spark, sf_dir):
     found, _ = choose.best_choices(_whole(spark, sf_dir), 3, skip=True)
     return found.select("puzzle", C.text("path").alias("path"), "worth")
+
+
+# -- searches of many blocks of the table, checked by joins
+
+
+def _rows(spark, sf_dir, size: int):
+    return rank_array(spark, sf_dir, 6).select(F.floor(F.col("row_id") / size).alias("block"), "row_id", "u")
+
+
+_RIGHT = "SELECT DISTINCT vec_id // 20 AS block, true AS valid, true AS scored FROM embeddings"
+
+
+def _search_query(name: str, solve, image=None):
+    @query(_RIGHT, name)
+    def run(spark, sf_dir):
+        return blocks.checked(staged(solve(_rows(spark, sf_dir, 20)), "blocks"), 3, image)
+
+
+_search_query("h1_blocks_checked", lambda rows: blocks.climbed(rows, 3, steps=150))
+_search_query("h2_blocks_checked", lambda rows: blocks.climbed(rows, 3, kind="disturb", steps=150, gentle=30, great=100))
+_search_query("h6_blocks_checked", lambda rows: blocks.climbed(rows, 3, steps=150, objective="coverage", pick="degree"))
+_search_query("h9_blocks_checked", lambda rows: blocks.climbed(rows, 3, steps=60, candidates=6))
+_search_query("h10_blocks_checked", lambda rows: blocks.climbed(rows, 3, steps=150, image="complement"), lambda x: C.complement(x, 6))
+_search_query("h7_blocks_checked", lambda rows: blocks.tournaments(rows, 3, rounds=4, steps=40))
+_search_query("h5_blocks_checked", lambda rows: blocks.incremented(rows, 3, steps=30))
+
+
+@query(f"""WITH RECURSIVE {rank(6)}, own AS (SELECT row_id // 20 AS block, row_id, u, row_number() OVER (PARTITION BY row_id // 20 ORDER BY row_id) AS k FROM pa),
+ step(block, k, ids, us) AS (SELECT DISTINCT block, 0::BIGINT, []::BIGINT[], []::INT[][] FROM own UNION ALL
+  SELECT s.block, o.k, CASE WHEN f THEN list_append(ids, o.row_id) ELSE ids END, CASE WHEN f THEN list_append(us, o.u) ELSE us END FROM step s JOIN own o ON s.block = o.block AND o.k = s.k + 1,
+  LATERAL (SELECT len(list_filter(us, lambda t: list_max(list_transform(range(1, 7), lambda i: abs(t[i] - o.u[i]))) < 3)) = 0 AS f))
+ SELECT block, unnest(ids) AS row_id FROM (SELECT block, arg_max(ids, k) AS ids FROM step GROUP BY block)""")
+def g10_kept_greedily(spark, sf_dir):
+    return blocks.kept_greedily(_rows(spark, sf_dir, 20), 3).select("block", "row_id")
+
+
+@query(f"""WITH RECURSIVE {rank(6)}, own AS (SELECT row_id // 10 AS block, row_id, u FROM pa),
+ sets(block, ids, us) AS (SELECT block, [row_id], [u] FROM own UNION ALL SELECT s.block, list_append(ids, o.row_id), list_append(us, o.u) FROM sets s JOIN own o ON s.block = o.block AND o.row_id > s.ids[-1]
+  AND len(list_filter(us, lambda t: list_max(list_transform(range(1, 7), lambda i: abs(t[i] - o.u[i]))) < 3)) = 0)
+ SELECT block, max(len(ids)) AS n_rows, true AS apart FROM sets GROUP BY block""")
+def e1_largest_blocks(spark, sf_dir):
+    found = staged(blocks.largest(_rows(spark, sf_dir, 10), 3), "largest")
+    sound = blocks.checked(found, 3).select(F.col("block").alias("of"), "scored")
+    return found.groupBy("block").agg(F.count("*").alias("n_rows")).join(sound, F.col("block") == F.col("of")).select("block", "n_rows", F.col("scored").alias("apart"))
+
+
+@query(f"""WITH RECURSIVE {rank()}, {pairs(2)}, ends AS (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs), near AS (SELECT DISTINCT x FROM ends),
+ moved AS (SELECT x AS row_id, pa.u, list_transform(pa.u, lambda y: CASE WHEN y // 2 = g THEN g * 4 + 1 - y ELSE y END) AS new FROM near JOIN pa ON pa.row_id = x, (SELECT unnest(range(4)) AS g)),
+ had AS (SELECT x, count(*) AS n FROM ends GROUP BY x),
+ made AS (SELECT m.row_id, m.new, count(*) FILTER (pa.row_id <> m.row_id AND {cheb('m.new', 'pa.u')} < 2) AS n FROM moved m, pa GROUP BY m.row_id, m.new)
+ SELECT made.row_id, {txt('made.new')} AS u, (had.n - made.n)::BIGINT AS gain FROM made JOIN had ON had.x = made.row_id WHERE had.n > made.n""")
+def h12_single_moves(spark, sf_dir):
+    found = moves.look_ahead(rank_array(spark, sf_dir), 2, depth=1)
+    return found.select(F.get("plan", F.lit(0))["row_id"].alias("row_id"), C.text(F.get("plan", F.lit(0))["u"]).alias("u"), "gain")
+
+
+@query("SELECT true AS found, 0::BIGINT AS wrong")
+def h12_look_ahead_checked(spark, sf_dir):
+    """Plans of up to three moves, each array made anew and its conflicts counted again."""
+    array = staged(rank_array(spark, sf_dir), "array")
+    plans = staged(moves.look_ahead(array, 2, depth=3, width=3).orderBy(F.col("gain").desc(), F.to_json("plan")).limit(4).withColumn("id", F.monotonically_increasing_id()), "plans")
+    was = R.score(array, 2).first()["conflicts"]
+    wrong = 0
+    for p in plans.collect():  # four plans
+        new = spark.createDataFrame([(m["row_id"], m["u"]) for m in p["plan"]], "row_id long, new array<int>")
+        now = array.join(F.broadcast(new), "row_id", "left").select("row_id", F.coalesce("new", "u").alias("u"))  # three rows
+        wrong += R.score(now, 2).first()["conflicts"] != was - p["gain"]
+    return plans.agg((F.count("*") > 0).alias("found"), F.lit(wrong).cast("long").alias("wrong"))
+
+
+@query("SELECT vec_id // 20 AS block, count(*) AS n_rows, true AS scored FROM embeddings GROUP BY 1")
+def t3_stopped_chains_checked(spark, sf_dir):
+    """A chain for each block of 20 rows: one segment, then another call that goes on."""
+    rows, folder = _rows(spark, sf_dir, 20), shared_dir(spark, "chains")
+    search.chains_until(rows, 3, [1], folder, segments=1, steps=50)
+    found = staged(search.chains_until(rows, 3, [1], folder, segments=2, steps=50), "chains")
+    told = blocks.checked(found, 3)
+    return found.groupBy(F.col("block").alias("of")).agg(F.count("*").alias("n_rows")).join(told, F.col("of") == F.col("block")).select("block", "n_rows", "scored")
+
+
+# -- joins of the templates of the table's rows
+
+
+_ROW_TEMPLATES = f"WITH {rank()}, ts AS (SELECT row_id, list_transform(u, lambda x: x // 3) AS t FROM pa)"
+
+
+def _row_templates(spark, sf_dir):
+    return rank_array(spark, sf_dir).select("row_id", C.groups("u", 3).alias("t"))
+
+
+@query(f"{_ROW_TEMPLATES}, one AS (SELECT DISTINCT t FROM ts) SELECT {txt('a.t')} AS t, {txt('b.t')} AS s FROM one a, one b WHERE {cheb('a.t', 'b.t')} <= 1")
+def j3_foes_of_rows(spark, sf_dir):
+    return R.foe_pairs(_row_templates(spark, sf_dir)).select(C.text("t").alias("t"), C.text("s").alias("s"))
+
+
+@query(f"{_ROW_TEMPLATES} SELECT a.row_id AS a, b.row_id AS b FROM ts a JOIN ts b ON a.row_id < b.row_id WHERE list_transform(a.t, lambda x: x = 0) = list_transform(b.t, lambda x: x = 0)")
+def j11_same_lows_of_rows(spark, sf_dir):
+    return R.same_lows(_row_templates(spark, sf_dir))
+
+
+@query(f"{_ROW_TEMPLATES}, p AS (SELECT a.row_id AS a, len(list_filter(range(1, 9), lambda i: a.t[i] <> b.t[i]))::INT AS n_cols FROM ts a JOIN ts b ON a.row_id <> b.row_id WHERE {cheb('a.t', 'b.t')} <= 1) SELECT a AS row_id, n_cols, count(*) AS n_foes FROM p GROUP BY a, n_cols")
+def j12_foe_counts_of_rows(spark, sf_dir):
+    return R.foe_counts(_row_templates(spark, sf_dir))
+
+
+@query(f"WITH {rank()} SELECT {txt('list_transform(u, lambda x: x // 3)')} AS t, count(*) AS n FROM pa WHERE {cheb('u', '(u[4:8] || u[1:3])')} < 5 GROUP BY 1")
+def a11_rotation_failures_of_rows(spark, sf_dir):
+    rows = rank_array(spark, sf_dir).where(~C.separated("u", C.rotate_left("u"), 5))
+    return rows.groupBy(C.text(C.groups("u", 3)).alias("t")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {rank()}, duo AS (SELECT a.row_id, list_transform(a.u, lambda x: CASE WHEN x > 5 THEN x::VARCHAR ELSE 'L' END) AS u, list_transform(b.u, lambda x: CASE WHEN x > 5 THEN x::VARCHAR ELSE 'L' END) AS v FROM pa a JOIN pa b ON b.row_id = a.row_id + 1),
+ lows AS (SELECT row_id, list_min(list_transform(list_filter(range(1, 9), lambda i: u[i] <> 'L' AND v[i] = 'L'), lambda i: u[i]::INT)) AS x, list_min(list_transform(list_filter(range(1, 9), lambda i: u[i] = 'L' AND v[i] <> 'L'), lambda i: v[i]::INT)) AS y FROM duo)
+ SELECT row_id, CASE (least(x, y), greatest(x, y)) WHEN (6, 6) THEN -5 WHEN (6, 7) THEN -2 WHEN (7, 7) THEN -1 END::INT AS value FROM lows WHERE x IS NOT NULL AND y IS NOT NULL""")
+def f28_pair_values(spark, sf_dir):
+    """Two rows in a row, of which the two highest symbols are known, where each has one against an open cell."""
+    known = lambda u: F.transform(u, lambda x: F.when(x > 5, x.cast("string")).otherwise("L"))
+    a = rank_array(spark, sf_dir)
+    duo = a.join(a.select((F.col("row_id") - 1).alias("row_id"), F.col("u").alias("v")), "row_id").select("row_id", known("u").alias("u"), known("v").alias("v"))
+    meets = lambda x, y: F.exists(F.arrays_zip(F.col(x).alias("x"), F.col(y).alias("y")), lambda z: (z["x"] != "L") & (z["y"] == "L"))
+    return duo.where(meets("u", "v") & meets("v", "u")).select("row_id", C.pair_value("u", "v").alias("value"))
+
+
+# -- more files: written to shared storage and read back
+
+
+_SIX = f"WITH {rank(6)} SELECT row_id, {txt('u')} AS u FROM pa"
+
+
+def _read_back(spark, path):
+    return text.load(spark, path, "lenient").select("row_id", C.text("u").alias("u"))
+
+
+@query(_SIX)
+def s7_s8_resumed(spark, sf_dir):
+    """A folder with a verified array of another size and an unfinished one: the search goes on from the latter."""
+    folder = shared_dir(spark, "resume")
+    text.dump(rank_array(spark, sf_dir, 3), f"{folder}/pa_3_choose_3_verified.txt")
+    text.dump(rank_array(spark, sf_dir, 6), f"{folder}/pa_6_choose_3_unfinished.txt")
+    array, name = search.resume(spark, folder, 6, 3)
+    return array.where(F.lit(name == "pa_6_choose_3_unfinished.txt")).select("row_id", C.text("u").alias("u"))
+
+
+@query("SELECT 7::INT AS n, 6::INT AS found")
+def s12_misnamed(spark, sf_dir):
+    folder = shared_dir(spark, "names")
+    text.dump(rank_array(spark, sf_dir, 6), f"{folder}/pa_6_choose_3.txt")
+    text.dump(rank_array(spark, sf_dir, 6), f"{folder}/pa_7_choose_3.txt")
+    files = spark.read.text([f"{folder}/pa_6_choose_3.txt", f"{folder}/pa_7_choose_3.txt"]).select(F.regexp_extract("_metadata.file_path", r"(.*)/[^/]*$", 1).alias("file"), "value")
+    first = files.groupBy("file").agg(F.max(F.size(F.split("value", " "))).alias("found"))
+    return text.names(first.select("file")).join(first, "file").where(F.col("n") != F.col("found")).select("n", "found")
+
+
+@query("SELECT true AS first, false AS worse, true AS better, 3::BIGINT AS score")
+def k3_only_if_better(spark, sf_dir):
+    path, six = shared_dir(spark, "best"), rank_array(spark, sf_dir, 6)
+    said = [text.maybe_dump(six, path, k) for k in (7, 9, 3)]
+    return text.headers(spark, path).select(*[F.lit(x).alias(c) for x, c in zip(said, ("first", "worse", "better"), strict=True)], "score")
+
+
+@query(_SIX)
+def k4_published(spark, sf_dir):
+    path = shared_dir(spark, "published")
+    text.publish(rank_array(spark, sf_dir, 6).where("row_id < 3"), path)
+    text.publish(rank_array(spark, sf_dir, 6), path)
+    return _read_back(spark, path)
+
+
+@query(f"WITH {rank()}, {pairs(2)} SELECT a, b FROM pairs")
+def k5_edges_file(spark, sf_dir):
+    path = shared_dir(spark, "edges")
+    text.dump_edges(R.conflicts(rank_array(spark, sf_dir), 2), path)
+    return spark.read.parquet(path)
+
+
+@query(f"WITH {rank()}, {pairs(2)}, deg AS (SELECT x, count(*) AS n FROM (SELECT a AS x FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY x) SELECT '# Disagreements: ' || (sum(n) // 2)::BIGINT || ' Counter({{' || string_agg(x || ': ' || n, ', ' ORDER BY n DESC, x) || '}})' AS value FROM deg")
+def k7_annotated_file(spark, sf_dir):
+    path, array = shared_dir(spark, "annotated"), rank_array(spark, sf_dir)
+    text.dump_annotated(array, path, R.degrees(array, 2))
+    return spark.read.text(path).where("value LIKE '#%'")
+
+
+@query(f"WITH {rank()}, {pairs(2)}, {{rows}} SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, {txt('u')} AS u FROM kept".replace("{rows}", "kept AS (SELECT * FROM pa WHERE row_id NOT IN (SELECT a FROM pairs UNION SELECT b FROM pairs))"))
+def k8_trimmed_file(spark, sf_dir):
+    array = rank_array(spark, sf_dir)
+    path = text.dump_trimmed(array, f"{shared_dir(spark, 'trimmed')}/pa_8_2.txt", 2, R.happy(array, 2))
+    return _read_back(spark, path)
+
+
+@query(f"WITH {rank(5)}, halves AS (SELECT row_id, u FROM pa UNION ALL SELECT row_id, list_filter(u, lambda x: x < 4) FROM pa) SELECT len(u)::INT AS size, array_to_string(u, ' ') AS value FROM halves")
+def k9_files_by_size(spark, sf_dir):
+    path, five = shared_dir(spark, "sizes"), rank_array(spark, sf_dir, 5)
+    both = five.unionByName(five.select("row_id", F.filter("u", lambda x: x < 4).alias("u")))
+    text.dump_by_size(both.select(F.size("u").alias("size"), "row_id", "u"), path)
+    return spark.read.option("lineSep", "\r\n").text(path).select(F.col("size").cast("int").alias("size"), "value")

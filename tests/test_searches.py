@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from permlab.functions import columns as C
-from permlab.operators import choose, compatible, complete, covering, lazy, model, moves, search
+from permlab.operators import blocks, choose, compatible, complete, covering, lazy, model, moves, search
 from permlab.operators import generate as G
 from permlab.sources.storage import shared_dir
 
@@ -181,3 +181,30 @@ def test_a_repair_of_three_moves_is_found(spark):
 
     assert got == grown(rows, (), 0)
     assert moves.look_ahead(frame.where("row_id IN (0, 3)"), d).collect() == []
+
+
+def test_blocks_by_themselves(spark):
+    rng = np.random.default_rng(3)
+    rows = {b: [rng.permutation(4).tolist() for _ in range(9)] for b in range(5)}
+    frame = spark.createDataFrame([(b, k, list(map(int, u))) for b, us in rows.items() for k, u in enumerate(us)], "block long, row_id long, u array<int>")
+
+    def kept(us, complementing):
+        held, names, turned = [], [], 0
+        for k, u in enumerate(us):
+            other = [[3 - x for x in v] for v in held]
+            if all(cheb(u, v) >= 2 for v in held):
+                held, names = [*held, u], [*names, k]
+            elif complementing and all(cheb(u, v) >= 2 for v in other):
+                held, names, turned = [*other, u], [*names, k], turned + 1
+        return names, held, turned
+
+    for complementing in (False, True):
+        got = {}
+        for r in blocks.kept_greedily(frame, 2, complementing).orderBy("row_id").collect():
+            got.setdefault(r.block, []).append((r.row_id, list(r.u), r.score))
+        assert got == {b: [(k, u, t) for k, u in zip(*kept(us, complementing)[:2], strict=True)] for b, us in rows.items() for t in [kept(us, complementing)[2]]}
+    sizes = {b: max(len(s) for k in range(10) for s in combinations(us, k) if all(cheb(u, v) >= 2 for u, v in combinations(s, 2))) for b, us in rows.items()}
+    assert {r.block: r["count"] for r in blocks.largest(frame, 2).groupBy("block").count().collect()} == sizes
+    for found in (blocks.climbed(frame, 2, steps=30), blocks.climbed(frame, 2, kind="disturb", steps=30), blocks.tournaments(frame, 2, rounds=2, steps=20), blocks.incremented(frame, 2, steps=10)):
+        assert all(r.valid and r.scored for r in blocks.checked(found, 2).collect())
+    assert blocks.climbed(frame.limit(0), 2).collect() == []
