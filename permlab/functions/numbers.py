@@ -42,4 +42,9 @@ def bound_table(spark: SparkSession, grid: list[tuple[int, int]] | None = None)
 
 def coverage_score(degrees: list[int]) -> int:
     """Sum of degrees less 2 ** (rows without conflict); whole, however large."""
-    return sum(degrees) - (1 << sum(x == 0 for x in degrees))
+    return coverage_of(sum(degrees), sum(x == 0 for x in degrees))
+
+
+def coverage_of(total: int, clean: int) -> int:
+    """The same from the sum and the number of rows without conflict."""
+    return total - (1 << clean)

@@ -194,6 +194,36 @@ def dominating(pairs: list[tuple[int, int]], least: int = 1) -> list[int]:
     return out
 
 
+def partly_dominating(pairs: list[tuple[int, int]], newbies: int = 15, left: int = 10, budget: int = 200_000) -> list[int] | None:
+    """Depth first: nodes that aren't covered yet, by their number, each if it covers `newbies` new neighbours or more, until fewer than `left`
+    nodes are uncovered; None if no way gets there. More than `budget` steps are an error."""
+    near: dict[int, set[int]] = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    order, chosen, covered, steps = sorted(near), [], set(), 0
+
+    def walk() -> bool:
+        nonlocal steps
+        if len(near) - len(covered) < left:
+            return True
+        for x in order:
+            steps += 1
+            if steps > budget:
+                raise RuntimeError(f"more than {budget} steps")
+            new = set() if x in covered else near[x] - covered
+            if len(new) >= newbies:
+                chosen.append(x)
+                covered.update(new)
+                if walk():
+                    return True
+                covered.difference_update(new)
+                chosen.pop()
+        return False
+
+    return chosen if walk() else None
+
+
 def cliques(pairs: list[tuple[int, int]], enough: int | None = None) -> list[list[int]]:
     """All maximal cliques, each sorted, with pivots; with `enough`, until one of so many nodes is found, which is the last to be added."""
     near: dict[int, set[int]] = {}

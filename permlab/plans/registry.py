@@ -970,13 +970,13 @@ def e11_fullest_filling(spark, sf_dir):
 @query()
 def f29_coverage_score(spark, sf_dir):
     """Sum of degrees less two to the number of rows without conflict, as digits."""
-    deg = R.degrees(_few(spark, sf_dir), D).agg(F.collect_list("degree").alias("degrees"))  # a number for each row of one array
+    deg = R.degrees(_few(spark, sf_dir), D).agg(F.coalesce(F.sum("degree"), F.lit(0)).alias("total"), F.count_if(F.col("degree") == 0).alias("clean"))
 
     def run(frames):
         import pandas as pd
 
         for frame in frames:
-            yield pd.DataFrame({"score": [str(numbers.coverage_score([int(x) for x in xs])) for xs in frame["degrees"]]})
+            yield pd.DataFrame({"score": [str(numbers.coverage_of(int(t), int(c))) for t, c in zip(frame["total"], frame["clean"], strict=True)]})
 
     return deg.mapInPandas(run, "score string")
 

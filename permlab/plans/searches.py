@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from permlab.functions import columns as C
-from permlab.operators import blocks, choose, compatible, complete, covering, lazy, model, moves, search
+from permlab.operators import blocks, choose, compatible, complete, covering, graph, lazy, model, moves, search
 from permlab.operators import generate as G
 from permlab.operators import relations as R
 from permlab.plans.fixtures import rank_array
@@ -413,3 +413,29 @@ def k9_files_by_size(spark, sf_dir):
     both = five.unionByName(five.select("row_id", F.filter("u", lambda x: x < 4).alias("u")))
     text.dump_by_size(both.select(F.size("u").alias("size"), "row_id", "u"), path)
     return spark.read.option("lineSep", "\r\n").text(path).select(F.col("size").cast("int").alias("size"), "value")
+
+
+@query(f"""WITH RECURSIVE {rank(6)}, own AS (SELECT row_id // 20 AS block, row_id, u, row_number() OVER (PARTITION BY row_id // 20 ORDER BY row_id) AS k FROM pa),
+ step(block, k, ids, us, turned) AS (SELECT DISTINCT block, 0::BIGINT, []::BIGINT[], []::INT[][], 0 FROM own UNION ALL
+  SELECT s.block, o.k, CASE WHEN f OR g THEN list_append(ids, o.row_id) ELSE ids END, CASE WHEN f THEN list_append(us, o.u) WHEN g THEN list_append(list_transform(us, lambda t: list_transform(t, lambda x: 5 - x)), o.u) ELSE us END, turned + (NOT f AND g)::INT
+  FROM step s JOIN own o ON s.block = o.block AND o.k = s.k + 1, LATERAL (SELECT len(list_filter(us, lambda t: list_max(list_transform(range(1, 7), lambda i: abs(t[i] - o.u[i]))) < 3)) = 0 AS f,
+   len(list_filter(us, lambda t: list_max(list_transform(range(1, 7), lambda i: abs(5 - t[i] - o.u[i]))) < 3)) = 0 AS g)),
+ ended AS (SELECT block, arg_max(ids, k) AS ids, arg_max(us, k) AS us, arg_max(turned, k) AS turned FROM step GROUP BY block)
+ SELECT block, ids[i] AS row_id, {txt('us[i]')} AS u, turned::BIGINT AS turned FROM ended, (SELECT unnest(range(1, 21)) AS i) WHERE i <= len(ids)""")
+def g11_complementing_blocks(spark, sf_dir):
+    return blocks.kept_greedily(_rows(spark, sf_dir, 20), 3, complementing=True).select("block", "row_id", C.text("u").alias("u"), F.col("score").alias("turned"))
+
+
+@query(f"""WITH RECURSIVE {rank()}, {pairs(2)}, ends AS (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs), near AS (SELECT x, list(y) AS ys FROM ends GROUP BY x),
+ reach(x, y) AS (SELECT x, x FROM near UNION SELECT r.x, e.y FROM reach r JOIN ends e ON r.y = e.x), root AS (SELECT x, min(y) AS c FROM reach GROUP BY x),
+ sets(c, last, out, n) AS (SELECT c, x, ys, 1 FROM root JOIN near USING (x) UNION ALL SELECT s.c, x, out || ys, n + 1 FROM sets s JOIN root USING (c) JOIN near USING (x) WHERE x > last AND NOT list_contains(out, x)),
+ best AS (SELECT c, max(n) AS n FROM sets GROUP BY c), many AS (SELECT count(*) AS n FROM pa), covered AS (SELECT count(*) AS n FROM near)
+ SELECT (many.n - covered.n + (SELECT sum(n) FROM best))::BIGINT AS independent, (covered.n - (SELECT sum(n) FROM best))::BIGINT AS cover, 0::BIGINT AS uncovered FROM many, covered""")
+def r5_r6_sizes(spark, sf_dir):
+    """How large a largest independent set and a least cover are, and the conflicts that the cover leaves; the SQL lists independent sets."""
+    array = staged(rank_array(spark, sf_dir), "array")
+    edges = staged(R.conflicts(array, 2).select("a", "b"), "edges")
+    cover = staged(graph.per_component(edges, graph.least_cover), "cover")
+    left = edges.join(cover, F.col("a") == F.col("node"), "left_anti").join(cover, F.col("b") == F.col("node"), "left_anti").agg(F.count("*").alias("uncovered"))
+    kept = graph.largest_independent(array, edges).agg(F.count("*").alias("independent"))
+    return kept.crossJoin(cover.agg(F.count("*").alias("cover"))).crossJoin(left)  # a number each

@@ -44,3 +44,23 @@ def test_components_in_one_task_are_those_of_rounds(spark):
     edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 80, (60, 2))], "a long, b long")
     found = lambda small: {tuple(r) for r in graph.components(edges, small).collect()}
     assert found(0) == found(1000)
+
+
+def test_partly_dominating_goes_back():
+    star = [(0, k) for k in range(1, 6)] + [(10, k) for k in range(11, 16)] + [(5, 11)]
+    assert graph.partly_dominating(star, newbies=5, left=3) == [0, 10]
+    # taking 0 first leaves too little for 1, so the search goes back
+    pairs = [(0, 2), (0, 3), (0, 4), (1, 3), (1, 4), (1, 5), (1, 6), (2, 7), (2, 8), (2, 9)]
+    got = graph.partly_dominating(pairs, newbies=3, left=4)
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    covered = set()
+    for x in got:
+        assert x not in covered and len(near[x] - covered) >= 3
+        covered |= near[x]
+    assert len(near) - len(covered) < 4 and got[0] != 0
+    assert graph.partly_dominating(pairs, newbies=5, left=1) is None
+    with pytest.raises(RuntimeError, match="steps"):
+        graph.partly_dominating(pairs, newbies=1, left=0, budget=5)
