@@ -182,3 +182,48 @@ def test_near_copies_stay_once(spark):
     assert gone <= near and {d for d in grams if d < 2000} <= kept
     wanted = {max(p) for p in alike}
     assert len(wanted) > 50 and len(gone & wanted) >= 0.9 * len(wanted)
+
+
+def test_no_link_between_classes_is_left_out(spark):
+    """Chains of copies, each like the next ones only; copies whose fingerprints are far apart; unlike texts of one fingerprint with a copy of one each."""
+    rng = np.random.default_rng(5)
+    say = lambda n: [f"w{w}" for w in rng.integers(0, 10**6, n)]
+    rows = []
+    for k in range(6):
+        text = say(300)
+        for j in range(12):
+            rows.append((100 * k + j, list(text)))
+            for i in rng.permutation(300)[:3]:
+                text[i] = say(1)[0]
+    for k in range(10):
+        body, other, loud, louder = say(300), say(300), say(5) * 300, say(5) * 300
+        rows += [(1000 + 10 * k, body + loud), (1001 + 10 * k, body + louder), (1002 + 10 * k, other + loud), (1003 + 10 * k, other + say(5) * 300)]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")).collect()}
+    assert kept == {100 * k for k in range(6)} | {1000 + 10 * k for k in range(10)}
+
+
+@pytest.mark.parametrize("few", [0, 2, 100])
+def test_common_shingles_of_a_cell(monkeypatch, few):
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(simhash, "COLUMNS", 5)
+    monkeypatch.setattr(simhash, "FEW", few)
+    own = [np.unique(rng.integers(0, 40, n)).astype("<u4") for n in (0, 1, 5, 30, 60, 60, 9)]
+    for held, asked in ((own, own[::-1]), (own[:3], own), (own, own[:1]), ([], own), (own[:1], own)):
+        got = simhash._Cell(held, [0] * len(held)).common(asked)
+        assert got.tolist() == [[len(np.intersect1d(a, b)) for b in held] for a in asked]
+
+
+def test_texts_of_a_key_in_parts(spark):
+    """All pairs of different classes are compared, however the texts of a key are dealt."""
+    rng = np.random.default_rng(6)
+    own = {t: {int(x) for x in rng.permutation(14)[:10]} for t in range(60)} | {60: set()}
+    sets = spark.createDataFrame([(t, np.array(sorted(s), "<u4").tobytes()) for t, s in own.items()], "text_id long, own binary")
+    root = {t: t if t > 25 else 0 for t in own}
+    left = spark.createDataFrame([(key, t, root[t]) for key in (1, 2) for t in own if t % 3 or key == 1], "key long, text_id long, root long")
+    pairs = {(root[a], root[b]) for a in own for b in own if root[a] != root[b] and own[a] & own[b] and len(own[a] & own[b]) >= 0.6 * len(own[a] | own[b])}
+    from permlab.operators.graph import components
+
+    want = {tuple(r) for r in components(spark.createDataFrame([*pairs], "a long, b long")).collect()}
+    for cell, most in ((2048, 1 << 24), (9, 1 << 24), (2048, 100)):
+        got = {tuple(r) for r in components(simhash._between_classes(left, sets, 0.6, cell, most)).collect()}
+        assert got == want and len(want) > 10
