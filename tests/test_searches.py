@@ -69,6 +69,21 @@ def test_compatible_seeds(spark, monkeypatch):
     assert compatible.compatible_pairs(whole.limit(0), 4).collect() == []
 
 
+def test_pairs_of_seeds_are_passed_on(monkeypatch):
+    """What many probes find is not held together."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(compatible, "FOUND", 100)
+    bits = np.full(compatible.BUCKET // 64, ~np.uint64(0)).tobytes()
+    index = {"probe": None, "rows": None, "far": [{"nth": 0, "col": 0, "of": 0, "bits": bits}], "ids": list(range(30)), "k": 1, "n": 1, "m": 1}
+    probes = [{"probe": 500 + p, "rows": [[0]], "far": None, "ids": None, "k": None, "n": None, "m": None} for p in range(2000)]
+    types = pa.schema([("probe", pa.int64()), ("rows", pa.list_(pa.list_(pa.int32()))), ("far", pa.list_(pa.struct([("nth", pa.int32()), ("col", pa.int32()), ("of", pa.int32()), ("bits", pa.binary())]))), ("ids", pa.list_(pa.int64())), *[(c, pa.int32()) for c in "knm"]])
+    got = list(compatible._meet([pa.RecordBatch.from_pylist([index, *probes], schema=types)]))
+    assert max(b.num_rows for b in got) < 100 + 30
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == [(500 + p, s) for p in range(2000) for s in range(30)]
+
+
+
 def test_model_of_an_array(spark):
     rows = [list(u) for u in G.ascending_array(spark, 6, 3).orderBy("row_id").select("u").toPandas()["u"].map(list)]
     rows = [list(map(int, u)) for u in rows if cheb(u, rows[0]) >= 3][:4]
