@@ -4,8 +4,8 @@ A large star connects every larger neighbour of a node with the least of node an
 for the smaller ones. Neither gathers a node's neighbours: the least is a combined aggregate, joined back. Rounds
 end when the edges stay the same; each is written to shared storage.
 
-Searches that go one step after another (greedy removal, exact covers, cliques) run in a task for each component:
-components don't affect each other, so that is as far as they can be spread.
+Searches that go one step after another (greedy removal, exact covers) run in a task for each component:
+components don't affect each other, so that is as far as they can be spread. Cliques are found by their least node.
 """
 
 from __future__ import annotations
@@ -265,16 +265,56 @@ def _rooted(edges: DataFrame) -> DataFrame:
     return own.join(components(own, SMALL), F.col("a") == F.col("node")).select("root", "a", "b")
 
 
-def maximal_cliques(edges: DataFrame) -> DataFrame:
-    """members (sorted), size."""
+def cliques_from(node: int, near: list[int], later: list[tuple[int, list[int]]]) -> list[list[int]]:
+    """All maximal cliques whose least node is this one, each sorted; near: its neighbours, later: those above it with their own neighbours."""
+    place = {x: i for i, x in enumerate(near)}
+    meets, free = [0] * len(near), 0
+    for x, others in later:
+        i = place[x]
+        free |= 1 << i
+        for y in others:
+            k = place.get(y)
+            if k is not None:
+                meets[i] |= 1 << k
+                meets[k] |= 1 << i
+    out = []
 
-    def run(frame):
-        import pandas as pd
+    def bits(some: int):
+        while some:
+            yield (some & -some).bit_length() - 1
+            some &= some - 1
+
+    def grow(clique, free, done):
+        if not free:
+            if not done:
+                out.append(sorted([node, *(near[i] for i in clique)]))
+            return
+        pivot = max(bits(free | done), key=lambda i: (meets[i] & free).bit_count())
+        for i in bits(free & ~meets[pivot]):
+            grow([*clique, i], free & meets[i], done & meets[i])
+            free, done = free & ~(1 << i), done | 1 << i
 
-        found = cliques(list(zip(frame["a"].tolist(), frame["b"].tolist(), strict=True)))
-        return pd.DataFrame({"members": found, "size": [len(x) for x in found]})
+    grow([], free, (1 << len(near)) - 1 & ~free)
+    return out
 
-    return _rooted(edges).groupBy("root").applyInPandas(run, "members array<long>, size int")
+
+def maximal_cliques(edges: DataFrame) -> DataFrame:
+    """members (sorted), size. A clique is found by its least node, which knows its neighbours and theirs; no component is held in a task."""
+    both = edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = staged(both.groupBy(F.col("a").alias("node")).agg(F.sort_array(F.collect_set("b")).alias("near")), "near")
+    above = near.select(F.col("node").alias("of"), F.explode("near").alias("x")).where("x > of")
+    later = above.join(near, F.col("x") == F.col("node")).groupBy("of").agg(F.collect_list(F.struct("x", "near")).alias("later"))  # neighbours of neighbours
+    known = near.join(later, F.col("node") == F.col("of")).select("node", "near", "later")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                found = [c for r in batch.slice(start, 256).to_pylist() for c in cliques_from(r["node"], r["near"], [(x["x"], x["near"]) for x in r["later"]])]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), pa.array([len(c) for c in found], pa.int32())], names=["members", "size"])
+
+    return known.mapInArrow(run, "members array<long>, size int")
 
 
 def cleaned(array: DataFrame, edges: DataFrame) -> DataFrame:

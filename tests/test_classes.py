@@ -31,6 +31,17 @@ def test_classes_are_searched_as_rows(spark, name, rows):
     assert nodes(classes.searched(df, 2, classes.kings, rounds.kings)) == sequential_kings(pairs)
     for least in (1, 3):
         assert nodes(classes.searched(df, 2, lambda held: classes.dominating(held, least), None)) == sorted(graph.dominating(pairs, least))
+    assert sorted(r.members for r in classes.maximal_cliques(df, 2).collect()) == graph.cliques(pairs)
+
+
+def test_cliques_are_found_from_their_least_node(spark):
+    """Of one component, by several tasks; edges repeated and both ways."""
+    rng = np.random.default_rng(8)
+    pairs = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 30, (220, 2)) if a != b})
+    edges = spark.createDataFrame([*pairs, *pairs[:9], *[(b, a) for a, b in pairs[:9]], (3, 3)], "a long, b long")
+    found = graph.maximal_cliques(edges)
+    assert sorted(r.members for r in found.collect()) == graph.cliques(pairs)
+    assert found.where("size <> size(members)").isEmpty()
 
 
 def test_more_than_a_task_searches_goes_by_rounds(spark):
