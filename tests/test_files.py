@@ -74,3 +74,20 @@ def test_watch(spark, tmp_path):
     now = watch.current(spark, kept)
     assert {(r.n, r.d, r.score) for r in now.collect()} == {(3, 2, 0), (4, 2, 0)}
     assert now.where("n = 3").select(F.explode("rows")).first()[0] == "2 1 0"
+
+
+def test_a_square_of_bits_in_many_files(spark, tmp_path):
+    """Written by several tasks, and read back in parts of 64 bytes with the numbers of lines that they have in the whole."""
+    near = {k: sorted({(k * 7) % 50, (k * k) % 50, 49 - k}) for k in range(0, 50, 2)}
+    rows = spark.createDataFrame([(k, near.get(k), 49) for k in range(50)], "id long, near array<long>, last long")
+    text.dump_bits(rows.repartition(3), f"{tmp_path}/many")
+    assert sum(p.name.endswith(".txt.gz") for p in (tmp_path / "many").iterdir()) > 1
+    want = [(a, b) for a, bs in near.items() for b in bs]
+    assert sorted(map(tuple, text.load_bits(spark, f"{tmp_path}/many").collect())) == sorted(want)
+    (tmp_path / "plain.txt").write_text("\r\n".join("".join("01"[b in near.get(k, [])] for b in range(50)) for k in range(50)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+        assert sorted(map(tuple, text.load_bits(spark, f"{tmp_path}/plain.txt").collect())) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
