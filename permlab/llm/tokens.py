@@ -115,13 +115,19 @@ class Dac:
 
 
 class Pieces:
-    """A tokenizer with a table of the pieces it has met. A piece is found by a 64-bit hash, then compared byte by byte."""
+    """A tokenizer with a table of the pieces it has met. A piece is found by a 64-bit hash, then compared with the table's, eight bytes at a time."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.power = np.random.default_rng(7).integers(0, 1 << 63, LONGEST, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.power = np.random.default_rng(7).integers(0, 1 << 63, -(-LONGEST // 8) + 1, np.uint64) * np.uint64(2) + np.uint64(1)
+        # bytes of each id: its characters stand for a byte each, but those of added ones for themselves
+        known = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(known.values(), default=-1) + 1, np.int64)
+        self.width[list(known.values())] = [len(x) for x in known]
+        for k, x in self.tokenizer.get_added_tokens_decoder().items():
+            self.width[k] = len(x.content.encode())
         self.clear()
 
     def clear(self) -> None:
@@ -143,7 +149,7 @@ class Pieces:
         hashes[self.value[held]] = self.keys[held]
         text, text_at, ids, ids_at = self.text, self.text_at, self.ids, self.ids_at
         self.clear()
-        self._put(hashes[kept], *_rows(text, text_at, kept), *_rows(ids, ids_at, kept))
+        self._put(hashes[kept], *_rows(text, text_at[kept], text_at[kept + 1]), *_rows(ids, ids_at[kept], ids_at[kept + 1]))
         self.uses[: len(kept)] = uses[kept] // 2  # what was common long ago counts less
 
     @staticmethod
@@ -151,23 +157,23 @@ class Pieces:
         return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, len(array) * 3 // 2) - len(array), array.dtype)])
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        found, slot = np.full(len(hashes), -1, np.int32), (hashes >> self.shift).astype(np.int64)
-        left = np.arange(len(hashes))
+        slot = (hashes >> self.shift).astype(np.int64)
+        value = self.value[slot]
+        found = np.where(self.keys[slot] == hashes, value, -1)  # an empty slot's value is -1, whatever its key
+        left = np.flatnonzero((value >= 0) & (found < 0))
         while len(left):
+            slot[left] = (slot[left] + 1) % self.slots
             at = slot[left]
             value = self.value[at]
             hit = (value >= 0) & (self.keys[at] == hashes[left])
             found[left[hit]] = value[hit]
             left = left[(value >= 0) & ~hit]
-            slot[left] = (slot[left] + 1) % self.slots
         return found
 
-    def add(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+    def add(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Pieces, each with another hash, that aren't in the table."""
-        encoded = self.encode([x.decode("utf-8", "surrogatepass") for x in pieces])
-        k = len(pieces)
-        sizes, counts = np.fromiter(map(len, pieces), np.int64, k), np.fromiter(map(len, encoded), np.int64, k)
-        self._put(hashes, np.frombuffer(b"".join(pieces), np.uint8), sizes, np.fromiter((y for x in encoded for y in x), np.uint32), counts)
+        text, sizes = _rows(data, starts, ends)
+        self._put(hashes, text, sizes, *self.encode(text, sizes))
 
     def _put(self, hashes: np.ndarray, text: np.ndarray, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         n, k = self.n, len(hashes)
@@ -184,48 +190,97 @@ class Pieces:
             slot[left] = (slot[left] + 1) % self.slots
         self.n += k
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, text: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, whose texts lie one after another, and the number of each piece."""
+        if not len(sizes):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        # these can stand in one text, which is cut before each of them
+        joined = ((text[starts] == 32) | (text[starts] == 10)) & _solid(text, ends - 1)
+        several = np.flatnonzero(joined)
+        if 1 < len(several):
+            inner, own = _rows(text, starts[several], ends[several])
+            ids = self.ids_of(inner)
+            stops, upto = np.cumsum(own), np.cumsum(self.width[ids])
+            last = np.searchsorted(upto, stops)
+            if len(ids) and upto[-1] == stops[-1] and np.array_equal(upto[last], stops):
+                counts = np.zeros(len(sizes), np.int64)
+                counts[several] = np.diff(last + 1, prepend=0)
+                alone = np.flatnonzero(~joined)
+                others = [self.ids_of(text[starts[i] : ends[i]]) for i in alone]
+                counts[alone] = [len(x) for x in others]
+                flat = np.zeros(counts.sum(), np.uint32)
+                flat[np.repeat(joined, counts)] = ids
+                flat[np.repeat(~joined, counts)] = np.concatenate([np.zeros(0, np.uint32), *others])
+                return flat, counts
+        each = [self.ids_of(text[a:b]) for a, b in zip(starts, ends, strict=True)]
+        return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
+
+    def ids_of(self, text: np.ndarray) -> np.ndarray:
+        """Ids of one text, in this thread."""
+        return np.array(self.tokenizer.encode_batch_fast([text.tobytes().decode("utf-8", "surrogatepass")], add_special_tokens=False)[0].ids, np.uint32)
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row, and the number of each piece."""
-        sizes = ends - starts
-        piece = np.repeat(np.arange(len(starts)), sizes)
-        within = np.arange(starts[0], ends[-1]) - starts[piece]
+        sizes, begin = ends - starts, starts - starts[0]
         short = sizes <= LONGEST
-        body = data[starts[0] : ends[-1]]
-        hashes = np.add.reduceat((body.astype(np.uint64) + np.uint64(1)) * self.power[np.minimum(within, LONGEST - 1)], starts - starts[0])
-        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        known = self.find(keys)
-        new = np.flatnonzero((known < 0) & short[first])
-        if self.n + len(new) > PIECES:
+        # eights: which pieces have bytes from 8 * k on, the next eight of these, and what of them is the piece's
+        own, eights, chosen = _eights(data[starts[0] : ends[-1]]), [], np.arange(len(sizes))
+        hashes = sizes.astype(np.uint64) * self.power[-1]
+        for k in range(0, LONGEST, 8):
+            chosen = chosen[sizes[chosen] > k]
+            mask = _FIRST[np.minimum(sizes[chosen] - k, 8)]
+            value = own[begin[chosen] + k] & mask
+            hashes[chosen] += (value ^ (value >> np.uint64(31))) * self.power[k // 8]
+            eights.append((k, chosen, value, mask))
+        at = self.find(hashes)
+        new = np.flatnonzero((at < 0) & short)
+        keys, first = np.unique(hashes[new], return_index=True)
+        if self.n + len(keys) > PIECES:
             self.forget()
-            known = self.find(keys)
-            new = np.flatnonzero((known < 0) & short[first])[: PIECES - self.n]
-        if len(new):
-            self.add(keys[new], [data[a:b].tobytes() for a, b in zip(starts[first[new]], ends[first[new]], strict=True)])
-            known = self.find(keys)
-        self.uses[known[known >= 0]] += 1
-        at = known[inverse]
-        ok = (at >= 0) & short & (self.text_at[at + 1] - self.text_at[at] == sizes)
-        same = body == self.text[np.minimum(self.text_at[at][piece] + within, len(self.text) - 1)]
-        ok &= np.logical_and.reduceat(same, starts - starts[0])
+            at = self.find(hashes)
+            new = np.flatnonzero((at < 0) & short)
+            keys, first = (x[: PIECES - self.n] for x in np.unique(hashes[new], return_index=True))
+        if len(keys):
+            self.add(keys, data, starts[new[first]], ends[new[first]])
+            at[new] = self.find(hashes[new])
+        self.uses[at[at >= 0]] += 1
+        held, from_ = _eights(self.text), self.text_at[at]
+        ok = (at >= 0) & short & (self.text_at[at + 1] - from_ == sizes)
+        for k, chosen, value, mask in eights:
+            ok[chosen] &= held[from_[chosen] + k] & mask == value
         counts = np.where(ok, self.ids_at[at + 1] - self.ids_at[at], 0)
         rest = np.flatnonzero(~ok)
-        others = self.encode([data[starts[i] : ends[i]].tobytes().decode("utf-8", "surrogatepass") for i in rest])
-        counts[rest] = [len(x) for x in others]
+        others, many = self.encode(*_rows(data, starts[rest], ends[rest]))
+        counts[rest] = many
         begin = np.cumsum(counts) - counts
         source = np.repeat(np.where(ok, self.ids_at[at], 0) - begin, counts) + np.arange(counts.sum())
         ids = self.ids[np.minimum(source, len(self.ids) - 1)]
-        for i, x in zip(rest, others, strict=True):
-            ids[begin[i] : begin[i] + len(x)] = x
+        ids[np.repeat(~ok, counts)] = others
         return ids, counts
 
 
-def _rows(flat: np.ndarray, ends: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The chosen rows of values that lie one after another, and their sizes."""
-    sizes = ends[kept + 1] - ends[kept]
-    return flat[np.repeat(ends[kept] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())], sizes
+#: Masks of the first 0 to 8 bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place on, zeros beyond the end, as numbers."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def _rows(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of values one after another, and their sizes."""
+    sizes = ends - starts
+    return flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())], sizes
+
+
+def _solid(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a character that surely isn't white space ends at these places: printable ASCII, or of two bytes whose first isn't C2."""
+    before = data[np.maximum(at - 1, 0)]
+    return ((data[at] > 32) & (data[at] < 127)) | ((at > 0) & (data[at] >= 128) & (before >= 0xC3) & (before <= 0xDF))
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -43,6 +43,22 @@ def test_codes_give_every_id_back_one_by_one_and_all_at_once(width):
         assert [code[i] for i in range(n)] == ids.tolist()
 
 
+def test_pieces_that_the_table_lacks_are_encoded_together(monkeypatch):
+    r = np.random.default_rng(5)
+    odd = [*"ab1.' \n\t\0\x7f", "  ", "\u00a0", "\u0085", "\u00e9", "\u0416", "\u4e2d", "\U0001f600", "<|endoftext|>", "'s", "x" * 47, "y" * 48, "z" * 60]
+    texts = ["".join(odd[k] for k in r.integers(0, len(odd), r.integers(0, 40))) for _ in range(3000)] + [" ".join(f"new{k}" for k in range(5000))]
+    seen, whole = [], tokens.Pieces.ids_of
+    monkeypatch.setattr(tokens, "_OPEN", {})
+    monkeypatch.setattr(tokens.Pieces, "ids_of", lambda self, text: seen.append(len(text)) or whole(self, text))
+    for _ in range(2):
+        ids, counts = tokens.encoded(pa.array(texts, pa.string()), PATH)
+        want = [WHOLE.encode(x, add_special_tokens=False).ids for x in texts]
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [y for x in want for y in x]
+    seen.clear()
+    tokens.encoded(pa.array([" ".join(f"other{k}" for k in range(5000))]), PATH)
+    assert len(seen) <= 2  # one for each word before
+
+
 def signed(text):
     """Spark's xxhash64 of a text."""
     h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
