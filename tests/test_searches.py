@@ -4,6 +4,7 @@ from itertools import combinations, permutations, product
 from math import comb
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from permlab.functions import columns as C
@@ -75,6 +76,25 @@ def test_compatible_seeds(spark, monkeypatch):
     assert compatible.compatible_pairs(whole.limit(0), 4).collect() == []
 
 
+@pytest.mark.parametrize("block", [4, 17, 8192])
+def test_triples_of_seeds_are_neither_written_nor_shuffled(spark, monkeypatch, block):
+    rng = np.random.default_rng(3)
+    seeds = {3 * s - 20: [rng.permutation(6).tolist() for _ in range(2)] for s in range(70)}
+    seeds |= {1000 + s: seeds[-20] for s in range(3)}
+    whole = spark.createDataFrame([(s, us) for s, us in seeds.items()], "seed long, rows array<array<int>>")
+    good = {(a, b) for a, b in combinations(sorted(seeds), 2) if all(cheb(u, v) >= 4 for u in seeds[a] for v in seeds[b])}
+    want = sorted((a, b, c) for a, b in good for c in seeds if (a, c) in good and (b, c) in good)
+    written, staged = [], compatible.staged
+    monkeypatch.setattr(compatible, "staged", lambda df, label, *more: written.append(df.count()) or staged(df, label, *more))
+    monkeypatch.setattr(compatible, "BLOCK", block)
+    monkeypatch.setattr(compatible, "FOUND", 5)
+    got = compatible.compatible_triples(whole, 4)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 300
+    assert max(written, default=0) <= len(seeds)
+    assert compatible.compatible_triples(whole.limit(0), 4).collect() == []
+    assert compatible.compatible_triples(whole.limit(1), 4).collect() == []
+
+
 def test_pairs_of_seeds_are_passed_on(monkeypatch):
     """What many probes find is not held together."""
     import pyarrow as pa
