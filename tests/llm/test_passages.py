@@ -219,3 +219,36 @@ def test_a_very_long_text(spark):
     got = p.near_duplicate_passages(df).collect()
     assert (1, 2, 50, 30000) in {(r.of_id, r.doc_id, r.word, r.words) for r in got}
     assert 4 in {r.doc_id for r in got}
+
+
+def test_near_passages_behind_a_head_that_only_holds_their_least_shingles(spark):
+    keys = lambda words: set(p._keyed(np.zeros(1, np.int64), pa.array([" ".join(words)]))[0].tolist())
+    rows = []
+    for k in range(3):
+        passage, decoys, say = behind_decoys(10 + k)
+        # one word in each 50 is changed, so no passage of 50 words is the same
+        near = next(n for i in range(5, 45) if len(keys(n := passage[:i] + say(1) + passage[i + 1 :]) & keys(passage)) > 1)
+        rows += [(k, decoys + say(60)), (100 + k, say(60) + passage + say(60)), (200 + k, say(30) + near + say(60))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = p.near_duplicate_passages(df).collect()
+    assert {(r.of_id, r.doc_id) for r in got} == {(100 + k, 200 + k) for k in range(3)}
+    assert {(r.word, r.words, r.of_word, r.of_words) for r in got} == {(30, 50, 60, 50)}
+
+
+def test_runs_of_a_key_are_compared_in_parts(spark, monkeypatch):
+    """A head that none is like, two kinds of passages that share their least shingles, and one like neither."""
+    monkeypatch.setattr(p, "CELL", 3)
+    monkeypatch.setattr(p, "STRAYS", 2)
+    rng = np.random.default_rng(4)
+    line = SAY(60)
+    kinds = [[w if 20 <= i < 40 else f"{rng.integers(0, 10**6):x}W" for i, w in enumerate(line)] for _ in range(4)]
+    rows = [(k, SAY(20) + kinds[0 if k == 0 else 3 if k == 20 else 1 + k % 2] + SAY(20)) for k in range(21)]
+    for k, (_, w) in enumerate(rows[1:20]):
+        w[20 + (k // 2 % 2) * 59] = SAY(1)[0]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    links = p.links(df)
+    left = p.unsettled(links, links)
+    assert left.agg({"parts": "max"}).first()[0] > 3
+    _, cuts = p._read_again(df, links.withColumn("failed", p.F.lit(True)), left)
+    root = connected((r.of_id, r.doc_id) for r in p.between(left, cuts, p.LEAST, p.SIMILARITY).collect())
+    assert root == {k: 2 - k % 2 if k % 2 == 0 else 1 for k in range(1, 20)}
