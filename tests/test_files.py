@@ -91,3 +91,13 @@ def test_a_square_of_bits_in_many_files(spark, tmp_path):
         assert sorted(map(tuple, text.load_bits(spark, f"{tmp_path}/plain.txt").collect())) == sorted(want)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_bits_that_are_read_are_not_written_anew(spark, tmp_path, monkeypatch):
+    shared = []
+    monkeypatch.setattr(text, "staged", lambda df, label: shared.append(label) or df, raising=False)
+    for k, lines in enumerate(("0101\n1000\n", "0001\n1010\n")):
+        with open(f"{tmp_path}/part-{k}.txt", "w") as f:
+            f.write(lines)
+    got = sorted(map(tuple, text.load_bits(spark, str(tmp_path)).collect()))
+    assert got == [(0, 1), (0, 3), (1, 0), (2, 3), (3, 0), (3, 2)] and not shared
